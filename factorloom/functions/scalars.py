@@ -80,6 +80,16 @@ def fixed_point(value: Column | str, digits: int = 6) -> Column:
     return F.floor(col(value) * F.lit(scale) + F.lit(0.5001)).cast("double") / F.lit(scale)
 
 
+def fixed_growth(value: Column | str) -> Column:
+    """Compounded growth can be huge; the number of digits kept falls with its size."""
+    x = col(value)
+    return (
+        F.when(x < 1e3, fixed_point(F.when(x < 1e3, x)))
+        .when(x < 1e9, fixed_point(F.when(x < 1e9, x), 2))
+        .otherwise(F.floor(x / 1e6 + 0.5001).cast("double") * 1e6)
+    )
+
+
 def guarded_correlation(x: Column, y: Column) -> Column:
     """Pearson correlation of the pairs where both are present; NULL for fewer than two
     pairs or a constant side (the built-in raises on a constant under ANSI mode)."""

@@ -188,3 +188,25 @@ def distinct_value_ranks(
         *keys, "v", smaller.alias("rows_below"), F.col("n").alias("rows_equal"),
         (smaller + (F.col("n") + 1) / 2).alias("average_rank"),
     )
+
+
+def ordinal_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str, out: str) -> DataFrame:
+    """Add the 1-based rank by (value, tie) within each group; tie tells equal values apart.
+
+    Equal values are ranked among themselves by a second counting of the tie column, so even
+    a value shared by a large part of a group is never sorted in one task.
+    """
+    keys = list(keys)
+    rows = df.withColumns({"_v": F.col(value).cast("double"), "_t": F.col(tie).cast("double")})
+    by_value = distinct_value_ranks(rows, keys, "_v").select(
+        *keys, F.col("v").alias("_v"), F.col("rows_below").alias("_below"), "rows_equal"
+    )
+    by_value = stage(by_value, "value_ranks")
+    tied = rows.join(by_value.where(F.col("rows_equal") > 1).select(*keys, "_v"), [*keys, "_v"], "left_semi")
+    by_tie = distinct_value_ranks(tied, [*keys, "_v"], "_t").select(
+        *keys, "_v", F.col("v").alias("_t"), F.col("rows_below").alias("_tie_below")
+    )
+    ranked = rows.join(by_value.drop("rows_equal"), [*keys, "_v"], "left").join(by_tie, [*keys, "_v", "_t"], "left")
+    return ranked.withColumn(out, F.col("_below") + F.coalesce("_tie_below", F.lit(0)) + 1).drop(
+        "_v", "_t", "_below", "_tie_below"
+    )

@@ -27,7 +27,7 @@ def growth(expression: str) -> str:
     """Compounded growth can be huge; the number of digits kept falls with its size."""
     return (
         f"CASE WHEN {expression} < 1e3 THEN {r(expression)} WHEN {expression} < 1e9 THEN {r(expression, 2)} "
-        f"ELSE floor({expression} / 1e6 + 0.5001e0) * 1e6 END"
+        f"WHEN {expression} < 1e15 THEN floor({expression} / 1e6 + 0.5001e0) * 1e6 ELSE round({expression} / 1e15) * 1e15 END"
     )
 
 
@@ -44,9 +44,10 @@ def avg_rank(value: str, partition: str) -> str:
 
 def quantile(value: str, q: str, order_column: str = "rn", size: str = "n") -> str:
     """Interpolated quantile inside an aggregate over rows numbered from 1."""
-    pos = f"(max({size}) - 1) * {q}"
-    low = f"max({value}) FILTER (WHERE {order_column} - 1 = floor(({size} - 1) * {q}))"
-    high = f"max({value}) FILTER (WHERE {order_column} - 1 = ceil(({size} - 1) * {q}))"
+    pos = f"round((max({size}) - 1) * {q}, 6)"
+    place = f"round(({size} - 1) * {q}, 6)"
+    low = f"max({value}) FILTER (WHERE {order_column} - 1 = floor({place}))"
+    high = f"max({value}) FILTER (WHERE {order_column} - 1 = ceil({place}))"
     return f"({low} + ({high} - {low}) * ({pos} - floor({pos})))"
 
 
@@ -132,11 +133,13 @@ CTES: dict[str, str] = {
               CAST(count(*) AS DOUBLE) AS cshoq, avg(o_totalprice) AS mean_price FROM orders GROUP BY 1, 2)""",
     "tl": """SELECT 'T' || s_suppkey AS ticker, s_suppkey AS permno, DATE '1995-01-01' AS sdate,
         CAST(s_suppkey % 3 AS DOUBLE) AS score FROM supplier""",
-    "em": """SELECT 'T' || k AS ticker, statpers, 100 * d AS meanest, 100 * s AS stdev, numest, 100 * t AS actual,
+    "em": """SELECT 'T' || k AS ticker, statpers, d / n AS meanest,
+        sqrt(CAST(n * dd - d * d AS DOUBLE) / nullif(n * (n - 1), 0)) AS stdev, CAST(n AS DOUBLE) AS numest, t / n AS actual,
         statpers + CAST(10 * (k % 3 - 1) AS INTEGER) AS known
         FROM (SELECT l_suppkey AS k, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) + 14 AS statpers,
-              avg(l_discount) AS d, stddev_samp(l_discount) AS s, avg(l_tax) AS t, CAST(count(*) AS DOUBLE) AS numest
-              FROM lineitem GROUP BY 1, 2)""",
+              CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS d,
+              CAST(sum(pow(round(l_discount * 100), 2)) AS BIGINT) AS dd,
+              CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS t, count(*) AS n FROM lineitem GROUP BY 1, 2)""",
     "tm": """SELECT 'T' || l_suppkey AS ticker, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) + 14 AS statpers,
         avg(l_extendedprice) AS meanptg, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) AS up,
         CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS down, CAST(count(*) AS DOUBLE) AS numest
@@ -552,8 +555,8 @@ def statements() -> dict[str, str]:
             SELECT formation_date, split, avg(stock_score) FILTER (WHERE leg = 'long') - avg(stock_score) FILTER (WHERE leg = 'short') AS gap
             FROM qlegs GROUP BY 1, 2) JOIN qport USING (formation_date, split) GROUP BY 1""",
         "concentration_effect": f"""SELECT split, concentration, {r('avg(portfolio_return)')} AS mean_return, count(*) AS months FROM (
-            SELECT *, CASE WHEN mean_herfindahl_weight >= median(mean_herfindahl_weight) OVER (PARTITION BY split) THEN 'high' ELSE 'low' END AS concentration
-            FROM qport) GROUP BY 1, 2""",
+            SELECT *, CASE WHEN h >= median(h) OVER (PARTITION BY split) THEN 'high' ELSE 'low' END AS concentration
+            FROM (SELECT *, {r('mean_herfindahl_weight', 10)} AS h FROM qport)) GROUP BY 1, 2""",
         "factor_weight_means": f"SELECT split, factor_id, {r('avg(weight)')} AS mean_weight, {r('max(weight)')} AS max_weight FROM alloc GROUP BY 1, 2",
         "job_current_state": "SELECT * FROM jstate",
         "job_transition_audit": """SELECT previous_state, to_state, CASE WHEN previous_state IS NULL THEN 'initial' WHEN EXISTS (

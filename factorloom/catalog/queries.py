@@ -505,7 +505,7 @@ def panel_forest_eval(spark, sf):
 
 @query
 def panel_boosting_eval(spark, sf):
-    return _panel_metrics(spark, sf, "boosting")
+    return _panel_metrics(spark, sf, "boosting", maxIter=40)
 
 
 @query

@@ -86,7 +86,8 @@ def fixed_growth(value: Column | str) -> Column:
     return (
         F.when(x < 1e3, fixed_point(F.when(x < 1e3, x)))
         .when(x < 1e9, fixed_point(F.when(x < 1e9, x), 2))
-        .otherwise(F.floor(x / 1e6 + 0.5001).cast("double") * 1e6)
+        .when(x < 1e15, F.floor(F.when(x < 1e15, x) / 1e6 + 0.5001).cast("double") * 1e6)
+        .otherwise(F.rint(x / 1e15) * 1e15)
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import guarded_correlation
+from ..functions.scalars import fixed_point, guarded_correlation
 
 # Metrics shown as trends, metrics where less is better, states and the metric
 # that a promotion looks at.
@@ -171,10 +171,13 @@ def score_gap(legs: DataFrame, portfolio: DataFrame) -> DataFrame:
 
 
 def concentration_effect(portfolio: DataFrame) -> DataFrame:
-    """Mean return of months above and below the median concentration; one row per month in."""
-    median = F.median("mean_herfindahl_weight").over(Window.partitionBy("split"))
-    high = F.when(F.col("mean_herfindahl_weight") >= median, "high").otherwise("low")
-    return portfolio.withColumn("concentration", high).groupBy("split", "concentration").agg(
+    """Mean return of months above and below the median concentration; one row per month in.
+
+    Ten decimals count, so that months with the same weights fall on the same side."""
+    rows = portfolio.withColumn("_h", fixed_point("mean_herfindahl_weight", 10))
+    median = F.median("_h").over(Window.partitionBy("split"))
+    high = F.when(F.col("_h") >= median, "high").otherwise("low")
+    return rows.withColumn("concentration", high).groupBy("split", "concentration").agg(
         F.avg("portfolio_return").alias("mean_return"), F.count(F.lit(1)).alias("months")
     )
 

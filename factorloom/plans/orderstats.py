@@ -139,11 +139,17 @@ def grouped_quantiles(
     *,
     window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: keys, group_rows and one column per name."""
+    """Exact linearly interpolated quantiles: keys, group_rows and one column per name.
+
+    A position that misses a whole number by rounding alone is that number, so a cut that
+    falls on a row equals the row's value."""
+    def position(n: Column, q: float) -> Column:
+        return F.round((n - 1) * F.lit(float(q)), 6)
+
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, q in quantiles.items():
-        ranks[f"{name}:low"] = lambda n, q=q: F.floor((n - 1) * F.lit(float(q)))
-        ranks[f"{name}:high"] = lambda n, q=q: F.ceil((n - 1) * F.lit(float(q)))
+        ranks[f"{name}:low"] = lambda n, q=q: F.floor(position(n, q))
+        ranks[f"{name}:high"] = lambda n, q=q: F.ceil(position(n, q))
     picks = pick_ranked(df, keys, value, ranks, window_rows=window_rows)
     wide = picks.groupBy(*keys).agg(
         F.max("group_rows").alias("group_rows"),
@@ -151,9 +157,9 @@ def grouped_quantiles(
     )
     result = [F.col(k) for k in keys] + [F.col("group_rows")]
     for name, q in quantiles.items():
-        position = (F.col("group_rows") - 1) * F.lit(float(q))
+        place = position(F.col("group_rows"), q)
         low, high = F.col(f"`{name}:low`"), F.col(f"`{name}:high`")
-        result.append((low + (high - low) * (position - F.floor(position))).alias(name))
+        result.append((low + (high - low) * (place - F.floor(place))).alias(name))
     return wide.select(*result)
 
 

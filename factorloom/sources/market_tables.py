@@ -125,17 +125,21 @@ def _estimate_key():
 
 
 def estimate_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Whole cents add up exactly in any order, so equal estimates stay equal.
+    discount, tax = (F.round(F.col(c) * 100).cast("long") for c in ("l_discount", "l_tax"))
     sums = (
         table(spark, sf_dir, "lineitem").groupBy(*_estimate_key())
         .agg(
-            F.avg("l_discount").alias("discount"), F.stddev_samp("l_discount").alias("spread"),
-            F.avg("l_tax").alias("tax"), F.count(F.lit(1)).cast("double").alias("numest"),
+            F.sum(discount).alias("d"), F.sum(discount * discount).alias("dd"), F.sum(tax).alias("t"),
+            F.count(F.lit(1)).alias("n"),
         )
     )
+    n, d = F.col("n"), F.col("d")
+    spread = F.sqrt((n * F.col("dd") - d * d) / F.nullif(n * (n - 1), F.lit(0)))
     return sums.select(
         F.concat(F.lit("T"), F.col("k").cast("string")).alias("ticker"), "statpers", F.lit("EPS").alias("measure"),
-        (F.col("discount") * 100).alias("meanest"), (F.col("spread") * 100).alias("stdev"), "numest",
-        (F.col("tax") * 100).alias("actual"),
+        (d / n).alias("meanest"), spread.alias("stdev"), n.cast("double").alias("numest"),
+        (F.col("t") / n).alias("actual"),
         F.date_add("statpers", (10 * (F.col("k") % 3 - 1)).cast("int")).alias("actdats_act"),
         F.lit(None).cast("date").alias("anndats_act"),
     )

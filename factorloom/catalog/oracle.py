@@ -189,8 +189,8 @@ CTES: dict[str, str] = {
     "fp": """SELECT w.*, c.* EXCLUDE (permno, formation_date), m.* EXCLUDE (formation_date) FROM with_est w
         JOIN crsp c USING (permno, formation_date) LEFT JOIN mm m ON last_day(w.formation_date) = m.formation_date""",
     "sig": _signal_rows(),
-    "scored": """SELECT signal, formation_date, permno, ret_1m_fwd, raw,
-        greatest(-5e0, least(5e0, (raw - m) / s)) * dir AS score
+    "scored": """SELECT signal, formation_date, permno, ret_1m_fwd, CAST(CAST(raw AS FLOAT) AS DOUBLE) AS raw,
+        CAST(CAST(greatest(-5e0, least(5e0, (raw - m) / s)) * dir AS FLOAT) AS DOUBLE) AS score
         FROM (SELECT *, avg(raw) OVER (PARTITION BY signal, formation_date, grp) AS m,
               stddev_samp(raw) OVER (PARTITION BY signal, formation_date, grp) AS s FROM sig WHERE grp IS NOT NULL)
         WHERE raw IS NOT NULL AND s > 1e-12""",
@@ -226,9 +226,11 @@ CTES: dict[str, str] = {
     "lalpha": """SELECT factor_id, greatest(0e0, max(m)) AS local_score FROM (
         SELECT factor_id, col, state, avg(ls) AS m FROM fr JOIN states USING (formation_date) WHERE ls IS NOT NULL
         GROUP BY 1, 2, 3) GROUP BY 1""",
-    "alpha": """SELECT *, (rank() OVER (ORDER BY global_score) + (count(*) OVER (PARTITION BY global_score) - 1) / 2e0
+    "alpha": f"""SELECT *, (rank() OVER (ORDER BY global_score) + (count(*) OVER (PARTITION BY global_score) - 1) / 2e0
             + rank() OVER (ORDER BY local_score) + (count(*) OVER (PARTITION BY local_score) - 1) / 2e0)
-            / count(*) OVER () AS combined_score FROM galpha JOIN lalpha USING (factor_id)""",
+            / count(*) OVER () AS combined_score
+        FROM (SELECT g.* EXCLUDE (global_score), {r('global_score', 12)} AS global_score, {r('local_score', 12)} AS local_score
+              FROM galpha g JOIN lalpha USING (factor_id))""",
     "dated": """SELECT formation_date, factor_id, ls, row_number() OVER (PARTITION BY factor_id ORDER BY formation_date) - 1 AS i,
         count(*) OVER (PARTITION BY factor_id) AS n FROM fr JOIN pm USING (formation_date) WHERE ls IS NOT NULL""",
     "folds": """SELECT d.*, s.start, CAST((s.start - 36) // 12 AS INTEGER) AS fold,

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clipped
+from ..functions.scalars import clipped, fixed_point
 from ..plans.orderstats import grouped_quantiles
 from ..plans.staging import stage
 from ..sources.contracts import require_columns
@@ -145,10 +145,14 @@ def _zscore(column: str, tag: str) -> Column:
 
 def signal_scores(
     panel: DataFrame, factors: Sequence[Factor] = COMPUTABLE, *, carry: Sequence[str] = (),
-    float32_scores: bool = False,
+    float32_scores: bool = True,
 ) -> DataFrame:
     """Long scores per distinct signal: formation_date, permno, carried columns, signal, raw, score.
 
+    Scores have single precision unless switched off.  That makes values equal that differ
+    only by how their date's mean was added up, so ties at a cut do not depend on the order
+    of the rows.
+
     Mean and deviation per date (and exchange) are aggregated with map-side combining and
     joined back, one row per date: the cross section itself is never sorted or shuffled.
     """
@@ -369,7 +373,12 @@ def percentile_rank(value: str) -> Column:
 
 
 def alpha_table(returns: DataFrame, macro: DataFrame) -> DataFrame:
+    """Both alpha scores and the sum of their percentile ranks.
+
+    Twelve decimals count: factors with the same signal have the same score and must tie,
+    whatever the order in which their returns were added up."""
     both = global_alpha(returns).join(local_alpha(returns, macro), "factor_id", "full").na.fill(0.0)
+    both = both.withColumns({c: fixed_point(c, 12) for c in ("global_score", "local_score")})
     return both.withColumn("combined_score", percentile_rank("global_score") + percentile_rank("local_score"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clipped, fixed_point
 from ..plans.orderstats import grouped_quantiles
-from ..plans.staging import stage
+from ..plans.staging import fixed_table, stage
 from ..sources.contracts import require_columns
 
 
@@ -126,7 +126,7 @@ def registry_frame(spark: SparkSession, factors: Sequence[Factor] = FACTORS) ->
          f.signal if f.source_column else None, n)
         for n, f in enumerate(factors, start=1)
     ]
-    return spark.createDataFrame(rows, _REGISTRY_SCHEMA)
+    return fixed_table(spark, rows, _REGISTRY_SCHEMA)
 
 
 # --- scores ----------------------------------------------------------------------------

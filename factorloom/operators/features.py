@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import (
     as_date, as_long, as_number, closed_end, normalized_text, safe_divide, zero_padded,
 )
-from ..plans.staging import stage
+from ..plans.staging import fixed_table, stage
 from ..sources.contracts import require_columns
 from .intervals import asof_backward, first_match, join_active
 
@@ -344,4 +344,4 @@ def feature_metadata(spark: SparkSession, features: FeatureSet) -> DataFrame:
         raise ValueError(f"features without metadata: {missing}")
     columns = ["feature", "feature_family", "kind", "source_table", "availability_rule"]
     rows = [tuple(features.metadata[name][c] for c in columns) for name in present]
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    return fixed_table(spark, rows, ", ".join(f"{c} string" for c in columns))

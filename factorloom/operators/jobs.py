@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import fixed_table
+
 # From each state, the states a job may move to.
 LEGAL_TRANSITIONS: dict[str, tuple[str, ...]] = {
     "PROPOSED": ("QUEUED", "FAILED", "REJECTED"),
@@ -30,7 +32,7 @@ BLOCK = 1_000_000
 
 def transition_table(spark: SparkSession) -> DataFrame:
     pairs = [(a, b) for a, targets in LEGAL_TRANSITIONS.items() for b in targets]
-    return spark.createDataFrame(pairs, "from_state string, to_state string")
+    return fixed_table(spark, pairs, "from_state string, to_state string")
 
 
 def current_state(events: DataFrame) -> DataFrame:

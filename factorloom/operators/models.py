@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import guarded_correlation
 from ..plans.orderstats import pick_ranked
-from ..plans.staging import stage
+from ..plans.staging import fixed_table, stage
 from . import metrics as M
 
 TARGET = "factor_long_short_ret_1m"
@@ -405,7 +405,7 @@ def feature_importance(spark: SparkSession, fitted, features: Sequence[str], run
         values = {f: float(v) for f, v in zip(usable, vector, strict=True)}
     kind = "model" if fitted is not None else "unavailable"
     rows = [(f, values.get(f), kind, run_id) for f in features]
-    return spark.createDataFrame(rows, "feature string, importance double, importance_type string, run_id string")
+    return fixed_table(spark, rows, "feature string, importance double, importance_type string, run_id string")
 
 
 def published_predictions(predictions: DataFrame, run_id: str) -> DataFrame:

@@ -181,6 +181,7 @@ def _keep_quota(panel: DataFrame, quotas: DataFrame) -> DataFrame:
                        group_info=partial.select("formation_date", "quota"))
     cuts = cuts.select("formation_date", F.col("value").cast("long").alias("_cut"))
     limits = quotas.where(F.col("quota") > 0).join(cuts, "formation_date", "left").select("formation_date", "_cut")
+    limits = stage(limits, "limits")
     return panel.join(limits, "formation_date").where(
         F.col("_cut").isNull() | (F.col("permno") <= F.col("_cut"))
     ).drop("_cut")

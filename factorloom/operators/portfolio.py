@@ -61,10 +61,11 @@ def factor_portfolio(allocations: DataFrame, returns: DataFrame) -> DataFrame:
 def stock_scores(allocations: DataFrame, scores: DataFrame) -> DataFrame:
     """Weighted factor score per security, date and split.
 
-    The scores of one security and date lie together, so the sums combine before the
-    shuffle and only one row per security, date and split moves.
+    The weights are staged, so that their known size lets them be broadcast.  The scores of
+    one security and date lie together, so the sums combine before the shuffle and only one
+    row per security, date and split moves.
     """
-    weights = allocations.select("formation_date", "factor_id", "weight", "split")
+    weights = stage(allocations.select("formation_date", "factor_id", "weight", "split"), "weights")
     joined = scores.select("formation_date", "permno", "factor_id", "factor_score").join(
         weights, ["formation_date", "factor_id"]
     )

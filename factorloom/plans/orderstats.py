@@ -80,8 +80,8 @@ def pick_ranked(
     rows = rows.withColumn("cell", coarse_cell(F.col("v")))
 
     cells = stage(rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
-    counted = _running_counts(cells, keys, ["cell"]).join(
-        cells.groupBy(*keys).agg(F.sum("n").alias("group_rows")), keys
+    counted = _running_counts(cells, keys, ["cell"]).withColumn(
+        "group_rows", F.sum("n").over(Window.partitionBy(*keys))
     )
     if group_info is not None:
         counted = counted.join(group_info, keys)

@@ -13,7 +13,10 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _local_roots: dict[str, str] = {}
 _shared: dict[tuple[str, str, str], DataFrame] = {}
@@ -54,3 +57,12 @@ def shared_stage(spark: SparkSession, label: str, scope: str, build: Callable[[]
 def forget_shared_stages() -> None:
     """Make the next query build its inputs again (used for timing)."""
     _shared.clear()
+
+
+def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of given rows as a local relation, whose size the optimizer knows."""
+    struct = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in struct.fields]
+    arrow = to_arrow_schema(struct)
+    table = pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+    return spark.createDataFrame(table, schema=struct)

@@ -47,8 +47,12 @@ def first_match(df: DataFrame, keys: Sequence[str], order: Sequence[Column], kee
 def join_active(
     rows: DataFrame, intervals: DataFrame, on: str, day: str, start: str, end: str
 ) -> DataFrame:
-    """Rows with every interval of the same identifier that contains the day."""
-    right = intervals.withColumnRenamed(on, "_on")
+    """Rows with every different interval of the same identifier that contains the day.
+
+    Copies of an interval collapse first: every caller keeps one match per key, so copies
+    would only multiply the rows of a repeated identifier.
+    """
+    right = intervals.withColumnRenamed(on, "_on").distinct()
     inside = active_on(rows[day], right[start], right[end])
     return rows.join(right, (rows[on] == right["_on"]) & inside).drop("_on")
 

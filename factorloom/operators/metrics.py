@@ -156,7 +156,9 @@ def feature_coverage(df: DataFrame, features: Sequence[str], by: Sequence[str] =
 def evaluate_predictions(
     df: DataFrame, by: Sequence[str] = ("split",), *, features: Sequence[str] = ()
 ) -> DataFrame:
-    """All metrics, one row per group."""
+    """All metrics, one row per group.
+
+    The rows are read several times; pass a staged table if they are costly to compute."""
     keys = list(by)
     ic = stage(period_ic(df, by), "ic")
     spread = stage(period_long_short(df, by), "spread")

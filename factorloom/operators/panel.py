@@ -75,9 +75,15 @@ def with_forward_returns(
     return monthly.withColumns(added)
 
 
-def forward_returns(monthly: DataFrame, horizons: Sequence[int] = HORIZONS, **options) -> DataFrame:
-    """Labels alone, by (permno, formation_date), over all monthly rows."""
+def forward_returns(
+    monthly: DataFrame, horizons: Sequence[int] = HORIZONS, *, check_key: bool = True, **options
+) -> DataFrame:
+    """Labels alone, by (permno, formation_date), over all monthly rows.
+
+    The key check refuses repeated rows, which would spoil the labels and unbound the window."""
     rows = clean_monthly(monthly).select("permno", "date", "ret")
+    if check_key:
+        require_unique(rows, ("permno", "date"), "monthly security table")
     labels = with_forward_returns(rows, horizons, **options)
     return labels.select("permno", F.col("date").alias("formation_date"), *label_columns(horizons))
 

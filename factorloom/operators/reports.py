@@ -78,8 +78,9 @@ def leaderboard(runs: DataFrame, metric: str = VALIDATION_METRIC) -> DataFrame:
 
 
 def top_factor_models(metrics: DataFrame, limit: int = 10) -> DataFrame:
-    """The factors with the best holdout correlation."""
-    return metrics.orderBy(F.col("holdout_correlation").desc_nulls_last(), "factor_id").limit(limit)
+    """The factors with the best holdout correlation; twelve decimals count, ties go by id."""
+    best = fixed_point("holdout_correlation", 12)
+    return metrics.orderBy(best.desc_nulls_last(), "factor_id").limit(limit)
 
 
 def coverage_by_month(predictions: DataFrame) -> DataFrame:

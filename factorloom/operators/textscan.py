@@ -7,6 +7,7 @@ compared across pages.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,19 @@ NETWORK_PATTERNS = (
     ("subprocess_network_download", r"(?i)\b(?:curl|wget)\b"),
     ("fred_api_download", r"(?i)\b(?:fredapi|pandas_datareader)\b"),
 )
+# Lower-case words, one of which every match of a pattern contains.
+NEEDED_WORDS = {
+    "assignment_secret": ("key", "secret", "token", "passw", "pwd"),
+    "cloud_key": ("akia", "asia"),
+    "private_key": ("private key",),
+    "wrds_connection": ("wrds",),
+    "wrds_credentials": ("wrds",),
+    "credential_prompt": ("getpass", "input"),
+    "requests_download": ("requests",),
+    "urllib_download": ("urllib",),
+    "subprocess_network_download": ("curl", "wget"),
+    "fred_api_download": ("fredapi", "pandas_datareader"),
+}
 LINE_BREAK = r"\r\n|\n|\r"
 
 
@@ -40,15 +54,25 @@ def pattern_findings(
 ) -> DataFrame:
     """(id, line number, pattern, line) for every line that matches a pattern.
 
-    With ``skip_comments`` blank lines and lines that begin with # are passed over.
+    With ``skip_comments`` blank lines and lines that begin with # are passed over.  Texts and
+    lines without any word that a pattern needs are set aside by plain substring search before
+    the expressions run.
     """
-    lines = texts.select(id_column, F.posexplode(F.split(F.col(text_column), LINE_BREAK)).alias("n", "line"))
+    def may_match(text: Column, names: Sequence[str]) -> Column:
+        if any(n not in NEEDED_WORDS for n in names):
+            return F.lit(True)
+        words = dict.fromkeys(w for n in names for w in NEEDED_WORDS[n])
+        return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+    candidates = texts.where(may_match(F.lower(F.col(text_column)), [n for n, _ in patterns]))
+    lines = candidates.select(id_column, F.posexplode(F.split(F.col(text_column), LINE_BREAK)).alias("n", "line"))
     if skip_comments:
         stripped = _stripped(F.col("line"))
         lines = lines.where((stripped != "") & ~stripped.startswith("#"))
-    hits = F.array_compact(
-        F.array(*[F.when(F.col("line").rlike(p), F.lit(name)) for name, p in patterns])
-    )
+    lines = lines.withColumn("lower", F.lower("line"))
+    hits = F.array_compact(F.array(*[
+        F.when(may_match(F.col("lower"), [name]) & F.col("line").rlike(p), F.lit(name)) for name, p in patterns
+    ]))
     return lines.select(
         id_column, (F.col("n") + 1).alias("line"), F.explode(hits).alias("pattern"), _stripped(F.col("line")).alias("text")
     )

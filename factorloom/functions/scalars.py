@@ -28,9 +28,16 @@ def as_long(value: Column | str) -> Column:
     return col(value).try_cast("long")
 
 
-def as_date(value: Column | str) -> Column:
-    """Date or NULL; text, timestamps and dates are accepted."""
-    return F.to_date(F.try_to_timestamp(col(value).cast("string")))
+def as_date(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` as date or NULL; text and timestamps are accepted.
+
+    A date column is passed through untouched, so filters on it still reach the scan."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.DateType):
+        return F.col(name)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.to_date(name)
+    return F.to_date(F.try_to_timestamp(F.col(name).cast("string")))
 
 
 def normalized_text(value: Column | str) -> Column:

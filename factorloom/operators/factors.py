@@ -310,8 +310,8 @@ US_MACRO_BASES = (
     "dxy_proxy", "usd_jpy", "wti",
 )
 MACRO_DESIGNS = {
-    "ddqm2_25x3_us_macro": (US_MACRO_BASES, ("", "_c20", "_c60")),
-    "expanded_us_macro": (
+    "us_macro_25x3": (US_MACRO_BASES, ("", "_c20", "_c60")),
+    "us_macro_expanded": (
         (*US_MACRO_BASES, "consumer_sentiment"), ("", "_c20", "_c60", "_m1", "_m3", "_yoy"),
     ),
 }
@@ -425,8 +425,8 @@ GRID_AXES: dict[str, tuple[str, ...]] = {
     "model": ("lightgbm", "baseline_mean", "ridge", "elasticnet"),
     "min_weight": ("0.0", "0.01", "0.03"),
     "factor_universe": ("all_implemented_current", "selected_13_global_local"),
-    "macro_feature_design": ("current_macro_family", "ddqm2_25x3_us_macro", "expanded_us_macro"),
-    "portfolio_surface": ("weighted_factor_return_current", "stock_score_qspread_ddqm2"),
+    "macro_feature_design": ("current_macro_family", "us_macro_25x3", "us_macro_expanded"),
+    "portfolio_surface": ("weighted_factor_return", "stock_score_qspread"),
 }
 
 

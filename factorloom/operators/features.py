@@ -91,7 +91,8 @@ def fundamental_ratios(fundamentals: DataFrame, *, fallback_days: int = 90) -> D
 
     A quarter is known on its report day, or ``fallback_days`` after its end."""
     q = _numbers(fundamentals, _FUNDAMENTALS).withColumns(
-        {"gvkey": zero_padded("gvkey"), "datadate": as_date("datadate"), "rdq": as_date("rdq")}
+        {"gvkey": zero_padded("gvkey"), "datadate": as_date(fundamentals, "datadate"),
+         "rdq": as_date(fundamentals, "rdq")}
     )
     q = q.withColumn("available_date", F.coalesce("rdq", F.date_add("datadate", fallback_days)))
     equity, assets = F.col("ceqq"), F.col("atq")
@@ -120,8 +121,8 @@ def link_fundamentals(quarters: DataFrame, links: DataFrame) -> DataFrame:
 
     One row per (company, quarter, security): the primary link first."""
     link = links.withColumns(
-        {"gvkey": zero_padded("gvkey"), "permno": as_long("lpermno"), "linkdt": as_date("linkdt"),
-         "linkenddt": as_date("linkenddt")}
+        {"gvkey": zero_padded("gvkey"), "permno": as_long("lpermno"), "linkdt": as_date(links, "linkdt"),
+         "linkenddt": as_date(links, "linkenddt")}
     )
     if "usedflag" in links.columns:
         link = link.where(F.coalesce(as_number("usedflag"), F.lit(1.0)).cast("int") == 1)
@@ -147,7 +148,7 @@ def known_fundamentals(fundamentals: DataFrame, links: DataFrame, **options) ->
 # --- estimates -------------------------------------------------------------------------
 
 def _optional_date(df: DataFrame, name: str):
-    return as_date(name) if name in df.columns else F.lit(None).cast("date")
+    return as_date(df, name) if name in df.columns else F.lit(None).cast("date")
 
 
 def estimate_summary(summary: DataFrame, *, partition_by: Sequence[str] = ("ticker",)) -> DataFrame:
@@ -157,7 +158,7 @@ def estimate_summary(summary: DataFrame, *, partition_by: Sequence[str] = ("tick
     day are taken in the order of their mean and count.  A surprise exists only once the
     actual has been announced."""
     s = _numbers(summary, ("meanest", "stdev", "numest", "actual")).withColumns(
-        {"ticker": normalized_text("ticker"), "statpers": as_date("statpers"),
+        {"ticker": normalized_text("ticker"), "statpers": as_date(summary, "statpers"),
          "_known": F.coalesce(_optional_date(summary, "actdats_act"), _optional_date(summary, "anndats_act"))}
     )
     if "measure" in summary.columns:
@@ -176,7 +177,7 @@ def estimate_summary(summary: DataFrame, *, partition_by: Sequence[str] = ("tick
 
 def estimate_targets(targets: DataFrame) -> DataFrame:
     t = _numbers(targets, ("meanptg", "numup1m", "numdown1m", "numest")).withColumns(
-        {"ticker": normalized_text("ticker"), "statpers": as_date("statpers")}
+        {"ticker": normalized_text("ticker"), "statpers": as_date(targets, "statpers")}
     )
     balance = F.coalesce("numup1m", F.lit(0.0)) - F.coalesce("numdown1m", F.lit(0.0))
     return t.select(
@@ -188,7 +189,7 @@ def estimate_targets(targets: DataFrame) -> DataFrame:
 def link_estimates(rows: DataFrame, links: DataFrame, *, max_score: float | None = None) -> DataFrame:
     """Estimate rows of every security whose ticker link covers the day, best score first."""
     link = links.withColumns({"ticker": normalized_text("ticker"), "permno": as_long("permno"),
-                              "sdate": as_date("sdate"), "edate": as_date("edate")})
+                              "sdate": as_date(links, "sdate"), "edate": as_date(links, "edate")})
     score = F.lit(0.0)
     if "score" in links.columns:
         score = F.coalesce(as_number("score"), F.lit(999.0))
@@ -220,7 +221,7 @@ def macro_month_end(macro: DataFrame) -> DataFrame:
     """Last known value of each series per calendar month, stamped at the month end."""
     require_columns(macro, ["date"], "macro table")
     values = [c for c in macro.columns if c != "date"]
-    dated = macro.withColumn("date", as_date("date")).where(F.col("date").isNotNull())
+    dated = macro.withColumn("date", as_date(macro, "date")).where(F.col("date").isNotNull())
     last_known = [
         F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"macro__{c}") for c in values
     ]
@@ -236,7 +237,7 @@ def add_macro(panel: DataFrame, macro: DataFrame, *, exact_date_join: bool = Fal
     """
     if as_of == "formation_date":
         values = [c for c in macro.columns if c != "date"]
-        dated = macro.withColumn("date", as_date("date")).where(F.col("date").isNotNull())
+        dated = macro.withColumn("date", as_date(macro, "date")).where(F.col("date").isNotNull())
         dates = stage(panel.select("formation_date").distinct(), "panel_dates")
         known = dated.join(dates, F.last_day("date") == F.last_day("formation_date")).where(
             F.col("date") <= F.col("formation_date")
@@ -265,7 +266,7 @@ def narrow_inputs(inputs: Mapping[str, DataFrame], panel: DataFrame) -> dict[str
     if "ccm_link" in out:
         out["ccm_link"] = out["ccm_link"].join(securities, as_long("lpermno") == F.col("_p"), "left_semi")
     if "comp_fundq" in out:
-        fund = out["comp_fundq"].where(as_date("datadate").between(low, high))
+        fund = out["comp_fundq"].where(as_date(out["comp_fundq"], "datadate").between(low, high))
         if "ccm_link" in out:
             linked = out["ccm_link"].select(zero_padded("gvkey").alias("_g")).distinct()
             fund = fund.join(linked, zero_padded("gvkey") == F.col("_g"), "left_semi")
@@ -274,7 +275,7 @@ def narrow_inputs(inputs: Mapping[str, DataFrame], panel: DataFrame) -> dict[str
         out["ibes_link"] = out["ibes_link"].join(securities, as_long("permno") == F.col("_p"), "left_semi")
     for name in ("ibes_summary", "ibes_target"):
         if name in out:
-            rows = out[name].where(as_date("statpers").between(low, high))
+            rows = out[name].where(as_date(out[name], "statpers").between(low, high))
             if "ibes_link" in out:
                 tickers = out["ibes_link"].select(normalized_text("ticker").alias("_t")).distinct()
                 rows = rows.join(tickers, normalized_text("ticker") == F.col("_t"), "left_semi")

@@ -28,7 +28,7 @@ def clean_names(names: DataFrame, *, common_stock_only: bool = True) -> DataFram
     typed = names.withColumns(
         {
             "permno": as_long("permno"), "shrcd": as_long("shrcd"), "exchcd": as_long("exchcd"),
-            "namedt": as_date("namedt"), "nameenddt": as_date("nameenddt"),
+            "namedt": as_date(names, "namedt"), "nameenddt": as_date(names, "nameenddt"),
         }
     ).where(F.col("permno").isNotNull() & F.col("namedt").isNotNull())
     return common_stock(typed) if common_stock_only else typed
@@ -62,7 +62,7 @@ def overlap_join(
 ) -> DataFrame:
     """Links cut to the name periods they overlap; an end stays open only if both are open."""
     n = names.select(F.col("permno").alias("n_permno"), *carry)
-    ready = links.withColumns({permno: as_long(permno), start: as_date(start), end: as_date(end)})
+    ready = links.withColumns({permno: as_long(permno), start: as_date(links, start), end: as_date(links, end)})
     ready = ready.where(F.col(permno).isNotNull() & F.col(start).isNotNull())
     joined = ready.join(
         n,
@@ -120,9 +120,9 @@ def overlap_count(df: DataFrame, keys: Sequence[str], start: str, end: str) -> D
     holds at most one row per calendar day.  Among rows that start together, ordered by
     end, every valid one after the first valid one overlaps.
     """
-    day = as_date(start)
+    day = as_date(df, start)
     per_day = (
-        df.withColumns({"_s": day, "_e": closed_end(as_date(end))}).where(F.col("_s").isNotNull())
+        df.withColumns({"_s": day, "_e": closed_end(as_date(df, end))}).where(F.col("_s").isNotNull())
         .groupBy(*keys, "_s")
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -172,7 +172,7 @@ def link_diagnostics(
 
 def estimate_link_diagnostics(links: DataFrame, names: DataFrame, *, max_score: float = 1) -> DataFrame:
     """Diagnostics of the ticker links, with the number of links whose score is missing or too high."""
-    numbered = links.withColumn("sdate", as_date("sdate"))
+    numbered = links.withColumn("sdate", as_date(links, "sdate"))
     eligible = eligible_estimate_links(numbered, max_score)
     resolved = estimate_links(numbered, names, max_score=max_score)
     figures = link_diagnostics(
@@ -198,7 +198,7 @@ def resolve_names(requests: DataFrame, names: DataFrame, *, common_stock_only: b
 def resolve_company(requests: DataFrame, links: DataFrame) -> DataFrame:
     """(gvkey, date) requests -> security; earliest link, then primary rank, then used flag."""
     ready = links.withColumns({"gvkey": F.col("gvkey").cast("string"), "lpermno": as_long("lpermno"),
-                               "linkdt": as_date("linkdt"), "linkenddt": as_date("linkenddt")})
+                               "linkdt": as_date(links, "linkdt"), "linkenddt": as_date(links, "linkenddt")})
     rank = F.lit(2)
     if "linkprim" in links.columns:
         rank = F.when(F.col("linkprim") == "P", 0).when(F.col("linkprim") == "C", 1).otherwise(2)
@@ -216,7 +216,7 @@ def resolve_company(requests: DataFrame, links: DataFrame) -> DataFrame:
 def resolve_ticker(requests: DataFrame, links: DataFrame, *, max_score: float = 1) -> DataFrame:
     """(ticker, date) requests -> security; earliest link, then best score."""
     ready = links.withColumns({"ticker": normalized_text("ticker"), "permno": as_long("permno"),
-                               "sdate": as_date("sdate"), "edate": as_date("edate")})
+                               "sdate": as_date(links, "sdate"), "edate": as_date(links, "edate")})
     score = F.lit(0.0)
     if "score" in links.columns:
         ready = eligible_estimate_links(ready, max_score)

@@ -349,7 +349,8 @@ def evaluate_panel_model(
     )
     rows = stage(rows, "panel_rows")
     train = rows.where("split = 'train'")
-    if name_is_constant := model in CONSTANT_MODELS:
+    fitted, usable = None, []
+    if model in CONSTANT_MODELS:
         wanted = F.avg("_y") if model == "baseline_mean" else None
         value = train.agg(wanted).first()[0] if wanted is not None else _train_medians(train, ["_y"]).get("_y")
         if value is None:
@@ -382,21 +383,22 @@ def evaluate_panel_model(
         scored.select("split", F.col("permno").alias("id"), F.col("formation_date").alias("period"),
                       F.col("_y").alias("actual"), "prediction", *features), "panel_scored",
     )
-    importance = None if name_is_constant or model == "baseline_random" else (fitted.stages[-1], usable)
     return PanelEvaluation(
         predictions=scored.select("split", F.col("id").alias("permno"), F.col("period").alias("formation_date"),
                                   "actual", "prediction"),
         metrics=M.evaluate_predictions(scored, ["split"], features=features).withColumn("model", F.lit(model)),
-        importance=feature_importance(panel.sparkSession, importance, features, run_id),
+        importance=feature_importance(panel.sparkSession, fitted, usable, features, run_id),
         splits=splits,
     )
 
 
-def feature_importance(spark: SparkSession, fitted, features: Sequence[str], run_id: str) -> DataFrame:
+def feature_importance(
+    spark: SparkSession, fitted, usable: Sequence[str], features: Sequence[str], run_id: str
+) -> DataFrame:
     """Tree importances or absolute coefficients; one row per feature, missing if unused."""
     values: dict[str, float] = {}
     if fitted is not None:
-        estimator, usable = fitted
+        estimator = fitted.stages[-1]
         vector = getattr(estimator, "featureImportances", None)
         if vector is None:
             vector = np.abs(estimator.coefficients.toArray())

@@ -24,7 +24,7 @@ _NUMBERS = ("prc", "ret", "retx", "shrout", "vol", "cfacpr", "cfacshr")
 def clean_monthly(monthly: DataFrame) -> DataFrame:
     require_columns(monthly, ("permno", "permco", "date", *_NUMBERS), "monthly security table")
     typed = {c: as_number(c) for c in _NUMBERS}
-    typed |= {"permno": as_long("permno"), "permco": as_long("permco"), "date": as_date("date")}
+    typed |= {"permno": as_long("permno"), "permco": as_long("permco"), "date": as_date(monthly, "date")}
     return monthly.withColumns(typed).where(F.col("permno").isNotNull() & F.col("date").isNotNull())
 
 

@@ -52,63 +52,63 @@ CONTRACTS: dict[str, Contract] = {
     c.name: c
     for c in (
         _contract(
-            "crsp_monthly", "data/raw/eqr/crsp_monthly/",
+            "crsp_monthly", "data/raw/crsp_monthly/",
             "monthly_crsp_msf_by_year monthly_crsp_msf.parquet crsp_msf.parquet",
             "permno:l permco:l date:d prc:f ret:f retx:f shrout:f vol:f cfacpr:f cfacshr:f market_cap:f",
             "date", "permno date",
         ),
         _contract(
-            "crsp_names", "data/raw/eqr/crsp_names.parquet", "crsp_msenames.parquet crsp_names.parquet",
+            "crsp_names", "data/raw/crsp_names.parquet", "crsp_msenames.parquet crsp_names.parquet",
             "permno:l comnam:s ncusip:s ticker:s shrcd:i exchcd:i namedt:d nameenddt:d",
             "namedt nameenddt", "permno namedt nameenddt",
         ),
         _contract(
-            "ccm_link", "data/raw/eqr/ccm_link.parquet", "ccm_linktable.parquet ccm_link.parquet",
+            "ccm_link", "data/raw/ccm_link.parquet", "ccm_linktable.parquet ccm_link.parquet",
             "gvkey:s linkprim:s liid:s linktype:s lpermno:l lpermco:l usedflag:i linkdt:d linkenddt:d",
             "linkdt linkenddt?", "gvkey liid lpermno linkdt linkenddt linktype linkprim",
         ),
         _contract(
-            "comp_company", "data/raw/eqr/comp_company.parquet", "comp_company.parquet",
+            "comp_company", "data/raw/comp_company.parquet", "comp_company.parquet",
             "gvkey:s conm:s cik:s sic:s naics:s gsector:s gind:s gsubind:s fic:s loc:s ipodate:d",
             "ipodate?", "gvkey",
         ),
         _contract(
-            "comp_fundq", "data/raw/eqr/comp_fundq/", "comp_fundq_by_year comp_fundq.parquet",
+            "comp_fundq", "data/raw/comp_fundq/", "comp_fundq_by_year comp_fundq.parquet",
             "gvkey:s datadate:d rdq:d fyearq:i fqtr:i fyr:i indfmt:s datafmt:s popsrc:s consol:s curcdq:s "
             "oiadpq:f niq:f ceqq:f oancfy:f revtq:f atq:f ltq:f dlttq:f dlcq:f cogsq:f xsgaq:f dpq:f pstkq:f "
             "txditcq:f cshoq:f prccq:f epspxq:f epsfxq:f saleq:f",
             "datadate rdq?", "gvkey datadate fyearq fqtr indfmt datafmt popsrc consol",
         ),
         _contract(
-            "ibes_link", "data/raw/eqr/ibes_link.parquet", "ibes_link.parquet",
+            "ibes_link", "data/raw/ibes_link.parquet", "ibes_link.parquet",
             "ticker:s permno:l ncusip:s sdate:d edate:d score:f", "sdate edate", "ticker permno sdate edate",
         ),
         _contract(
-            "ibes_summary", "data/raw/eqr/ibes_summary/", "ibes_statsum_epsus_by_year ibes_statsum_epsus.parquet",
+            "ibes_summary", "data/raw/ibes_summary/", "ibes_statsum_epsus_by_year ibes_statsum_epsus.parquet",
             "ticker:s cusip:s oftic:s cname:s statpers:d fiscalp:s measure:s fpi:s numest:f meanest:f medest:f "
             "stdev:f highest:f lowest:f actual:f usfirm:i fpedats:d actdats_act:d anndats_act:d",
             "statpers fpedats actdats_act? anndats_act?", "ticker statpers measure fpi fpedats",
         ),
         _contract(
-            "ibes_detail", "data/raw/eqr/ibes_detail/", "ibes_det_epsus_by_year ibes_det_epsus.parquet",
+            "ibes_detail", "data/raw/ibes_detail/", "ibes_det_epsus_by_year ibes_det_epsus.parquet",
             "ticker:s cusip:s oftic:s cname:s analys:l estimator:l measure:s fpi:s value:f curr:s usfirm:i "
             "anndats:d revdats:d fpedats:d actual:f anndats_act:d",
             "anndats revdats fpedats anndats_act?",
             "ticker analys estimator measure fpi fpedats anndats revdats",
         ),
         _contract(
-            "ibes_actual", "data/raw/eqr/ibes_actual/", "ibes_act_epsus_by_year ibes_act_epsus.parquet",
+            "ibes_actual", "data/raw/ibes_actual/", "ibes_act_epsus_by_year ibes_act_epsus.parquet",
             "ticker:s cusip:s oftic:s cname:s anndats:d measure:s pends:d value:f curr_act:s usfirm:i actdats:d",
             "anndats pends actdats", "ticker measure pends anndats actdats",
         ),
         _contract(
-            "ibes_target", "data/raw/eqr/ibes_target/", "ibes_ptgsum_by_year ibes_ptgsum.parquet",
+            "ibes_target", "data/raw/ibes_target/", "ibes_ptgsum_by_year ibes_ptgsum.parquet",
             "ticker:s cusip:s oftic:s cname:s statpers:d numest:f numup4w:f numdown4w:f numup1m:f numdown1m:f "
             "meanptg:f medptg:f stdev:f ptghigh:f ptglow:f curr:s usfirm:i measure:s",
             "statpers", "ticker statpers measure",
         ),
         _contract(
-            "macro_features", "data/raw/eqr/macro_features.parquet", "macro_features.parquet",
+            "macro_features", "data/raw/macro_features.parquet", "macro_features.parquet",
             "date:d sp500:f nasdaq:f treasury_2y:f treasury_10y:f", "date", "date",
         ),
     )
@@ -130,7 +130,7 @@ def date_profile(df: DataFrame, dates: Sequence[str]) -> DataFrame:
     """One row per date column: span, filled rows and rows that do not parse; one scan."""
     sums = []
     for name in dates:
-        parsed = as_date(name)
+        parsed = as_date(df, name)
         sums += [
             F.min(parsed).alias(f"{name}:min"),
             F.max(parsed).alias(f"{name}:max"),
@@ -171,7 +171,7 @@ def table_summary(df: DataFrame, date_column: str | None = None) -> DataFrame:
     names = df.columns
     sums = [F.count(F.lit(1)).alias("rows")]
     sums += [F.count_if(F.col(n).isNull()).alias(f"missing:{n}") for n in names]
-    parsed = as_date(date_column) if date_column else F.lit(None).cast("date")
+    parsed = as_date(df, date_column) if date_column else F.lit(None).cast("date")
     sums += [
         F.count_if(parsed.isNull()).alias("invalid"),
         F.min(parsed).alias("first"),

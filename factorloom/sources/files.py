@@ -46,7 +46,7 @@ def _coerced(df: DataFrame, contract: Contract) -> DataFrame:
         if target is None or target == field.dataType:
             columns.append(F.col(field.name))
         elif isinstance(target, T.DateType):
-            columns.append(as_date(field.name).alias(field.name))
+            columns.append(as_date(df, field.name).alias(field.name))
         else:
             columns.append(F.col(field.name).try_cast(target).alias(field.name))
     return nulled_nonfinite(df.select(*columns))
@@ -125,7 +125,7 @@ def write_dataset(df: DataFrame, location: str, *, mode: str = "error") -> None:
 def prepared_panel(df: DataFrame) -> DataFrame:
     """A prepared panel with parsed dates and a checked key."""
     require_columns(df, PANEL_KEY, "prepared panel")
-    panel = df.withColumn("formation_date", as_date("formation_date"))
+    panel = df.withColumn("formation_date", as_date(df, "formation_date"))
     require_unique(panel, PANEL_KEY, "prepared panel")
     return panel
 

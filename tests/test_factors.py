@@ -157,9 +157,9 @@ def test_universe_selection(research):
 
 def test_macro_designs(research):
     df, _, _ = research
-    used, missing = G.macro_columns(["macro__sp500", "macro__sp500_c20", "x"], "ddqm2_25x3_us_macro")
+    used, missing = G.macro_columns(["macro__sp500", "macro__sp500_c20", "x"], "us_macro_25x3")
     assert used == ["macro__sp500", "macro__sp500_c20"] and len(missing) == 73
-    assert len(G.macro_columns([], "expanded_us_macro")[1]) == 156
+    assert len(G.macro_columns([], "us_macro_expanded")[1]) == 156
     with pytest.raises(ValueError):
         G.macro_design(df.drop("macro__a", "macro__b"))
     constant = G.macro_design(df).withColumns({"macro__a": F.lit(1.0), "macro__b": F.lit(2.0)})

@@ -74,9 +74,10 @@ def test_cells_keep_the_order(spark):
 
 
 def test_text_and_number_helpers(spark):
-    row = spark.sql("SELECT ' ab\t' AS t, 'x1' AS bad, '12' AS code, '1234567' AS long, '2020-13-01' AS d, 0D AS z").select(
+    df = spark.sql("SELECT ' ab\t' AS t, 'x1' AS bad, '12' AS code, '1234567' AS long, '2020-13-01' AS d, 0D AS z")
+    row = df.select(
         S.normalized_text("t").alias("t"), S.as_number("bad").alias("bad"), S.zero_padded("code").alias("code"),
-        S.zero_padded("long").alias("long"), S.as_date("d").alias("d"), S.safe_divide(F.lit(1.0), F.col("z")).alias("q"),
+        S.zero_padded("long").alias("long"), S.as_date(df, "d").alias("d"), S.safe_divide(F.lit(1.0), F.col("z")).alias("q"),
         S.clipped(F.lit(None).cast("double"), -5.0, 5.0).alias("c"), S.clipped(F.lit(9.0), -5.0, 5.0).alias("c9"),
     ).first()
     assert tuple(row) == ("AB", None, "000012", "1234567", None, None, None, 5.0)

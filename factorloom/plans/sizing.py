@@ -24,4 +24,6 @@ def cluster_settings(input_bytes: int, total_cores: int, *, shuffle_share: float
         "spark.sql.files.maxPartitionBytes": str(256 * 1024**2),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # no call-site capture for every column expression on the driver
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }

@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 from factorloom.llm.located import FILE, PLACE, ROW, with_place
 from factorloom.plans.staging import stage, stage_root
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # close each store after its commit: open stores hold several MB of disk and memory each
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def sha256_hex(text: Column) -> Column:
@@ -44,9 +48,9 @@ def retained_state(arrivals: DataFrame) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, STATE_STORE)
+    before = {key: spark.conf.get(key) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.outputMode("update").foreachBatch(keep)
@@ -54,7 +58,8 @@ def retained_state(arrivals: DataFrame) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     if not query.recentProgress or not any(p["numInputRows"] for p in query.recentProgress):
         return spark.createDataFrame([], state.schema)
     updates = spark.read.schema(state.schema.add("batch", "long")).parquet(out)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, exactdedup, packing, secretscan, tokencounts, tokenfiles
+from factorloom.llm import bpe, exactdedup, jaccardjoin, packing, secretscan, tokencounts, tokenfiles, toxicity
 from factorloom.plans.shipping import ship_package
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
@@ -44,13 +49,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), WORD_VOCABULARY).drop("piece")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccardjoin.components(_table(spark, sf_dir, "documents"), words=5, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = exactdedup.duplicate_classes(_table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_bpe_round_trip, op3_secret_scan, op4_token_files, op5_token_counts, op6_packing, op8_exact_dedup,
+    op1_toxicity, op2_bpe_round_trip, op3_secret_scan, op4_token_files, op5_token_counts, op6_packing, op7_ngram_jaccard,
+    op8_exact_dedup,
 )}
 
 ORACLE_SQL = {

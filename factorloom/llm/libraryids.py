@@ -7,14 +7,17 @@ sees each distinct unit once per memo generation instead of at every place it st
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from factorloom.llm.bpe import byte_alphabet
 from factorloom.llm.textunits import Memo, blank_cut, byte_level_pieces, library_pieces
 
-UNIT_MEMO = 200_000
-PIECE_MEMO = 200_000
+UNIT_MEMO = 300_000
+PIECE_MEMO = 300_000
 
 
 class LibraryIds:
@@ -30,13 +33,38 @@ class LibraryIds:
         self._keeps_blanks = described["pre_tokenizer"]["type"] == "ByteLevel" and not described["normalizer"]
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
         self._cut = library_pieces(self._tokenizer)
-        self._piece = Memo(self._library, PIECE_MEMO)
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are packed in the machine's order, which must be little-endian")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._merge = self._tokenizer.model.tokenize
+        self._blank = next(c for c, b in byte_alphabet().items() if b == 0x20)
+        self._shown = {b: c for c, b in byte_alphabet().items()}
+        self._piece = Memo(self._merged if self._keeps_blanks else self._word, PIECE_MEMO)
         self._unit = Memo(self._spaced_unit if self._keeps_blanks else self._word_unit, UNIT_MEMO)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        return array(self._code, self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one piece: the library's merges alone, as its cutting is done."""
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self._blank)
+        else:
+            shown = piece.encode().decode("latin-1").translate(self._shown)
+        return array(self._code, [t.id for t in self._merge(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word without blanks; plain letters need no cutting and only lower case."""
+        if word.isascii() and word.isalpha():
+            return array(self._code, [t.id for t in self._merge(word.lower())]).tobytes()
+        return self._library(word)
 
     def _spaced_unit(self, unit: str) -> bytes:
+        if unit.isascii():
+            if unit.isalpha():
+                return self._piece[" " + unit]
+            if unit[:-1].isalpha() and unit[-1] in ".,":
+                return self._piece[" " + unit[:-1]] + self._piece[unit[-1]]
         return b"".join([self._piece[p] for p in byte_level_pieces(" " + unit, self._cut)])
 
     def _word_unit(self, unit: str) -> bytes:

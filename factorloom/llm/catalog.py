@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import bpe, exactdedup, jaccardjoin, packing, secretscan, tokencounts, tokenfiles, toxicity
+from factorloom.llm import (
+    bpe, chatformat, exactdedup, hammingsearch, jaccardjoin, packing, secretscan, tokencounts, tokenfiles, toxicity,
+)
 from factorloom.plans.shipping import ship_package
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,9 +61,17 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatformat.repaired(_table(spark, sf_dir, "conversations"))
+
+
+def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hammingsearch.nearest(_table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0, k=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_bpe_round_trip, op3_secret_scan, op4_token_files, op5_token_counts, op6_packing, op7_ngram_jaccard,
-    op8_exact_dedup,
+    op8_exact_dedup, op9_chat_format, op10_hamming_search,
 )}
 
 ORACLE_SQL = {
@@ -70,4 +80,13 @@ ORACLE_SQL = {
         classes AS (SELECT content, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY content)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256
         FROM rows JOIN classes USING (content)""",
+    "op10_hamming_search": """
+        WITH codes AS (
+            SELECT vec_id, list_aggregate(list_transform(embedding, x -> CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS code
+            FROM embeddings),
+        pairs AS (
+            SELECT q.vec_id, r.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, r.code)) AS INTEGER) AS distance
+            FROM codes q JOIN codes r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank, neighbor_id, distance
+        FROM pairs QUALIFY rank <= 10""",
 }

@@ -440,20 +440,44 @@ def train(
 _scorers: dict[int, Scorer] = {}
 
 
-def score(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, held_out, score, predicted): every whole text scored over all its windows."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(Network(net.weights, net.blend, net.constant))
+def _shared_scorer(docs: DataFrame, net: Network):
+    """Function from texts to scores for use in tasks; the weights are broadcast, their size is fixed."""
+    shared = docs.sparkSession.sparkContext.broadcast(Network(net.weights, net.blend, net.constant))
 
-    def run(batches):
-        key = hash((id(shared.value), shared.value.blend))
+    def scores(texts: list[str]) -> np.ndarray:
+        key = id(shared.value)  # a broadcast value is one object in a worker
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(shared.value)
         scorer = _scorers[key]
+        return scorer.net.score(scorer.features(texts))
+
+    return scores
+
+
+def keep_below(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with all their columns."""
+    bounded_batches(docs.sparkSession)
+    scorer, at = _shared_scorer(docs, net), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [value.as_py() or "" for value in batch.column(at)]
+            kept = batch.filter(pa.array(scorer(texts) < threshold))
+            if kept.num_rows:
+                yield kept
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def score(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, held_out, score, predicted): every whole text scored over all its windows."""
+    bounded_batches(docs.sparkSession)
+    scorer = _shared_scorer(docs, net)
+
+    def run(batches):
         for batch in batches:
-            scores = scorer.net.score(scorer.features(list(texts_of(batch, text_col))))
+            scores = scorer(list(texts_of(batch, text_col)))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())],
                 [id_col, "held_out", "score", "predicted"],

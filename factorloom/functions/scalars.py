@@ -82,9 +82,14 @@ def nulled_nonfinite(df: DataFrame) -> DataFrame:
 
 def fixed_point(value: Column | str, digits: int = 6) -> Column:
     """Round for reports.  The cut sits a little below one half, so that sums added in a
-    different order do not fall on different sides of a decimal tie."""
+    different order do not fall on different sides of a decimal tie.  Values too large to
+    have such digits stay as they are."""
     scale = float(10**digits)
-    return F.floor(col(value) * F.lit(scale) + F.lit(0.5001)).cast("double") / F.lit(scale)
+    x = col(value)
+    small = F.when(F.abs(x) < 9e15 / scale, x)
+    return F.when(F.abs(x) >= 9e15 / scale, x).otherwise(
+        F.floor(small * F.lit(scale) + F.lit(0.5001)).cast("double") / F.lit(scale)
+    )
 
 
 def fixed_growth(value: Column | str) -> Column:

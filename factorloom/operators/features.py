@@ -94,6 +94,8 @@ def fundamental_ratios(fundamentals: DataFrame, *, fallback_days: int = 90) -> D
         {"gvkey": zero_padded("gvkey"), "datadate": as_date(fundamentals, "datadate"),
          "rdq": as_date(fundamentals, "rdq")}
     )
+    # a row without company can't be linked; all of them would share one window
+    q = q.where(F.col("gvkey").isNotNull() & (F.col("gvkey") != ""))
     q = q.withColumn("available_date", F.coalesce("rdq", F.date_add("datadate", fallback_days)))
     equity, assets = F.col("ceqq"), F.col("atq")
     debt = F.coalesce("dlttq", F.lit(0.0)) + F.coalesce("dlcq", F.lit(0.0))
@@ -163,6 +165,7 @@ def estimate_summary(summary: DataFrame, *, partition_by: Sequence[str] = ("tick
     )
     if "measure" in summary.columns:
         s = s.where(F.upper("measure") == "EPS")
+    s = s.where(F.col("ticker").isNotNull() & (F.col("ticker") != ""))  # can't be linked, and would share one window
     mean = F.col("meanest")
     prior = F.lag("meanest", 1).over(Window.partitionBy(*partition_by).orderBy("statpers", "meanest", "numest"))
     return s.select(
@@ -228,13 +231,16 @@ def macro_month_end(macro: DataFrame) -> DataFrame:
     return dated.groupBy(F.last_day("date").alias("formation_date")).agg(*last_known)
 
 
-def add_macro(panel: DataFrame, macro: DataFrame, *, exact_date_join: bool = False, as_of: str = "month_end") -> DataFrame:
+def add_macro(panel: DataFrame, macro: DataFrame, *, as_of: str = "month_end") -> DataFrame:
     """Macro snapshot of each panel date.
 
-    By default both sides meet at the calendar month end; ``exact_date_join`` asks for equal
-    dates instead.  ``as_of="formation_date"`` uses, per date, only what was known by then.
-    Monthly snapshots are one row per month, daily ones one row per panel date.
+    By default a snapshot is known at the calendar month end and joined by that date, so a
+    panel date before it gets none.  ``as_of="formation_date"`` uses, per date, what was
+    known by then in its month.  Neither looks ahead.  Monthly snapshots are one row per
+    month, daily ones one row per panel date.
     """
+    if as_of not in ("month_end", "formation_date"):
+        raise ValueError(f"unknown macro timing: {as_of}")
     if as_of == "formation_date":
         values = [c for c in macro.columns if c != "date"]
         dated = macro.withColumn("date", as_date(macro, "date")).where(F.col("date").isNotNull())
@@ -246,22 +252,22 @@ def add_macro(panel: DataFrame, macro: DataFrame, *, exact_date_join: bool = Fal
             *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"macro__{c}") for c in values]
         )
         return panel.join(stage(snapshots, "macro"), "formation_date", "left")
-    snapshots = stage(macro_month_end(macro), "macro")
-    if exact_date_join:
-        return panel.join(snapshots, "formation_date", "left")
-    snapshots = snapshots.withColumnRenamed("formation_date", "_month")
-    return panel.join(snapshots, F.last_day("formation_date") == F.col("_month"), "left").drop("_month")
+    return panel.join(stage(macro_month_end(macro), "macro"), "formation_date", "left")
 
 
 # --- narrowing and assembly ------------------------------------------------------------
 
-def narrow_inputs(inputs: Mapping[str, DataFrame], panel: DataFrame) -> dict[str, DataFrame]:
-    """Keep raw rows that can reach the panel: its securities, and its dates plus look-back."""
+def narrow_inputs(
+    inputs: Mapping[str, DataFrame], panel: DataFrame, *, lookback_days: int = LOOKBACK_DAYS
+) -> dict[str, DataFrame]:
+    """Keep raw rows that can reach the panel: its securities, and its dates plus look-back.
+
+    Rows older than ``lookback_days`` before the first panel date are left out."""
     out = dict(inputs)
     first, last = panel.agg(F.min("formation_date"), F.max("formation_date")).first()
     if first is None:
         return out
-    low, high = F.date_sub(F.lit(first), LOOKBACK_DAYS), F.lit(last)
+    low, high = F.date_sub(F.lit(first), lookback_days), F.lit(last)
     securities = panel.select(F.col("permno").alias("_p")).distinct()
     if "ccm_link" in out:
         out["ccm_link"] = out["ccm_link"].join(securities, as_long("lpermno") == F.col("_p"), "left_semi")
@@ -293,7 +299,7 @@ CustomFamily = Callable[[DataFrame, Mapping[str, DataFrame]], tuple[DataFrame, d
 
 def build_features(
     panel: DataFrame, inputs: Mapping[str, DataFrame], families: Sequence[str] | None = None, *,
-    custom: Mapping[str, CustomFamily] | None = None, exact_date_join: bool = False,
+    custom: Mapping[str, CustomFamily] | None = None, macro_as_of: str = "month_end",
 ) -> FeatureSet:
     """Add the requested families to the panel; families without inputs are skipped.
 
@@ -326,9 +332,9 @@ def build_features(
         metadata |= _describe(CRSP_FEATURES, "crsp", "monthly panel", "values of the formation month and before")
     if "macro" in active:
         macro = inputs["macro_features"]
-        frame = add_macro(frame, macro, exact_date_join=exact_date_join)
+        frame = add_macro(frame, macro, as_of=macro_as_of)
         names = {f"macro__{c}": "macro" for c in macro.columns if c != "date"}
-        metadata |= _describe(names, "macro", "macro_features", "last value within the calendar month")
+        metadata |= _describe(names, "macro", "macro_features", "month end of the calendar month, or known by the panel date")
     for name in active:
         if name in custom:
             built, described = custom[name](panel, inputs)

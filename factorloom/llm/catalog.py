@@ -82,7 +82,7 @@ ORACLE_SQL = {
         FROM rows JOIN classes USING (content)""",
     "op10_hamming_search": """
         WITH codes AS (
-            SELECT vec_id, list_aggregate(list_transform(embedding, x -> CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS code
+            SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS code
             FROM embeddings),
         pairs AS (
             SELECT q.vec_id, r.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, r.code)) AS INTEGER) AS distance

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import guarded_correlation
 from ..plans.orderstats import pick_ranked
+from ..plans.shipping import ship_package
 from ..plans.staging import fixed_table, stage
 from . import metrics as M
 
@@ -181,6 +182,7 @@ def _grouped_fit(rows: DataFrame, features: Sequence[str], fit: FitPredict) -> D
         out["prediction"] = fit(x[train], y[train], x) if train.any() else np.nan
         return out
 
+    ship_package(rows.sparkSession)
     columns = ["formation_date", "factor_id", TARGET, "role", "fold", *features]
     return rows.select(*columns).groupBy("factor_id", "fold").applyInPandas(one, _FIT_SCHEMA)
 

@@ -36,6 +36,7 @@ CHUNK_BYTES = 4 << 20
 HELD_HASHES = 2_000_000
 TABLE_BITS = 18
 LEADING_ROUNDS = 2
+EARLY_GRAMS = 8
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -390,7 +391,7 @@ def _components_of_sets(sets: DataFrame, percent: int) -> DataFrame:
         verdicts = _verified(stage(pairs, "jaccard-pairs"), sets, percent)
         labels = contracted(labels, verdicts.filter("linked").select("a", "b"))
         tested = verdicts if tested is None else tested.unionByName(verdicts)
-    return contracted(labels, _verified(_open_pairs(postings, nodes, labels, tested, sets, percent), sets, percent).filter("linked").select("a", "b"))
+    return contracted(labels, _verified(_open_pairs(postings, groups, nodes, labels, tested, sets, percent), sets, percent).filter("linked").select("a", "b"))
 
 
 def _open_postings(postings: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -413,18 +414,24 @@ def _pairs_with_leaders(opened: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _open_pairs(postings: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(
+    postings: DataFrame, groups: DataFrame, nodes: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int
+) -> DataFrame:
     """All candidate pairs of nodes that are still in different components and were not tested.
 
     In each n-gram the largest component is not paired with itself: only groups outside it look for partners.
+    Two groups that share one of the first n-grams of both prefixes have met there, and do not meet again later.
     """
-    opened = _open_postings(postings, nodes, labels)
+    early = groups.select("grp", F.slice("prefix", 1, EARLY_GRAMS).alias("early"))
+    opened = _open_postings(postings, nodes, labels).join(early, "grp")
+    opened = opened.withColumn("early", F.slice("early", F.lit(1), F.least("pos", F.lit(EARLY_GRAMS))))
     sizes = opened.filter("lo = hi").groupBy("gram", "lo").agg(F.count(F.lit(1)).alias("groups"))
     main = sizes.groupBy("gram").agg(F.max(F.struct("groups", "lo")).alias("main")).select("gram", F.col("main.lo").alias("main"))
     seeking = opened.join(main, "gram", "left").filter(F.col("main").isNull() | (F.col("lo") != F.col("main")) | (F.col("hi") != F.col("main")))
-    seeking = seeking.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("grp", "n", "pos", "lo", "hi")])
+    seeking = seeking.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("grp", "n", "pos", "lo", "hi", "early")])
     apart = (F.col("lo_a") != F.col("lo")) | (F.col("hi_a") != F.col("hi")) | (F.col("lo") != F.col("hi"))
-    pairs = seeking.join(opened, "gram").filter(apart & _fits(percent, "n_a", "pos_a", "n", "pos"))
+    first = ~F.arrays_overlap("early_a", "early")
+    pairs = seeking.join(opened, "gram").filter(apart & _fits(percent, "n_a", "pos_a", "n", "pos") & first)
     pairs = pairs.select(F.least("grp_a", "grp").alias("grp_a"), F.greatest("grp_a", "grp").alias("grp_b")).distinct()
     mixed_groups = nodes.filter("size > 1").join(labels, "node").groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     pairs = pairs.unionByName(mixed_groups.filter("lo != hi").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))).distinct()

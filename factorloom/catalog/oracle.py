@@ -626,6 +626,10 @@ def statements() -> dict[str, str]:
             WHEN event_id % 50 = 0 AND previous_state <> 'PROPOSED' THEN 'discontinuous' WHEN EXISTS (
               SELECT 1 FROM legal g WHERE g.from_state = previous_state AND g.to_state = e.to_state) THEN 'legal' ELSE 'illegal' END AS verdict,
             count(*) AS events FROM (SELECT *, lag(to_state) OVER (PARTITION BY job_id ORDER BY event_id) AS previous_state FROM je) e GROUP BY ALL""",
+        "job_payloads": """SELECT event_id, CAST(json_object('event_type', event_type, 'job_id', job_id, 'to_state', to_state) AS VARCHAR) AS payload,
+            CAST(job_id AS VARCHAR) AS job_field FROM je""",
+        "features_on_panel_dates": f"""SELECT permno, formation_date, {_rounded(['crsp__reversal_1m'])} FROM fp
+            WHERE formation_date IN (SELECT formation_date FROM panel WHERE month(formation_date) % 2 = 0)""",
         "job_failure_rate": f"""SELECT jobs, queue_factor, failure_rate, {r('0.3e0 * queue_factor + 0.4e0 * (1 - failure_rate) + 0.3e0')} AS adjustment,
             greatest(1, least(20, CAST(round_even(20 * (0.3e0 * queue_factor + 0.4e0 * (1 - failure_rate) + 0.3e0), 0) AS INTEGER))) AS trial_count
             FROM (SELECT count(*) AS jobs, {r("1 - count(*) FILTER (WHERE state = 'QUEUED') / count(*)")} AS queue_factor,

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fixed_growth, fixed_point
+from ..functions.scalars import fixed_growth, fixed_point, json_fields, json_payload
 from ..operators import factors as G
 from ..operators import features as X
 from ..operators import intervals as I
@@ -846,6 +846,21 @@ def job_transition_audit(spark, sf):
     return J.audit_summary(J.transition_audit(stepped.withColumn("from_state", stated).drop("previous_state")))
 
 
+@query
+def job_payloads(spark, sf):
+    """Payload of each event as JSON text, and one of its fields read back."""
+    events = _events(spark, sf).withColumn("payload", json_payload(("to_state", "event_type", "job_id")))
+    return events.select("event_id", "payload", F.try_element_at(json_fields("payload"), F.lit("job_id")).alias("job_field"))
+
+
+@query
+def features_on_panel_dates(spark, sf):
+    """Features of all dates, kept for the dates of a panel of every second month."""
+    built = _feature_panel(spark, sf).select("permno", "formation_date", "crsp__reversal_1m")
+    kept = X.on_panel_dates(built, _panel(spark, sf).where(F.month("formation_date") % 2 == 0))
+    return _fixed(kept, ["permno", "formation_date"], ["crsp__reversal_1m"])
+
+
 @query
 def job_failure_rate(spark, sf):
     budget = J.trial_budget(J.current_state(_events(spark, sf)), hard_cap=20)

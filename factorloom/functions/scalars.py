@@ -6,6 +6,8 @@ table is read, because Spark sorts NaN above every number and counts it as a val
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,3 +112,16 @@ def guarded_correlation(x: Column, y: Column) -> Column:
     xs, ys = F.when(both, x), F.when(both, y)
     spread = F.stddev_pop(xs) * F.stddev_pop(ys)
     return F.when((F.count(xs) > 1) & (spread > 0), F.covar_pop(xs, ys) / F.nullif(spread, F.lit(0.0)))
+
+
+def json_payload(columns: Sequence[str]) -> Column:
+    """JSON object of the columns in the order of their names, missing values as null."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def json_fields(payload: Column | str) -> Column:
+    """Fields of a JSON object as text; no payload has none, and any other value is the field ``value``."""
+    text = F.trim(col(payload))
+    fields = F.from_json(text, "map<string,string>")
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    return F.when(text.startswith("{"), fields).when(F.length(text) > 0, F.create_map(F.lit("value"), text)).otherwise(none)

@@ -289,6 +289,12 @@ def narrow_inputs(
     return out
 
 
+def on_panel_dates(features: DataFrame, panel: DataFrame) -> DataFrame:
+    """Feature rows whose date is one of the panel's dates."""
+    dated = features.withColumn("formation_date", as_date(features, "formation_date"))
+    return dated.join(panel.select("formation_date").dropna().distinct(), "formation_date", "left_semi")
+
+
 # The families in their order, and the tables each one cannot do without.
 FAMILIES: dict[str, tuple[str, ...]] = {
     "macro": ("macro_features",), "crsp": (), "compustat": ("comp_fundq", "ccm_link"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,14 +62,28 @@ def read_parquet(spark: SparkSession, location: str, schema: T.StructType | None
     return reader.parquet(location)
 
 
+def read_contract(spark: SparkSession, location: str, contract: Contract) -> DataFrame:
+    """A table in the contract's types.
+
+    Files of one folder may differ in a column's type, as a year without any value is often
+    written with another one; files of one schema are read together and cast before the union.
+    """
+    by_schema: dict[str, list[str]] = {}
+    for file in parquet_files(spark, location) or [location]:
+        by_schema.setdefault(spark.read.parquet(file).schema.simpleString(), []).append(file)
+    if len(by_schema) <= 1:
+        return _coerced(read_parquet(spark, location), contract)
+    parts = [_coerced(spark.read.parquet(*files), contract) for files in by_schema.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def resolve_tables(spark: SparkSession, data_dir: str, *, coerce: bool = True) -> dict[str, DataFrame]:
     """All raw tables found under a folder, by contract name; absent tables are left out."""
     tables = {}
     for contract in CONTRACTS.values():
         location = locate(spark, data_dir, contract)
         if location is not None:
-            df = read_parquet(spark, location)
-            tables[contract.name] = _coerced(df, contract) if coerce else df
+            tables[contract.name] = read_contract(spark, location, contract) if coerce else read_parquet(spark, location)
     return tables
 
 
@@ -194,7 +209,7 @@ def write_links(folder: str, company: DataFrame, estimate: DataFrame, diagnostic
 
 
 def export_jobs(jobs: DataFrame, location: str, events: DataFrame | None = None, *, mode: str = "error") -> None:
-    """Jobs as CSV, or jobs with their events nested as JSON."""
+    """Jobs as CSV, or each event with the fields of its job as a line of JSON."""
     if events is None:
         jobs.write.mode(mode).option("header", True).csv(location)
         return

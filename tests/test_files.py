@@ -146,3 +146,27 @@ def test_shared_stages_are_built_once(spark):
     staging.forget_shared_stages()
     staging.shared_stage(spark, "once", "here", build)
     assert len(calls) == 2
+
+
+def test_years_of_different_types_are_read_as_one_table(spark, tmp_path):
+    """A year whose prices are all missing was written with another type."""
+    folder = tmp_path / "monthly_crsp_msf_by_year"
+    spark.sql("SELECT 1L AS permno, DATE '2019-01-31' AS date, 5.5D AS prc").coalesce(1).write.parquet(str(folder / "y2019.parquet"))
+    spark.sql("SELECT 2L AS permno, DATE '2020-01-31' AS date, CAST(NULL AS INT) AS prc").coalesce(1).write.parquet(str(folder / "y2020.parquet"))
+    contract = C.CONTRACTS["crsp_monthly"]
+    parts = [str(p) for p in sorted(folder.glob("*/*.parquet"))]
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for k, part in enumerate(parts):
+        (flat / f"y{k}.parquet").write_bytes(open(part, "rb").read())
+    got = S.read_contract(spark, str(flat), contract).orderBy("permno").collect()
+    assert [(r.permno, r.prc) for r in got] == [(1, 5.5), (2, None)]
+
+
+def test_json_payloads(spark):
+    from factorloom.functions.scalars import json_fields, json_payload
+
+    df = spark.sql("SELECT 'x' AS b, 1 AS a, CAST(NULL AS STRING) AS c")
+    assert df.select(json_payload(["b", "c", "a"])).first()[0] == '{"a":1,"b":"x","c":null}'
+    texts = spark.createDataFrame([(0, '{"a":1,"b":"x"}'), (1, "5"), (2, None), (3, "")], "k int, t string").select("k", json_fields("t").alias("f"))
+    assert [r.f for r in texts.orderBy("k").collect()] == [{"a": "1", "b": "x"}, {"value": "5"}, {}, {}]

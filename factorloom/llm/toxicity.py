@@ -353,10 +353,13 @@ class Scorer:
             tokens = text.lower().split()
             rows.append(np.frombuffer(b"".join([known.get(t) or self._token(t) for t in tokens]), dtype=np.int32))
         fresh = list(self._places)[len(self._table):]
-        parts = [self._table]
-        for at in range(0, len(fresh), 4096):
-            parts.append(self.net.projections(fresh[at: at + 4096]))
-        self._table = np.concatenate(parts) if len(parts) > 1 else self._table
+        if fresh:
+            added = np.empty((len(fresh), 2, 3 * HIDDEN), np.float32)
+            by_length = np.argsort([len(w) for w in fresh], kind="stable")  # little padding in a chunk
+            for at in range(0, len(fresh), 2048):
+                some = by_length[at: at + 2048]
+                added[some] = self.net.projections([fresh[i] for i in some])
+            self._table = np.concatenate([self._table, added])
         best, total, count = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.ones(len(texts))
         short = [k for k, r in enumerate(rows) if len(r) < WINDOW]
         for at in range(0, len(short), CHUNK_WINDOWS):

@@ -116,3 +116,11 @@ def test_chronological_and_whole_period_caps(spark):
     assert P.cap_whole_periods(cap_panel(spark, [10] * 3), 15).count() == 15
     with pytest.raises(ValueError):
         P.cap_rows(df, 5, "random")
+
+
+def test_caps_keep_large_ids_apart(spark):
+    base = 1 << 60
+    rows = [(dt.date(2020, 1, 31), base + k) for k in range(6)]
+    df = spark.createDataFrame(rows, "formation_date date, permno long")
+    assert sorted(r.permno - base for r in P.cap_chronological(df, 2).collect()) == [0, 1]
+    assert sorted(r.permno - base for r in P.cap_date_balanced(df, 5).collect()) == [0, 1, 2, 3, 4]

@@ -74,7 +74,54 @@ QUERIES = {f.__name__: f for f in (
     op8_exact_dedup, op9_chat_format, op10_hamming_search,
 )}
 
+# Written out once more, apart from the operator's own table: kind, expression, group of the value, its least length.
+_SECRET_RULES = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 16),
+    ("hex", r"[0-9a-f]+", 0, 32),
+    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    ("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+)
+
+
+def _secret_sql() -> str:
+    """Positions from the lengths of the parts between and in the matches of each rule."""
+    text = lambda value: "'" + value.replace("'", "''") + "'"
+    matches = " UNION ALL ".join(
+        f"SELECT doc_id, {text(kind)} AS kind, {n} AS rule, {least} AS least, regexp_split_to_array(t, {text(rule)}) AS cut, "
+        f"regexp_extract_all(t, {text(rule)}, 0) AS hit, regexp_extract_all(t, {text(rule)}, {group}) AS val FROM d"
+        for n, (kind, rule, group, least) in enumerate(_SECRET_RULES)
+    )
+    total = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    base = "('assign', 'access', 'hex')"
+    joined = lambda condition: f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rule) FILTER (WHERE {condition}), '')"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({matches}),
+        s AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m),
+        p AS (SELECT doc_id, kind, rule, CAST({total('cut[1:i]')} + {total('hit[1:i-1]')} AS BIGINT) AS a, length(hit[i]) AS size FROM s WHERE length(val[i]) >= least),
+        q AS (SELECT *, a + size AS b FROM p)
+        SELECT d.doc_id, {counts}, sha256({joined('kind IN ' + base)}) AS base_sha256, {joined('kind IS NOT NULL')} AS spans
+        FROM d LEFT JOIN q USING (doc_id) GROUP BY d.doc_id"""
+
+
 ORACLE_SQL = {
+    "op3_secret_scan": _secret_sql(),
+    "op7_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        g AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN ws[i:i + 4] ELSE ws END AS gram
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS node, doc_id AS met FROM documents UNION SELECT node, b FROM reach JOIN both_ways ON met = a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(met) AS component_id FROM reach GROUP BY 1) c ON c.node = d.doc_id""",
     "op8_exact_dedup": """
         WITH rows AS (SELECT doc_id, coalesce(text, '') AS content FROM documents),
         classes AS (SELECT content, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY content)

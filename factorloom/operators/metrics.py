@@ -183,7 +183,7 @@ def select_by_validation(
     value = F.col(metric)
     finite = metrics.where((F.col("split") == "validation") & value.isNotNull() & ~F.isnan(value)
                            & (F.abs(value) != float("inf")))
-    best = Window.orderBy(value.desc() if higher_is_better else value.asc(), name)
-    return finite.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(
+    best = finite.orderBy(value.desc() if higher_is_better else value.asc(), name).limit(1)
+    return best.select(
         name, F.lit(metric).alias("selection_metric"), value.alias("validation_value")
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed_point, guarded_correlation
+from ..plans.orderstats import distinct_value_ranks
+from ..plans.staging import stage
 
 # Metrics shown as trends, metrics where less is better, states and the metric
 # that a promotion looks at.
@@ -72,9 +74,21 @@ def prediction_series(predictions: DataFrame, by: Sequence[str] = ("run_id",), p
 
 
 def leaderboard(runs: DataFrame, metric: str = VALIDATION_METRIC) -> DataFrame:
-    """Runs ranked by a metric in its own direction; missing values last, ties by run_id."""
-    value = F.col(metric).asc_nulls_last() if metric in LOWER_IS_BETTER else F.col(metric).desc_nulls_last()
-    return runs.withColumn("position", F.row_number().over(Window.orderBy(value, "run_id")))
+    """Runs ranked by a metric in its own direction; missing values last, ties by run_id.
+
+    Positions come from the counts of the distinct values, so the runs are never ordered in
+    one task; only runs of equal value, or without one, are ordered among themselves.
+    """
+    rows = runs.withColumns({"_all": F.lit(1), "_v": F.col(metric).cast("double")})
+    rows = rows.withColumn("_v", F.when(~F.isnan("_v") & (F.abs("_v") != float("inf")), F.col("_v") + 0.0))
+    values = stage(distinct_value_ranks(rows, ["_all"], "_v"), "metric_values")
+    total = values.groupBy("_all").agg(F.sum("rows_equal").alias("_valued"))
+    placed = rows.join(values.select("_all", F.col("v").alias("_v"), "rows_below", "rows_equal"), ["_all", "_v"], "left")
+    placed = placed.join(total, "_all", "left")
+    ahead = F.col("rows_below") if metric in LOWER_IS_BETTER else F.col("_valued") - F.col("rows_below") - F.col("rows_equal")
+    among = F.row_number().over(Window.partitionBy("_v").orderBy("run_id"))
+    position = (F.coalesce(ahead, "_valued", F.lit(0)) + among).cast("int")
+    return placed.withColumn("position", position).select(*runs.columns, "position")
 
 
 def top_factor_models(metrics: DataFrame, limit: int = 10) -> DataFrame:

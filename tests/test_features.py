@@ -14,29 +14,29 @@ LINK = "gvkey string, lpermno long, linkdt date, linkenddt date, linktype string
 
 
 def panel(make, *dates):
-    ret = [0.01, 0.02, -0.01, 0.03, 0.04, 0.05]
     return make("permno long, formation_date date, ret_1m double, market_cap double",
-                *[(10001, d, ret[i % 6], 100.0 + 10 * i) for i, d in enumerate(dates)])
+                *[(777, d, 0.06 - 0.015 * (i % 7), 2500.0 + 40 * i * i) for i, d in enumerate(dates)])
 
 
 def quarters(make):
-    return make(FUND, ("1001", "2019-12-31", "2020-02-15", 8.0, 40.0, 100.0, 80.0, 30.0, 10.0, 2.0, 10.0, 20.0, 1.0),
-                ("001001", "2020-03-31", None, 9.0, 45.0, 120.0, 90.0, 35.0, 12.0, None, 10.0, 21.0, 0.0))
+    return make(FUND, ("52", "2016-09-30", "2016-11-08", 3.0, 24.0, 60.0, 64.0, 40.0, 16.0, 4.0, 6.0, 8.0, 0.5),
+                ("000052", "2016-12-31", None, 6.0, 40.0, 75.0, 72.0, 42.0, 18.0, None, 6.0, 10.0, 0.0))
 
 
 def company(make):
-    return make(LINK, ("001001", 10001, "2010-01-01", None, "LC", "P", 1), ("001001", 10009, "2010-01-01", None, "XX", "P", 1),
-                ("001001", 10008, "2010-01-01", None, "LU", "C", 0))
+    return make(LINK, ("000052", 777, "2004-06-01", None, "LC", "P", 1), ("000052", 778, "2004-06-01", None, "XX", "P", 1),
+                ("000052", 779, "2004-06-01", None, "LU", "C", 0))
 
 
 def test_fundamentals_wait_for_their_report(make):
-    built = X.build_features(panel(make, "2020-01-31", "2020-02-29", "2020-05-31", "2020-06-30"),
+    built = X.build_features(panel(make, "2016-10-31", "2016-11-30", "2017-02-28", "2017-03-31"),
                              {"comp_fundq": quarters(make), "ccm_link": company(make)}, ["compustat"])
     got = built.frame.orderBy("formation_date").collect()
-    assert [r["compustat__available_lag_days"] for r in got] == [None, 46.0, 46.0, 90.0]
-    assert got[3]["compustat__roe"] == pytest.approx(0.2) and got[1]["compustat__pb"] == pytest.approx(5.0)
+    # reported after 39 days; without a report day known on the 90th day
+    assert [r["compustat__available_lag_days"] for r in got] == [None, 39.0, 39.0, 90.0]
+    assert got[3]["compustat__roe"] == pytest.approx(0.15) and got[1]["compustat__pb"] == pytest.approx(2.0)
     # a missing debt part counts as zero, a zero denominator gives a missing ratio
-    assert got[3]["compustat__debt_to_assets"] == pytest.approx(12 / 90) and got[3]["compustat__pe_proxy"] is None
+    assert got[3]["compustat__debt_to_assets"] == pytest.approx(0.25) and got[3]["compustat__pe_proxy"] is None
 
 
 def test_growth_compares_with_four_rows_before(make):
@@ -48,10 +48,10 @@ def test_growth_compares_with_four_rows_before(make):
 
 
 def test_primary_link_is_preferred(make):
-    links = make(LINK, ("001001", 10001, "2010-01-01", None, "LC", "C", 1), ("001001", 10001, "2011-01-01", None, "LS", "P", None))
+    links = make(LINK, ("000052", 777, "2004-06-01", None, "LC", "C", 1), ("000052", 777, "2008-06-01", None, "LS", "P", None))
     linked = X.link_fundamentals(X.fundamental_ratios(quarters(make)), links)
     assert rows_of(linked, "gvkey", "datadate", "permno") == [
-        ("001001", dt.date(2019, 12, 31), 10001), ("001001", dt.date(2020, 3, 31), 10001)]
+        ("000052", dt.date(2016, 9, 30), 777), ("000052", dt.date(2016, 12, 31), 777)]
 
 
 SUMMARY = ("ticker string, statpers date, measure string, meanest double, stdev double, numest double, actual double, "
@@ -60,17 +60,17 @@ TICKER = "ticker string, permno long, sdate date, edate date, score double"
 
 
 def test_estimates_by_snapshot_day(make):
-    summary = make(SUMMARY, ("abc ", "2020-02-15", "EPS", 1.0, 0.1, 5.0, 1.1, "2020-02-20", "2020-02-20"),
-                   ("ABC", "2020-03-15", "eps", 1.2, 0.12, 6.0, 1.3, None, "2020-03-10"), ("ABC", "2020-03-20", "SAL", 9.0, 1.0, 1.0, 1.0, None, None))
+    summary = make(SUMMARY, ("qrs ", "2016-11-17", "EPS", 2.0, 0.3, 4.0, 2.5, "2016-11-21", "2016-11-21"),
+                   ("QRS", "2016-12-15", "eps", 2.5, 0.2, 8.0, 2.2, None, "2016-12-01"), ("QRS", "2016-12-22", "SAL", 9.0, 1.0, 1.0, 1.0, None, None))
     targets = make("ticker string, statpers date, meanptg double, numup1m double, numdown1m double, numest double",
-                   ("ABC", "2020-03-15", 30.0, 3.0, None, 6.0))
-    inputs = {"ibes_summary": summary, "ibes_link": make(TICKER, ("ABC", 10001, "2019-01-01", None, 1.0)), "ibes_target": targets}
-    got = X.build_features(panel(make, "2020-01-31", "2020-02-29", "2020-03-31"), inputs, ["ibes"]).frame.orderBy("formation_date").collect()
-    assert [r["ibes__mean_estimate"] for r in got] == [None, 1.0, 1.2]
+                   ("QRS", "2016-12-15", 44.0, 2.0, None, 8.0))
+    inputs = {"ibes_summary": summary, "ibes_link": make(TICKER, ("QRS", 777, "2012-03-01", None, 1.0)), "ibes_target": targets}
+    got = X.build_features(panel(make, "2016-10-31", "2016-11-30", "2016-12-31"), inputs, ["ibes"]).frame.orderBy("formation_date").collect()
+    assert [r["ibes__mean_estimate"] for r in got] == [None, 2.0, 2.5]
     # the actual was announced after the first snapshot, before the second
-    assert got[1]["ibes__surprise"] is None and got[2]["ibes__surprise"] == pytest.approx(0.1)
-    assert got[2]["ibes__revision_1m"] == pytest.approx(0.2) and got[2]["ibes__estimate_dispersion"] == pytest.approx(0.1)
-    assert got[2]["ibes__target_price_mean"] == 30.0 and got[2]["ibes__target_revision_balance_1m"] == pytest.approx(0.5)
+    assert got[1]["ibes__surprise"] is None and got[2]["ibes__surprise"] == pytest.approx(-0.3)
+    assert got[2]["ibes__revision_1m"] == pytest.approx(0.25) and got[2]["ibes__estimate_dispersion"] == pytest.approx(0.08)
+    assert got[2]["ibes__target_price_mean"] == 44.0 and got[2]["ibes__target_revision_balance_1m"] == pytest.approx(0.25)
     assert got[1]["ibes__target_price_mean"] is None
 
 
@@ -98,25 +98,27 @@ def test_momentum_skips_the_latest_month(spark):
     assert got["crsp__log_size"].isna().sum() == 2
 
 
-MACRO = "date date, sp500 double, vix double"
+MACRO = "date date, rate double, spread double"
 
 
 def macro(make):
-    return make(MACRO, ("2020-01-02", 100.0, 20.0), ("2020-01-30", 105.0, None), ("2020-02-03", 99.0, 22.0))
+    return make(MACRO, ("2016-11-01", 7.0, 1.5), ("2016-11-29", 8.0, None), ("2016-12-06", 6.0, 2.5))
 
 
-def test_macro_month_end_keeps_last_known_values(make):
-    got = X.add_macro(panel(make, "2020-01-31", "2020-02-29", "2020-03-31"), macro(make)).orderBy("formation_date").collect()
-    assert [(r["macro__sp500"], r["macro__vix"]) for r in got] == [(105.0, 20.0), (99.0, 22.0), (None, None)]
+def test_macro_snapshots_are_known_at_their_month_end(make):
+    got = X.add_macro(panel(make, "2016-11-30", "2016-12-31", "2017-01-31"), macro(make)).orderBy("formation_date").collect()
+    assert [(r["macro__rate"], r["macro__spread"]) for r in got] == [(8.0, 1.5), (6.0, 2.5), (None, None)]
     # a snapshot of the month end is not yet known on the last trading day before it
-    trading = X.add_macro(panel(make, "2020-01-31", "2020-02-28"), macro(make)).orderBy("formation_date").collect()
-    assert [r["macro__sp500"] for r in trading] == [105.0, None]
-    early = X.add_macro(panel(make, "2020-01-15"), macro(make), as_of="formation_date").first()
-    assert early["macro__sp500"] == 100.0
+    trading = X.add_macro(panel(make, "2016-11-30", "2016-12-30"), macro(make)).orderBy("formation_date").collect()
+    assert [r["macro__rate"] for r in trading] == [8.0, None]
+    early = X.add_macro(panel(make, "2016-11-15"), macro(make), as_of="formation_date").first()
+    assert early["macro__rate"] == 7.0
+    with pytest.raises(ValueError):
+        X.add_macro(panel(make, "2016-11-15"), macro(make), as_of="any")
 
 
 def test_families_metadata_and_errors(spark, make):
-    p = panel(make, "2020-01-31", "2020-02-29")
+    p = panel(make, "2016-11-30", "2016-12-31")
     built = X.build_features(p, {"macro_features": macro(make)})
     assert built.skipped == ("compustat", "ibes")
     described = {r.feature for r in X.feature_metadata(spark, built).collect()}
@@ -133,27 +135,27 @@ def test_families_metadata_and_errors(spark, make):
 
 def test_narrowing_keeps_what_the_panel_can_reach(make):
     inputs = {
-        "comp_fundq": make(FUND, *[("1001", d, None, *[1.0] * 10) for d in ("2017-01-31", "2019-12-31", "2021-01-31")],
-                           ("2002", "2019-12-31", None, *[1.0] * 10)),
+        "comp_fundq": make(FUND, *[("52", d, None, *[1.0] * 10) for d in ("2013-10-31", "2016-09-30", "2018-01-31")],
+                           ("93", "2016-09-30", None, *[1.0] * 10)),
         "ccm_link": company(make),
-        "ibes_link": make(TICKER, ("abc", 10001, "2019-01-01", None, 1.0), ("ZZZ", 9, "2019-01-01", None, 1.0)),
-        "ibes_summary": make("ticker string, statpers date", ("ABC", "2020-01-15"), ("ZZZ", "2020-01-15"), ("ABC", "2010-01-15")),
+        "ibes_link": make(TICKER, ("qrs", 777, "2012-03-01", None, 1.0), ("ZZZ", 9, "2012-03-01", None, 1.0)),
+        "ibes_summary": make("ticker string, statpers date", ("QRS", "2016-11-17"), ("ZZZ", "2016-11-17"), ("QRS", "2006-11-17")),
     }
-    out = X.narrow_inputs(inputs, panel(make, "2020-01-31", "2020-02-29"))
-    assert rows_of(out["comp_fundq"], "gvkey", "datadate") == [("1001", dt.date(2019, 12, 31))]
-    assert rows_of(out["ccm_link"], "lpermno") == [(10001,)]
-    assert rows_of(out["ibes_summary"], "ticker") == [("ABC",)]
+    out = X.narrow_inputs(inputs, panel(make, "2016-11-30", "2016-12-31"))
+    assert rows_of(out["comp_fundq"], "gvkey", "datadate") == [("52", dt.date(2016, 9, 30))]
+    assert rows_of(out["ccm_link"], "lpermno") == [(777,)]
+    assert rows_of(out["ibes_summary"], "ticker") == [("QRS",)]
 
 
 def test_later_rows_change_no_earlier_feature(make):
-    dates = ["2020-01-31", "2020-02-29", "2020-03-31", "2020-04-30", "2020-05-31", "2020-06-30"]
+    dates = ["2016-11-30", "2016-12-31", "2017-01-31", "2017-02-28", "2017-03-31"]
     inputs = {"comp_fundq": quarters(make), "ccm_link": company(make), "macro_features": macro(make)}
     changed = {
-        "comp_fundq": inputs["comp_fundq"].withColumn("niq", F.when(F.col("datadate") > "2020-01-31", 99.0).otherwise(F.col("niq"))),
+        "comp_fundq": inputs["comp_fundq"].withColumn("niq", F.when(F.col("datadate") > "2016-11-30", 99.0).otherwise(F.col("niq"))),
         "ccm_link": inputs["ccm_link"],
-        "macro_features": inputs["macro_features"].where("date < DATE'2020-02-01'"),
+        "macro_features": inputs["macro_features"].where("date < DATE'2016-12-01'"),
     }
     p = panel(make, *dates)
-    q = p.withColumn("ret_1m", F.when(F.col("formation_date") > "2020-01-31", 9.0).otherwise(F.col("ret_1m")))
-    before, after = (X.build_features(f, i).frame.where("formation_date <= DATE'2020-01-31'") for f, i in ((p, inputs), (q, changed)))
+    q = p.withColumn("ret_1m", F.when(F.col("formation_date") > "2016-11-30", 9.0).otherwise(F.col("ret_1m")))
+    before, after = (X.build_features(f, i).frame.where("formation_date <= DATE'2016-11-30'") for f, i in ((p, inputs), (q, changed)))
     assert rows_of(before) == rows_of(after)

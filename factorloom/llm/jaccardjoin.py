@@ -9,7 +9,7 @@
    then by hash.  Nodes with the same prefix and size are one group.
 4. Groups that share an n-gram of their prefixes are candidates, filtered by size and by position; the
    members of a candidate pair are verified on their whole sets.  Only the connected components are asked
-   for, so every n-gram's groups are first verified against one leading group, and then the pairs that are
+   for, so every n-gram's groups are first verified against its most central group, and then the pairs that are
    still in different components are verified in full, but for those that the triangle inequality of the
    Jaccard distance rules out.  No link between components is left untested.
 
@@ -376,14 +376,18 @@ def _components_of_sets(sets: DataFrame, percent: int) -> DataFrame:
     groups = members.groupBy("grp", "n").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("size"), F.first("prefix").alias("prefix"))
     groups = stage(groups, "jaccard-groups")
     postings = groups.select("grp", "n", "head", F.posexplode("prefix").alias("pos", "gram"))
-    met = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("met")).filter("met > 1").select("gram")
+    met = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
     postings = stage(postings.join(met, "gram"), "jaccard-postings")
+    # a text that others were copied from shares more of its n-grams than the copies do
+    central = postings.groupBy("grp", "head", "n").agg(F.sum("met").alias("met"))
+    central = stage(central.select("grp", "head", (F.col("met") / (F.col("n") - needed_overlap_column(F.col("n"), percent) + 1)).alias("central")), "jaccard-central")
     nodes = stage(members.join(groups.select("grp", "head", "size"), "grp").select(F.col("digest").alias("node"), "grp", "head", "size"), "jaccard-members")
     labels = nodes.select("node", F.col("node").alias("label"))
     inside = nodes.filter((F.col("size") > 1) & (F.col("node") != F.col("head"))).select(F.col("node").alias("a"), F.col("head").alias("b"))
     tested = None
     for number in range(LEADING_ROUNDS):
-        pairs = _pairs_with_leaders(_open_postings(postings, nodes, labels), percent)
+        may_lead = central if tested is None else central.join(tested.select(F.col("b").alias("head")).distinct(), "head", "left_anti")
+        pairs = _pairs_with_leaders(_open_postings(postings, nodes, labels), may_lead, percent)
         if number == 0:
             pairs = pairs.unionByName(inside).distinct()
         if tested is not None:
@@ -402,14 +406,16 @@ def _open_postings(postings: DataFrame, nodes: DataFrame, labels: DataFrame) ->
     return stage(labelled.join(state.filter("least != most").select("gram"), "gram"), "jaccard-open")
 
 
-def _pairs_with_leaders(opened: DataFrame, percent: int) -> DataFrame:
-    """For each group one pair of heads (a, b): with the first group of one of its n-grams."""
-    lead = opened.groupBy("gram").agg(F.min(F.struct("lo", "grp", "head", "n", "pos")).alias("lead"))
-    lead = lead.select("gram", F.col("lead.grp").alias("lead_grp"), F.col("lead.head").alias("lead_head"),
+def _pairs_with_leaders(opened: DataFrame, central: DataFrame, percent: int) -> DataFrame:
+    """For each group one pair of heads (a, b): with the most central group of its n-grams."""
+    lead = opened.join(central.select("grp", "central"), "grp").groupBy("gram").agg(
+        F.max(F.struct("central", "grp", "head", "n", "pos", "lo")).alias("lead")
+    )
+    lead = lead.select("gram", F.col("lead.central").alias("central"), F.col("lead.grp").alias("lead_grp"), F.col("lead.head").alias("lead_head"),
                        F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"), F.col("lead.lo").alias("lead_lo"))
     apart = (F.col("grp") != F.col("lead_grp")) & ((F.col("lo") != F.col("lead_lo")) | (F.col("hi") != F.col("lead_lo")))
     near = opened.join(lead, "gram").filter(apart & _fits(percent, "n", "pos", "lead_n", "lead_pos"))
-    return near.groupBy("head").agg(F.min(F.struct("lead_lo", "lead_head")).alias("first")).select(
+    return near.groupBy("head").agg(F.max(F.struct("central", "lead_head")).alias("first")).select(
         F.col("head").alias("a"), F.col("first.lead_head").alias("b")
     )
 

@@ -275,6 +275,7 @@ def fit(samples: list[tuple[int, int, list[str]]], toxic_share: float, steps: in
         net.constant = toxic_share
         return net
     for number in range(steps):
+        rates.rate = 0.012 * (1 - number / steps)  # falls to nothing, so that the last steps settle the weights
         if number == steps // 2:
             tops = []
             for _, y, ws in samples:

@@ -22,6 +22,7 @@ from ..operators import models as L
 from ..operators import panel as P
 from ..operators import portfolio as B
 from ..operators import reports as R
+from ..operators import study as Y
 from ..operators import textscan as Z
 from ..plans.orderstats import ordinal_ranks
 from ..plans.staging import shared_stage, stage
@@ -31,6 +32,8 @@ from ..sources import market_tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
+# Queries beside them that no SQL can state: they fit models per variant.
+STUDIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
@@ -469,6 +472,14 @@ def parameter_grid_returns(spark, sf):
     )
 
 
+def parameter_grid_study(spark, sf):
+    """The whole grid: all six axes, each runnable combination with the summary of its portfolio."""
+    return Y.grid_study(_feature_panel(spark, sf), _all_returns(spark, sf), _signals(spark, sf))
+
+
+STUDIES["parameter_grid_study"] = parameter_grid_study
+
+
 # --- models ----------------------------------------------------------------------------
 
 @query

@@ -139,7 +139,12 @@ def promotion_by_threshold(
 
 
 def run_set_fingerprint(runs: DataFrame, value: str = "repro_hash") -> DataFrame:
-    """First 16 hex digits of the hash over the sorted run hashes; one row per run goes in."""
+    """First 16 hex digits of the hash over the sorted run hashes; one row per run goes in.
+
+    The value is a hash of one joined string, so all hashes meet in one array in one task.  An
+    array of strings takes at most 2**31 bytes and a hash of 16 characters takes 24 of them, so
+    89 million runs are the upper bound; an executor's heap sets a lower one (not measured).
+    """
     joined = F.concat_ws("|", F.array_sort(F.collect_list(F.col(value))))
     return runs.agg(F.substring(F.sha2(joined, 256), 1, 16).alias("run_set_hash16"))
 

@@ -42,17 +42,24 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1_000_000).selectExpr("sum(id)").collect()
     names = sys.argv[1:] or HEADLINE
-    seconds = {}
+    seconds, failed = {}, {}
     for name in names:
         forget_shared_stages()
         start = time.perf_counter()
-        REGISTERED[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            REGISTERED[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as error:  # the others are still timed; the exit code tells
+            failed[name] = f"{type(error).__name__}: {error}"[:300]
+            continue
         seconds[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({
+    line = {
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")),
-    }))
+    }
+    print(json.dumps(line | ({"failed": failed} if failed else {})))
     spark.stop()
+    if failed:
+        sys.exit(1)
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import (
-    bpe, chatformat, exactdedup, hammingsearch, jaccardjoin, packing, secretscan, tokencounts, tokenfiles, toxicity,
+    bpe, chatformat, decontaminate, exactdedup, hammingsearch, jaccardjoin, packing, secretscan, tokencounts, tokenfiles, toxicity, vectorcodes,
 )
 from factorloom.plans.shipping import ship_package
 
@@ -69,9 +69,28 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hammingsearch.nearest(_table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0, k=10)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vectorcodes.quantize(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    digits = F.transform("code", lambda k: F.lpad(F.lower(F.hex(k)), 2, "0"))
+    return coded.codes.select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(coded.codebooks_digest()).alias("codebooks_sha256")
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_bpe_round_trip, op3_secret_scan, op4_token_files, op5_token_counts, op6_packing, op7_ngram_jaccard,
-    op8_exact_dedup, op9_chat_format, op10_hamming_search,
+    op8_exact_dedup, op9_chat_format, op10_hamming_search, op12_decontamination,
+    op13_vector_codes,
 )}
 
 # Written out once more, apart from the operator's own table: kind, expression, group of the value, its least length.
@@ -79,7 +98,7 @@ _SECRET_RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 0),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
     ("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
     ("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
@@ -106,6 +125,39 @@ def _secret_sql() -> str:
         FROM d LEFT JOIN q USING (doc_id) GROUP BY d.doc_id"""
 
 
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One table of codebooks and one of assignments for each round."""
+    near = lambda k: f"""a{k} AS MATERIALIZED (  -- nearest entry of every part, ties to the lower index
+        SELECT vec_id, label, part, v, min(struct_pack(d := d, e := entry)) AS best
+        FROM (SELECT x.*, entry, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+              FROM x JOIN b{k} b USING (part)) GROUP BY ALL)"""
+    moved = lambda k: f"""s{k} AS MATERIALIZED (
+        SELECT part, best.e AS entry, place, sum(v[place]) AS total, count(*) AS n
+        FROM (SELECT *, unnest(range(1, len(v) + 1)) AS place FROM a{k}) GROUP BY 1, 2, 3),
+        m{k} AS (SELECT part, entry, list(CAST((total - (((total % n) + n) % n)) // n AS BIGINT) ORDER BY place) AS v FROM s{k} GROUP BY 1, 2),
+        b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, entry))"""
+    steps = ", ".join(near(k) + ", " + moved(k) for k in range(rounds)) + ", " + near(rounds)
+    return f"""WITH kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(4096 * CAST(e AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+        x AS MATERIALIZED (
+        SELECT vec_id, label, part, w[part * (len(w) // {parts}) + 1:(part + 1) * (len(w) // {parts})] AS v
+        FROM (SELECT *, unnest(range(0, {parts})) AS part FROM kept)),
+        b0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, v FROM x
+               WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),
+        {steps},
+        books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}),
+        r AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+              FROM a{rounds} GROUP BY 1, 2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, books"""
+
+
+_WORDS_SQL = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
 ORACLE_SQL = {
     "op3_secret_scan": _secret_sql(),
     "op7_ngram_jaccard": r"""
@@ -127,6 +179,22 @@ ORACLE_SQL = {
         classes AS (SELECT content, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY content)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256
         FROM rows JOIN classes USING (content)""",
+    "op13_vector_codes": _codes_sql(),
+    "op12_decontamination": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+        i AS (SELECT item_id, {_WORDS_SQL} AS ws FROM benchmark),
+        spans AS (SELECT DISTINCT least(len(ws), 10) AS span FROM i WHERE len(ws) > 0),
+        w AS (SELECT DISTINCT item_id, least(len(ws), 10) AS span, ws[k:k + least(len(ws), 10) - 1] AS gram
+              FROM (SELECT *, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM i WHERE len(ws) > 0)),
+        g AS (SELECT doc_id, span, p, ws[p:p + span - 1] AS gram
+              FROM (SELECT doc_id, ws, span, unnest(range(1, len(ws) - span + 2)) AS p FROM d, spans WHERE len(ws) >= span)),
+        hits AS (SELECT doc_id, span, p, item_id FROM g JOIN w USING (span, gram)),
+        covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + span)) AS q FROM hits) GROUP BY 1),
+        named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
     "op10_hamming_search": """
         WITH codes AS (
             SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 AND NOT isnan(x) THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS code

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.located import FILE, PLACE, ROW, with_place
+from factorloom.llm.located import FILE, PLACE, ROW, given_back, held as held_column, with_place
 from factorloom.plans.staging import stage, stage_root
 
 STATE_SETTINGS = {
@@ -75,8 +75,8 @@ def duplicate_classes(
 
 
 def _classes(placed: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    content = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = placed.select(F.col(f"`{id_col}`").alias("id"), content.alias("content"), *PLACE)
+    content = F.coalesce(held_column(text_col), F.lit(""))
+    rows = placed.select(held_column(id_col).alias("id"), content.alias("content"), *PLACE)
     rows = rows.withColumn("digest", digest(F.col("content")))
     arrivals = stage(rows.drop("content"), "dedup-digests")
     state = stage(retained_state(arrivals), "dedup-state")
@@ -112,4 +112,4 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` that stay, with all their columns."""
     placed = with_place(docs)
     kept = _classes(placed, id_col, text_col, sha256_hex).filter("kept").select(*PLACE)
-    return placed.join(kept, list(PLACE), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return given_back(placed.join(kept, list(PLACE), "left_semi"))

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.located import FILE, PLACE, ROW, with_place
-from factorloom.llm.textunits import bounded_batches, id_type, utf8_buffer
+from factorloom.llm.located import FILE, PLACE, ROW, given_back, held, with_place
+from factorloom.llm.textunits import bounded_batches, utf8_buffer
 from factorloom.plans.staging import stage
 
 #: Bytes of text hashed at once, and packed hashes held before a task sends them on.
@@ -223,7 +223,7 @@ def _nodes_and_hits(placed: DataFrame, text_col: str, words: int) -> DataFrame:
             part = list(zip(found[at: at + 10_000].tolist(), counts[at: at + 10_000].tolist(), strict=True))
             yield _sent_rows([(0, 2, None, None, None, None, None, k, h, None) for k, h in part])
 
-    texts = placed.select(*PLACE, F.col(f"`{text_col}`").alias("text"))
+    texts = placed.select(*PLACE, held(text_col).alias("text"))
     sent = texts.mapInArrow(send, _SENT).repartition(buckets, "bucket")
     return stage(sent.mapInArrow(count, _SENT).drop("blob", "bucket"), "jaccard-nodes")
 
@@ -236,7 +236,7 @@ def _surviving_sets(placed: DataFrame, staged: DataFrame, text_col: str, words:
     ])).alias("place"))
     alone = F.col("low") - F.coalesce("hits", F.lit(0))
     may = nodes.join(hits, "key", "left").filter(alone < F.col("n") - needed_overlap_column(F.col("n"), percent) + 1)
-    read = placed.select(*PLACE, F.col(f"`{text_col}`").alias("text")).join(may.select("digest", "place.*"), list(PLACE))
+    read = placed.select(*PLACE, held(text_col).alias("text")).join(may.select("digest", "place.*"), list(PLACE))
 
     def make(batches):
         for batch in batches:
@@ -465,13 +465,15 @@ def components(
 
     ``leads`` marks one row of each component: the first by place among those with the component's id.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    placed = with_place(docs)
+    return _components(with_place(docs), words, percent, id_col, text_col)
+
+
+def _components(placed: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(placed.sparkSession)
     staged = _nodes_and_hits(placed, text_col, words)
     labels = _components_of_sets(_surviving_sets(placed, staged, text_col, words, percent), percent)
     rows = staged.filter("kind = 0").select(F.col("file").alias(FILE), F.col("row").alias(ROW), "n", "digest")
-    ids = placed.select(*PLACE, F.col(f"`{id_col}`").alias("id"))
+    ids = placed.select(*PLACE, held(id_col).alias("id"))
     rows = rows.join(ids, list(PLACE))
     alone = F.concat_ws("#", FILE, F.col(ROW).cast("string")).cast("binary")
     key = F.when(F.col("n") == 0, alone).otherwise(F.coalesce("label", "digest"))
@@ -480,7 +482,7 @@ def components(
     named = rows.join(named, "key")
     first = named.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"))
     return named.join(first, "key").select(
-        F.col("id").cast(id_type(docs, id_col)).alias(id_col), *PLACE, F.col("n").cast("long").alias("n_shingles"),
+        F.col("id").alias(id_col), *PLACE, F.col("n").cast("long").alias("n_shingles"),
         "component_id", (F.struct(*PLACE) == F.col("first")).alias("leads"),
     )
 
@@ -488,5 +490,5 @@ def components(
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that lead their component, with all their columns."""
     placed = with_place(docs)
-    leads = components(placed.drop(*PLACE), words, percent, id_col, text_col).filter("leads").select(*PLACE)
-    return placed.join(leads, list(PLACE), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    leads = _components(placed, words, percent, id_col, text_col).filter("leads").select(*PLACE)
+    return given_back(placed.join(leads, list(PLACE), "left_semi"))

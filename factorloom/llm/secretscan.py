@@ -8,7 +8,9 @@ every text.  Trigrams are taken from lower-cased text, so that rules that ignore
 
 Positions are code points, the end exclusive.  Matches are leftmost and do not overlap within a rule;
 those whose value is too short are dropped after matching.  Null and empty texts have no spans; repeated
-rows and null ids are scanned like any other, told apart by their place.
+rows and null ids are scanned like any other, told apart by their place.  Columns of any name may stand
+beside id and text.  A rule must not repeat a group of changing length: the engine's matcher recurses once
+a repetition there, and a long text would exhaust its stack, so such a rule is refused when it is made.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.located import PLACE, with_place
+from factorloom.llm.located import PLACE, given_back, held, with_place
 from factorloom.plans.staging import stage
 
 #: A query is a set of alternatives; each is a set of trigrams that must all be there.
 Query = frozenset
 ANY: Query = frozenset([frozenset()])
 MOST_STRINGS, MOST_ALTERNATIVES = 64, 32
+#: Repetitions of a group up to so many are no danger to the matcher's stack.
+LONGEST_REPEAT = 100
 
 
 @dataclass(frozen=True)
@@ -38,6 +42,25 @@ class Rule:
     group: int = 0
     least: int = 0
 
+    def __post_init__(self):
+        if _repeats_a_group(rp.parse(self.pattern)):
+            raise ValueError(f"rule {self.kind} repeats a group; use a character class")
+
+
+def _repeats_a_group(parsed) -> bool:
+    """Whether an unbounded repetition stands over more than one character or class."""
+    for op, value in parsed:
+        if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
+            _, most, part = value
+            single = len(part) == 1 and part[0][0] in (rc.LITERAL, rc.NOT_LITERAL, rc.IN, rc.ANY)
+            if (most > LONGEST_REPEAT and not single) or _repeats_a_group(part):
+                return True
+        elif op is rc.SUBPATTERN and _repeats_a_group(value[3]):
+            return True
+        elif op is rc.BRANCH and any(_repeats_a_group(p) for p in value[1]):
+            return True
+    return False
+
 
 # The three base kinds.
 BASE_RULES = (
@@ -46,7 +69,7 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{32,}"),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -177,7 +200,7 @@ def trigram_query(pattern: str) -> Query:
 
 def trigram_index(placed: DataFrame, text_col: str, trigrams: list[str]) -> DataFrame:
     """Postings (trigram number, place) of the given trigrams, ordered by trigram within the files."""
-    low = placed.select(*PLACE, F.lower(F.col(f"`{text_col}`")).alias("low"))
+    low = placed.select(*PLACE, F.lower(held(text_col)).alias("low"))
     found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
     postings = low.select(*PLACE, F.explode(found).alias("trigram"))
     return stage(postings.sortWithinPartitions("trigram"), "trigram-postings")
@@ -235,8 +258,8 @@ def _scan(placed: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = [r for r in rules if queries[r.kind] != ANY]
     order = {r.kind: i for i, r in enumerate(rules)}
-    content = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = placed.select(F.col(f"`{id_col}`").alias("id"), content.alias("content"), *PLACE)
+    content = F.coalesce(held(text_col), F.lit(""))
+    rows = placed.select(held(id_col).alias("id"), content.alias("content"), *PLACE)
 
     def spans(which) -> Column:
         each = [spans_of(F.col("content"), r, order[r.kind]) for r in which]
@@ -269,7 +292,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     """All rows and columns of ``docs``, each secret replaced by its kind in angle brackets; null texts stay null."""
     placed = with_place(docs)
     found = _scan(placed, rules, id_col, text_col).filter(F.size("found") > 0).select(*PLACE, "found")
-    text = F.col(f"`{text_col}`")
+    text = held(text_col)
 
     def replace(done: Column, span: Column) -> Column:
         gap = F.substring(text, (done["at"] + 1).cast("int"), (span["start"] - done["at"]).cast("int"))
@@ -280,5 +303,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rest = lambda done: F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
     cleaned = F.when(F.col("found").isNull(), text).otherwise(F.aggregate(F.col("found"), zero, replace, rest))
-    joined = placed.join(stage(found, "secret-found"), list(PLACE), "left").withColumn(text_col, cleaned)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = placed.join(stage(found, "secret-found"), list(PLACE), "left")
+    return given_back(joined, **{text_col: cleaned})

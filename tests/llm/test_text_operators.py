@@ -383,3 +383,28 @@ def test_vocabulary_bytes():
     assert len(alphabet) == 256 and set(alphabet.values()) == set(range(256))
     with open(BYTES, encoding="utf-8") as file:
         assert all(c in alphabet for token in json.load(file)["model"]["vocab"] for c in token)
+
+
+def test_long_key_headers_and_refused_rules(spark):
+    words = "-----BEGIN " + "AB " * 100_000
+    docs = spark.createDataFrame([(1, words + "PRIVATE KEY-----"), (2, words + "PUBLIC KEY-----")], "doc_id long, text string")
+    found = {r["doc_id"]: [s["kind"] for s in r["found"]] for r in secretscan.scan(docs).collect()}
+    assert found == {1: ["private_key"], 2: []}
+    with pytest.raises(ValueError, match="repeats a group"):
+        secretscan.Rule("key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+
+
+def test_columns_named_like_the_place_stay(spark, tmp_path):
+    names = ["doc_id", "text", "_at_file", "_at_row", "_metadata", "_at_held", "file", "row", "id"]
+    rows = [(k, t, f"f{k}", k + 11, f"m{k}", 2, "a", "b", "c") for k, t in enumerate(["same words here", "same words here", "token = 'abcd1234efgh'", None])]
+    made = spark.createDataFrame(rows, "doc_id long, text string, _at_file string, _at_row long, _metadata string, _at_held int, file string, row string, id string")
+    made.write.parquet(str(tmp_path / "docs"))
+    for docs in (made, spark.read.parquet(str(tmp_path / "docs")), spark.read.parquet(str(tmp_path / "docs")).filter("doc_id >= 0")):
+        kept = sorted(map(tuple, exactdedup.drop_duplicates(docs).collect()))
+        assert exactdedup.drop_duplicates(docs).columns == names and kept == sorted(rows[1:])
+        cleaned = secretscan.redact(docs)
+        want = [r if r[0] != 2 else (2, "<assign>'", *r[2:]) for r in rows]
+        assert cleaned.columns == names and sorted(map(tuple, cleaned.collect())) == want
+        one = sorted(map(tuple, jaccardjoin.keep_one_of_each(docs, words=2).collect()))
+        assert one == [rows[0], *rows[2:]]
+        assert secretscan.scan(docs).count() == len(rows) and exactdedup.duplicate_classes(docs).count() == len(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import (
-    bpe, chatformat, decontaminate, exactdedup, hammingsearch, jaccardjoin, packing, secretscan, tokencounts, tokenfiles, toxicity, vectorcodes,
+    bpe, chatformat, decontaminate, exactdedup, hammingsearch, jaccardjoin, lexicalsearch, packing, secretscan, tokencounts, tokenfiles, toxicity, vectorcodes,
 )
 from factorloom.plans.shipping import ship_package
 
@@ -69,6 +69,10 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hammingsearch.nearest(_table(spark, sf_dir, "embeddings"), lambda key: key % 20 == 0, k=10)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicalsearch.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -89,7 +93,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_bpe_round_trip, op3_secret_scan, op4_token_files, op5_token_counts, op6_packing, op7_ngram_jaccard,
-    op8_exact_dedup, op9_chat_format, op10_hamming_search, op12_decontamination,
+    op8_exact_dedup, op9_chat_format, op10_hamming_search, op11_lexical_search, op12_decontamination,
     op13_vector_codes,
 )}
 
@@ -179,6 +183,18 @@ ORACLE_SQL = {
         classes AS (SELECT content, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY content)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256
         FROM rows JOIN classes USING (content)""",
+    "op11_lexical_search": rf"""
+        WITH d AS (SELECT doc_id, unnest({_WORDS_SQL}) AS term FROM documents),
+        q AS (SELECT item_id, unnest({_WORDS_SQL}) AS term FROM benchmark),
+        t AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2),
+        s AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY 1),
+        c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM s),
+        w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term, docs),
+        m AS (SELECT doc_id, 75 + (25 * n * docs) // total AS m FROM s, c),
+        r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+              FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY rank <= 20""",
     "op13_vector_codes": _codes_sql(),
     "op12_decontamination": rf"""
         WITH d AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),

@@ -4,9 +4,10 @@ A window is ``window`` consecutive words of an item, or all of them where it has
 k-grams of words; of every w consecutive k-grams the one with the least hash (the last of equal ones) is kept.
 With k + w - 1 = ``window``, every shared span of so many words holds one kept k-gram at the same place on both
 sides.  Documents are scanned once; a filter of fixed size thins their fingerprints, and the rest is joined with
-those of the items.  A document with hits is read again, each hit is extended to both sides over equal
-words, and the spans that are long enough are its hits.  Items with fewer words than the window
-have fingerprints of their own length, and documents are winnowed once more for each such length in use.
+those of the items.  The texts that pass the filter are written beside their fingerprints; each joined hit is
+extended to both sides over equal words, and the spans that are long enough are the document's hits.  Items with
+fewer words than the window have fingerprints of their own length, and documents are winnowed once more for each
+such length in use.
 
 Items with the same words are one class that carries all their ids, so that copies are joined once.  Nothing is
 gathered but what one document matched.
@@ -191,12 +192,13 @@ def _contamination(
                 kind = pa.list_(pa.struct([("hash", pa.int64()), ("p", pa.int32())]))
                 yield pa.record_batch(
                     [*(batch.column(i).slice(block.first, block.rows) for i in range(3)), pa.array(np.diff(firsts), pa.int64()),
-                     pa.array([[{"hash": h, "p": p} for h, p in one] for one in hits], kind)],
-                    ["id", *PLACE, "n_words", "hits"],
+                     pa.array([[{"hash": h, "p": p} for h, p in one] for one in hits], kind),
+                     batch.column(3).take(pa.array([block.first + k if one else None for k, one in enumerate(hits)], pa.int64()))],
+                    ["id", *PLACE, "n_words", "hits", "text"],
                 )
 
     kind = id_type(rows, "id")
-    shape = f"id {kind}, {PLACE[0]} string, {PLACE[1]} long, n_words long, hits array<struct<hash:long,p:int>>"
+    shape = f"id {kind}, {PLACE[0]} string, {PLACE[1]} long, n_words long, hits array<struct<hash:long,p:int>>, text string"
     scanned = stage(rows.mapInArrow(scan, shape), "leak-scanned")
     hits = scanned.select(*PLACE, F.inline("hits"))
     matched = hits.join(prints, "hash").groupBy(*PLACE, "class", "span").agg(F.collect_set(F.struct("p", "at")).alias("pairs"))
@@ -204,7 +206,7 @@ def _contamination(
         F.collect_list(F.struct("span", "pairs", "words", "ids")).alias("matches")
     )
     matched = stage(matched, "leak-matches")
-    again = placed.select(*PLACE, held(text_col).alias("text")).join(matched, list(PLACE))
+    again = scanned.where(F.col("text").isNotNull()).select(*PLACE, "text").join(matched, list(PLACE))
 
     def extend(batches):
         for batch in batches:
@@ -237,7 +239,7 @@ def _contamination(
     )
     ends = stage(ends.where(F.size("spans") > 0), "leak-extended")
     none = F.array().cast("array<struct<start:long,end:long>>")
-    return scanned.drop("hits").join(ends, list(PLACE), "left").select(
+    return scanned.drop("hits", "text").join(ends, list(PLACE), "left").select(
         F.col("id").alias(id_col), *PLACE, "n_words", F.coalesce("spans", none).alias("spans"),
         F.coalesce("items", F.array().cast(f"array<{item_type}>")).alias("items"),
     )

@@ -4,6 +4,7 @@ A document's sketch has 2^14 coordinates.  A term falls on the coordinate that i
 the largest frequency of the terms on it, rounded up to a byte; only filled coordinates are stored.  A term's
 impact grows with its frequency, so the impact of the held frequency, with the query term's weight,
 is never below that of the term itself, and the sum over a query's terms bounds the document's score from above.
+The index holds each text beside its sketch, in a column that only scoring reads.
 
 Queries are looked up in batches of bounded size: the impacts of a block of documents times the weights of
 the batch gives all bounds.  The documents with the k highest bounds of a query are scored exactly; the k-th of
@@ -59,7 +60,7 @@ def length_measures(terms: list[int], documents: int, total: int) -> np.ndarray:
 
 
 def build_index(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, file, row, n, coordinates, frequencies): the sketch of every document with a term."""
+    """Rows (id, file, row, n, coordinates, frequencies, text): the sketch of every document with a term, and its text."""
     rows = placed.select(held(id_col).alias("id"), *PLACE, held(text_col).alias("text"))
 
     def fold(batches):
@@ -86,11 +87,11 @@ def build_index(placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
             [*(batch.column(i).slice(block.first, block.rows) for i in range(3)),
              pa.array(np.bincount(block.row, minlength=block.rows), pa.int64()),
              pa.array([coordinates[a:b].tobytes() for a, b in spans], pa.binary()),
-             pa.array([codes[a:b].tobytes() for a, b in spans], pa.binary())],
-            ["id", *PLACE, "n", "coordinates", "frequencies"],
+             pa.array([codes[a:b].tobytes() for a, b in spans], pa.binary()), batch.column(3).slice(block.first, block.rows)],
+            ["id", *PLACE, "n", "coordinates", "frequencies", "text"],
         )
 
-    shape = f"id {id_type(rows, 'id')}, {PLACE[0]} string, {PLACE[1]} long, n long, coordinates binary, frequencies binary"
+    shape = f"id {id_type(rows, 'id')}, {PLACE[0]} string, {PLACE[1]} long, n long, coordinates binary, frequencies binary, text string"
     return stage(rows.mapInArrow(fold, shape).where("n > 0"), "lexical-index", compression="zstd")
 
 
@@ -240,62 +241,76 @@ def _highest_bounds(index: DataFrame, shared, k: int) -> DataFrame:
     return found.withColumn("at", F.row_number().over(ordered)).where(F.col("at") <= k).drop("at")
 
 
-def _reaching(index: DataFrame, shared, thresholds) -> DataFrame:
-    """Rows (file, row, queries, bounds): the documents whose bound reaches a query's threshold."""
+class Best:
+    """The k best documents of every query that a task has scored."""
+
+    def __init__(self, queries: Batch, floor: np.ndarray, k: int):
+        self.queries, self.floor, self.k = queries, floor.copy(), k
+        self.found: list[list[tuple]] = [[] for _ in queries.items]
+
+    def score(self, ids: list, texts: pa.Array, asked: list[list[tuple[int, float]]]) -> None:
+        """Scores documents in the given order for the queries (number, bound) asked of each."""
+        for block in word_blocks(texts):
+            words, edges = block.words(), np.searchsorted(block.row, np.arange(block.rows + 1))
+            for d in range(block.rows):
+                wanted = [q for q, bound in asked[block.first + d] if bound >= self.floor[q]]
+                if wanted:
+                    self._offer(ids[block.first + d], words[edges[d]: edges[d + 1]], wanted)
+
+    def _offer(self, doc, words: list[bytes], wanted: list[int]) -> None:
+        m = int(length_measures([len(words)], self.queries.documents, self.queries.total)[0])
+        scores = self.queries.score(words, m)
+        for q in wanted:
+            score, mine = scores.get(q, 0), self.found[q]
+            if score > 0 and score >= self.floor[q]:
+                mine.append((score, doc))
+                if len(mine) >= 2 * self.k:  # equal scores with larger ids go
+                    mine[:] = sorted(mine, key=_by_rank)[: self.k]
+                    self.floor[q] = max(self.floor[q], mine[-1][0])
+
+    def rows(self, id_arrow: pa.DataType):
+        rows = [(self.queries.items[q], doc, score) for q, mine in enumerate(self.found) for score, doc in sorted(mine, key=_by_rank)[: self.k]]
+        if rows:
+            kinds = (pa.int64(), id_arrow, pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["item", "id", "score"])
 
-    def look(batches):
-        queries, floor = shared.value, thresholds.value
+
+def _score_pairs(index: DataFrame, pairs: DataFrame, shared, k: int) -> DataFrame:
+    """Rows (item, id, score): exact scores of the documents with the highest bounds, at most k a query."""
+    # at most BATCH_ITEMS * k rows, whatever the number of documents
+    texts = index.select(*PLACE, "id", "text").join(F.broadcast(pairs), list(PLACE)).select("id", "text", "queries")
+    id_arrow = to_arrow_type(texts.schema["id"].dataType)
+
+    def run(batches):
+        best = Best(shared.value, np.zeros(len(shared.value.items)), k)
         for batch in batches:
-            bounds = queries.bounds(batch, 2)
-            row, query = np.nonzero((bounds >= floor) & (bounds > 0))
-            edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            kept = np.flatnonzero(np.diff(edges))
-            offsets = pa.array(np.append(edges[kept], len(row)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, v) for v in (pa.array(query.astype(np.int32)), pa.array(bounds[row, query]))]
-            at = pa.array(kept)
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *lists], [*PLACE, "queries", "bounds"])
+            asked = [[(q, np.inf) for q in qs] for qs in batch.column(2).to_pylist()]
+            best.score(batch.column(0).to_pylist(), batch.column(1), asked)
+        yield from best.rows(id_arrow)
 
-    return index.select(*PLACE, "n", "coordinates", "frequencies").mapInArrow(
-        look, f"{PLACE[0]} string, {PLACE[1]} long, queries array<int>, bounds array<double>"
-    )
+    return texts.mapInArrow(run, f"item long, id {id_type(texts, 'id')}, score long")
 
 
-def _rescored(placed: DataFrame, pairs: DataFrame, shared, thresholds, k: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (item, id, score): exact scores of the pairs, by descending bound; each task keeps the k best of a query."""
-    texts = placed.select(*PLACE, held(id_col).alias("id"), held(text_col).alias("text")).join(pairs, list(PLACE))
-    kind, id_arrow = id_type(texts, "id"), to_arrow_type(texts.schema["id"].dataType)
+def _score_reaching(index: DataFrame, shared, thresholds, k: int) -> DataFrame:
+    """Rows (item, id, score): the k best of every task among the documents whose bound reaches a query's threshold."""
+    rows = index.select("id", "text", "n", "coordinates", "frequencies")
+    id_arrow = to_arrow_type(rows.schema["id"].dataType)
 
-    def rank(batches):
-        queries = shared.value
-        best: list[list] = [[] for _ in queries.items]
-        floor = thresholds.value.copy() if thresholds is not None else np.zeros(len(queries.items))
+    def run(batches):
+        best = Best(shared.value, thresholds.value, k)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for block in word_blocks(batch.column(1)):
-                words = block.words()
-                edges = np.searchsorted(block.row, np.arange(block.rows + 1))
-                lists = batch.column(2).slice(block.first, block.rows).to_pylist()
-                tops = batch.column(3).slice(block.first, block.rows).to_pylist()
-                order = sorted(range(block.rows), key=lambda d: -max(tops[d], default=0))
-                for d in order:
-                    asked = [q for q, top in zip(lists[d], tops[d], strict=True) if top >= floor[q]]
-                    if not asked:
-                        continue
-                    mine = words[edges[d]: edges[d + 1]]
-                    scores = queries.score(mine, int(length_measures([len(mine)], queries.documents, queries.total)[0]))
-                    doc = ids[block.first + d]
-                    for q in asked:
-                        score = scores.get(q, 0)
-                        if score > 0 and score >= floor[q]:
-                            best[q].append((score, doc))
-                            if len(best[q]) >= 2 * k:  # equal scores with larger ids go
-                                best[q] = sorted(best[q], key=_by_rank)[:k]
-                                floor[q] = max(floor[q], best[q][-1][0])
-        rows = [(queries.items[q], doc, score) for q, mine in enumerate(best) for score, doc in sorted(mine, key=_by_rank)[:k]]
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), id_arrow, pa.int64()), strict=True)], ["item", "id", "score"])
+            bounds = shared.value.bounds(batch, 2)
+            row, query = np.nonzero((bounds >= best.floor) & (bounds > 0))
+            top = bounds.max(axis=1, initial=0)
+            candidates = np.unique(row)
+            candidates = candidates[np.argsort(-top[candidates], kind="stable")]
+            edges = np.searchsorted(row, np.arange(len(bounds) + 1))
+            asked = [list(zip(query[edges[d]: edges[d + 1]].tolist(), bounds[d, query[edges[d]: edges[d + 1]]].tolist(), strict=True)) for d in candidates.tolist()]
+            at = pa.array(candidates)
+            best.score(batch.column(0).take(at).to_pylist(), batch.column(1).take(at), asked)
+        yield from best.rows(id_arrow)
 
-    return texts.select("id", "text", "queries", "bounds").mapInArrow(rank, f"item long, id {kind}, score long")
+    return rows.mapInArrow(run, f"item long, id {id_type(rows, 'id')}, score long")
 
 
 def _by_rank(found: tuple) -> tuple:
@@ -333,18 +348,15 @@ def search(
             number_of = F.expr("array_position(queries_of, item)") - 1
             top = stage(_highest_bounds(index, shared, k), "lexical-first")
             listed = F.array(*[F.lit(i) for i in batch.items])
-            pairs = top.withColumn("queries_of", listed).groupBy(*PLACE).agg(
-                F.collect_list(number_of.cast("int")).alias("queries"), F.collect_list("bound").alias("bounds")
-            )
-            first = _rescored(placed, stage(pairs, "lexical-first-pairs"), shared, None, k, id_col, text_col)
+            pairs = top.withColumn("queries_of", listed).groupBy(*PLACE).agg(F.collect_list(number_of.cast("int")).alias("queries"))
+            first = _score_pairs(index, pairs, shared, k)
             order = W.partitionBy("item").orderBy(F.desc("score"))
             kth = first.withColumn("at", F.row_number().over(order)).where(F.col("at") == k).select("item", "score")
             floor = np.zeros(len(batch.items))
             for row in kth.collect():  # one row for each query of the batch
                 floor[place[row["item"]]] = row["score"]
             thresholds = spark.sparkContext.broadcast(floor)
-            pairs = stage(_reaching(index, shared, thresholds), "lexical-pairs")
-            scored = _rescored(placed, pairs, shared, thresholds, k, id_col, text_col).withColumnRenamed("id", "doc")
+            scored = _score_reaching(index, shared, thresholds, k).withColumnRenamed("id", "doc")
             best = scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
             found = stage(best, "lexical-best").join(names, "item")
             out = found if out is None else out.unionByName(found)

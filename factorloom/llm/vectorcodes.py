@@ -3,10 +3,10 @@
 A component x becomes the integer floor(scale * x), and a vector is cut into equal consecutive parts, each with a
 codebook of its own.  A chunk holds some thousand vectors of one scan task.  Inside it the rows of each
 part are ordered along a Hilbert curve and laid out flat in blocks; a block stores its box (least and largest
-integer of each dimension) and its sums.  In a round the distances from a box to the entries give a shortlist:
-an entry whose least distance exceeds the least of all largest distances is nearest to no row of the block.  A
-block with one entry left adds its stored sums; the rows of the others are compared with their shortlist alone, in
-64-bit integers.  A round sends counts and sums of every entry to the driver, whose number is fixed by the
+integer of each dimension) and its sums.  In a round the distances from a box to the entries give a shortlist: an
+entry that is farther than the one nearest to the box's middle, wherever in the box a row lies, is nearest to no
+row of the block.  A block with one entry left adds its stored sums; the rows of the others are compared with
+their shortlist alone, in 64-bit integers.  A round sends counts and sums of every entry to the driver, whose number is fixed by the
 codebooks, and the codebooks back.
 
 A codebook starts as the part of the vectors with the smallest ids.  Each round assigns every row to the nearest entry
@@ -36,7 +36,7 @@ from factorloom.llm.textunits import id_type
 from factorloom.plans.shipping import ship_package
 from factorloom.plans.staging import stage
 
-CHUNK_ROWS, BLOCK_ROWS = 16384, 64
+CHUNK_ROWS, BLOCK_ROWS = 32768, 8
 #: Bits of a curve position.
 CURVE_BITS = 64
 
@@ -103,12 +103,19 @@ class PartBlocks:
         return cls(order, flat, np.minimum.reduceat(flat, firsts), np.maximum.reduceat(flat, firsts), np.add.reduceat(flat, firsts))
 
     def shortlists(self, book: np.ndarray) -> np.ndarray:
-        """Which entries (columns) may be nearest to a row of each block."""
-        under, over = self.low[:, None, :] - book[None], book[None] - self.high[:, None, :]
-        outside = np.maximum(np.maximum(under, over), 0)
-        farthest = np.maximum(np.abs(under), np.abs(over))
-        least, most = (outside * outside).sum(axis=2), (farthest * farthest).sum(axis=2)
-        return least <= most.min(axis=1, keepdims=True)
+        """Which entries (columns) may be nearest to a row of each block.
+
+        The lead is the entry nearest to the middle of the box.  The distance to the lead less that to another entry is
+        linear in the row, so its largest value over the box is exact, and an entry that stays behind everywhere goes.
+        """
+        twice, reach = self.low + self.high, self.high - self.low
+        norms = (book * book).sum(axis=1)
+        lead = (norms[None] - twice @ book.T).argmin(axis=1)
+        ahead = book[lead][:, None, :] - book[None]
+        most = norms[lead][:, None] - norms[None] - np.einsum("bd,bjd->bj", twice, ahead) + np.einsum("bd,bjd->bj", reach, np.abs(ahead))
+        listed = most >= 0
+        listed[np.arange(len(lead)), lead] = True
+        return listed
 
     def nearest(self, book: np.ndarray, listed: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entry and distance of the flat places ``some`` (ascending), each compared with its block's shortlist."""

@@ -242,11 +242,12 @@ def test_codes_of_equal_and_missing_vectors(spark):
 
 def test_shortlists_hold_every_nearest_entry():
     g = np.random.default_rng(1)
-    values, book = g.integers(-500, 500, (1000, 5)), g.integers(-500, 500, (16, 5))
+    book = g.integers(-500, 500, (16, 5))
+    values = np.concatenate([book[g.integers(0, 16, 900)] + g.integers(-60, 60, (900, 5)), g.integers(-500, 500, (100, 5))])
     blocks = vectorcodes.PartBlocks.of(values)
     gaps = ((blocks.flat[:, None] - book[None]) ** 2).sum(2)
     listed = blocks.shortlists(book)
-    assert listed[np.arange(1000) // vectorcodes.BLOCK_ROWS, gaps.argmin(1)].all() and not listed.all()
+    assert listed[np.arange(1000) // vectorcodes.BLOCK_ROWS, gaps.argmin(1)].all() and listed.mean() < 0.5
     assert sorted(blocks.order.tolist()) == list(range(1000))
 
 

@@ -527,6 +527,15 @@ def statements() -> dict[str, str]:
         "holdout_split": """SELECT factor_id, formation_date, CASE WHEN i < n - v - h THEN 'train' WHEN i < n - h THEN 'validation' ELSE 'holdout' END AS role
             FROM (SELECT *, greatest(1, CAST(round_even(n * 0.15e0, 0) AS INTEGER)) AS h, greatest(1, CAST(round_even(n * 0.15e0, 0) AS INTEGER)) AS v
                   FROM dated WHERE n >= 24)""",
+        "ridge_normal_equations": f"""SELECT * FROM (WITH long AS (
+              SELECT factor_id, fold, f.formation_date, ls, unnest([{", ".join(f"{{'name': 'macro__{c}', 'v': macro__{c}}}" for c in _MACRO)}], recursive := true)
+              FROM folds f JOIN pm USING (formation_date) WHERE role = 'train'),
+            filled AS (SELECT *, coalesce(v, median(v) OVER (PARTITION BY factor_id, fold, name)) AS x FROM long),
+            z AS (SELECT *, coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0) AS z, ls - avg(ls) OVER w AS y
+                  FROM filled WHERE x IS NOT NULL WINDOW w AS (PARTITION BY factor_id, fold, name))
+            SELECT a.factor_id, a.fold, a.name AS feature_a, b.name AS feature_b,
+              {r('sum(a.z * b.z) + CASE WHEN a.name = b.name THEN 1 ELSE 0 END')} AS gram, {r('sum(a.z * a.y)')} AS target_product
+            FROM z a JOIN z b ON a.factor_id = b.factor_id AND a.fold = b.fold AND a.formation_date = b.formation_date GROUP BY 1, 2, 3, 4)""",
         "baseline_mean_forecast": f"""SELECT factor_id, formation_date, fold, {r('prediction')} AS prediction, {r('ls')} AS factor_long_short_ret_1m
             FROM fitted WHERE role = 'holdout'""",
         "factor_model_metrics": f"""SELECT factor_id, fold_count, train_rows, validation_rows, holdout_rows,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fixed_growth, fixed_point, json_fields, json_payload
 from ..operators import factors as G
 from ..operators import features as X
+from ..operators import folds as FD
 from ..operators import intervals as I
 from ..operators import jobs as J
 from ..operators import metrics as M
@@ -549,6 +550,13 @@ def ridge_factor_forecast(spark, sf):
     return L.train_factor_models(_returns(spark, sf), _macro(spark, sf), model="ridge").predictions
 
 
+@query
+def ridge_normal_equations(spark, sf):
+    """Gram matrix and target products of every factor and fold, from running sums."""
+    held = FD.fold_rows(stage(_model_frame(spark, sf), "model_frame"), [c for c in _macro(spark, sf).columns if c != "formation_date"], L.TARGET)
+    return _fixed(FD.normal_equations(held, alpha=1.0), ["factor_id", "fold", "feature_a", "feature_b"], ["gram", "target_product"])
+
+
 @query
 def elastic_net_factor_forecast(spark, sf):
     return L.train_factor_models(_returns(spark, sf), _macro(spark, sf), model="elasticnet").predictions

@@ -23,6 +23,7 @@ from ..functions.scalars import guarded_correlation
 from ..plans.orderstats import pick_ranked
 from ..plans.shipping import ship_package
 from ..plans.staging import fixed_table, stage
+from . import folds as FD
 from . import metrics as M
 
 TARGET = "factor_long_short_ret_1m"
@@ -123,22 +124,15 @@ def _standardized(train: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.
     return (train - center) / scale, (other - center) / scale
 
 
-def ridge_fit(alpha: float = 1.0) -> FitPredict:
-    def fit(x, y, new):
-        x, new = _standardized(x, new)
-        gram = x.T @ x + alpha * np.eye(x.shape[1])
-        return y.mean() + new @ np.linalg.solve(gram, x.T @ (y - y.mean()))
-
-    return fit
+def ridge_weights(alpha: float = 1.0) -> FD.Solve:
+    return lambda gram, target, n: np.linalg.solve(gram + alpha * np.eye(len(target)), target)
 
 
-def elastic_net_fit(alpha: float = 0.001, l1_ratio: float = 0.5, max_iter: int = 2000, tol: float = 1e-10) -> FitPredict:
+def elastic_net_weights(alpha: float = 0.001, l1_ratio: float = 0.5, max_iter: int = 2000, tol: float = 1e-10) -> FD.Solve:
     """Cyclic coordinate descent on (1/2n)|y-Xw|^2 + alpha*(l1_ratio*|w| + (1-l1_ratio)/2*|w|^2)."""
 
-    def fit(x, y, new):
-        x, new = _standardized(x, new)
-        n, p = x.shape
-        gram, target = x.T @ x / n, x.T @ (y - y.mean()) / n
+    def solve(gram, target, n):
+        gram, target, p = gram / n, target / n, len(target)
         w = np.zeros(p)
         for _ in range(max_iter):
             largest = 0.0
@@ -150,13 +144,29 @@ def elastic_net_fit(alpha: float = 0.001, l1_ratio: float = 0.5, max_iter: int =
                 w[j] = value
             if largest < tol:
                 break
-        return y.mean() + new @ w
+        return w
+
+    return solve
+
+
+def _fit_by(solve: FD.Solve) -> FitPredict:
+    def fit(x, y, new):
+        x, new = _standardized(x, new)
+        return y.mean() + new @ solve(x.T @ x, x.T @ (y - y.mean()), len(x))
 
     return fit
 
 
-FACTOR_MODELS: dict[str, Callable[..., FitPredict]] = {
-    "baseline_linear": ridge_fit, "ridge": ridge_fit, "elasticnet": elastic_net_fit,
+def ridge_fit(alpha: float = 1.0) -> FitPredict:
+    return _fit_by(ridge_weights(alpha))
+
+
+def elastic_net_fit(alpha: float = 0.001, l1_ratio: float = 0.5, max_iter: int = 2000, tol: float = 1e-10) -> FitPredict:
+    return _fit_by(elastic_net_weights(alpha, l1_ratio, max_iter, tol))
+
+
+FACTOR_MODELS: dict[str, Callable[..., FD.Solve]] = {
+    "baseline_linear": ridge_weights, "ridge": ridge_weights, "elasticnet": elastic_net_weights,
 }
 CONSTANT_MODELS = ("baseline_mean", "baseline_median")
 
@@ -194,11 +204,25 @@ def train_factor_models(
 ) -> FactorForecast:
     """Forecast each factor's next return from the macro features of the date.
 
-    ``model`` is a name or any fit-and-predict function.  Factors with too few rows are left
+    ``model`` is a name or any fit-and-predict function.  Linear models, mean and median
+    are fitted on all folds from running sums; only other models see a copy of each fold.  Factors with too few rows are left
     out.  Walk-forward predictions are those of the test dates, with the first test date of
     their fold; in the single-holdout mode all three splits are predicted.
     """
     frame = returns.join(macro, "formation_date")
+    name = model if isinstance(model, str) else getattr(model, "__name__", "custom")
+    features = [c for c in macro.columns if c != "formation_date"]
+    if evaluation_mode == "walk_forward" and isinstance(model, str) and name in (*FACTOR_MODELS, *CONSTANT_MODELS):
+        held = FD.fold_rows(
+            stage(frame, "fold-rows"), features if name in FACTOR_MODELS else [], TARGET, min_observations=min_observations,
+            validation_periods=walk_forward_validation_periods, test_periods=walk_forward_test_periods,
+        )
+        if name == "baseline_median":
+            fitted, train_rows = FD.median_forecast(held)
+        else:  # without features the solution is the mean
+            solve = FACTOR_MODELS[name](**(model_params or {})) if name in FACTOR_MODELS else ridge_weights()
+            fitted, train_rows = FD.linear_forecast(held, solve)
+        return _walk_forward_result(stage(fitted, "fitted"), name, train_rows)
     if evaluation_mode == "walk_forward":
         rows = walk_forward_folds(
             frame, min_observations=min_observations, validation_periods=walk_forward_validation_periods,
@@ -209,8 +233,6 @@ def train_factor_models(
                              min_observations=min_observations)
     else:
         raise ValueError(f"unknown evaluation mode: {evaluation_mode}")
-    name = model if isinstance(model, str) else getattr(model, "__name__", "custom")
-    features = [c for c in macro.columns if c != "formation_date"]
     if name in CONSTANT_MODELS:
         center = F.avg(TARGET) if name == "baseline_mean" else F.median(TARGET)
         constants = rows.where("role = 'train'").groupBy("factor_id", "fold").agg(
@@ -222,17 +244,28 @@ def train_factor_models(
     elif callable(model):
         fitted = _grouped_fit(rows, features, model)
     elif name in FACTOR_MODELS:
-        fitted = _grouped_fit(rows, features, FACTOR_MODELS[name](**(model_params or {})))
+        fitted = _grouped_fit(rows, features, _fit_by(FACTOR_MODELS[name](**(model_params or {}))))
     else:
         raise KeyError(f"unknown model {name}; known: {', '.join(available_models())}")
     fitted = stage(fitted.select("formation_date", "factor_id", TARGET, "role", "fold", "prediction"), "fitted")
-    predictions = fitted.withColumnsRenamed({"role": "split"}).withColumn("model", F.lit(name))
     if evaluation_mode == "walk_forward":
-        first = F.min("formation_date").over(Window.partitionBy("factor_id", "fold"))
-        predictions = predictions.where("split = 'holdout'").withColumn("fold_start", first)
+        return _walk_forward_result(fitted, name)
+    predictions = fitted.withColumnsRenamed({"role": "split"}).withColumn("model", F.lit(name))
     return FactorForecast(predictions.drop("fold"), factor_model_metrics(fitted, name, evaluation_mode))
 
 
+def _walk_forward_result(fitted: DataFrame, name: str, train_rows: DataFrame | None = None) -> FactorForecast:
+    """The test rows with the first test date of their fold; ``train_rows`` stands in for training rows not among ``fitted``."""
+    first = F.min("formation_date").over(Window.partitionBy("factor_id", "fold"))
+    predictions = fitted.withColumnsRenamed({"role": "split"}).withColumn("model", F.lit(name))
+    predictions = predictions.where("split = 'holdout'").withColumn("fold_start", first).drop("fold")
+    found = factor_model_metrics(fitted, name, "walk_forward")
+    if train_rows is not None:
+        columns = found.columns
+        found = found.drop("train_rows").join(train_rows, "factor_id").select(*columns)
+    return FactorForecast(predictions, found)
+
+
 def random_score(*keys: str, seed: int = 42):
     """A repeatable normal score per key, from two hashes (Box-Muller)."""
     def uniform(salt: int):

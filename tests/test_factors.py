@@ -213,6 +213,38 @@ def test_factor_models_fit_each_fold_alone(research, name, fit):
     assert metric.holdout_correlation == pytest.approx(want)
 
 
+@pytest.mark.parametrize("name,fit", [("ridge", L.ridge_fit()), ("elasticnet", L.elastic_net_fit(0.0005))])
+def test_running_sums_fit_every_fold_like_its_rows(make, name, fit):
+    """Gaps, constants at the start, an empty column, a far offset, factors of different length; no fold overlaps another's test."""
+    g = np.random.default_rng(5)
+    dates = pd.date_range("2000-01-31", periods=60, freq="ME").date
+    columns = ["macro__gap", "macro__late", "macro__empty", "macro__far", "macro__still"]
+    x = np.column_stack([
+        np.where(g.random(60) < 0.3, np.nan, g.normal(size=60)), np.where(np.arange(60) < 40, 3.0, g.normal(size=60)),
+        np.full(60, np.nan), 1e6 + g.normal(size=60), np.full(60, 0.1),
+    ])
+    plain = lambda v: None if np.isnan(v) else float(v)
+    macro = make("formation_date date, " + ", ".join(f"{c} double" for c in columns), *[(str(d), *map(plain, v)) for d, v in zip(dates, x)])
+    sizes = {"a": 60, "b": 47, "c": 31, "d": 12}
+    y = {f: g.normal(0, 0.05, n) for f, n in sizes.items()}
+    returns = make(f"formation_date date, factor_id string, {L.TARGET} double", *[(str(dates[k + 60 - n]), f, float(y[f][k])) for f, n in sizes.items() for k in range(n)])
+    params = {"alpha": 0.0005} if name == "elasticnet" else {}
+    for least, ahead, step in ((12, 6, 5), (20, 0, 12), (15, 9, 4)):
+        out = L.train_factor_models(returns, macro, model=name, model_params=params, min_observations=least,
+                                    walk_forward_validation_periods=ahead, walk_forward_test_periods=step)
+        got = {(r.factor_id, r.formation_date): r.prediction for r in out.predictions.collect()}
+        want, train_rows = {}, {}
+        for f, n in sizes.items():
+            mine = list(dates[60 - n:])
+            for train, _, test in naive_folds(mine, least, ahead, step):
+                rows, ask = np.isin(dates, train), np.isin(dates, test)
+                want |= {(f, d): v for d, v in zip(dates[ask], fit(x[rows], y[f][np.isin(mine, train)], x[ask]))}
+                train_rows[f] = train_rows.get(f, 0) + len(train)
+        assert set(got) == set(want)
+        assert all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9) for k in want)
+        assert {r.factor_id: r.train_rows for r in out.metrics.collect()} == train_rows
+
+
 def test_holdout_mode_allocations_and_portfolio(research):
     df, returns, macro = research
     out = L.train_factor_models(returns, macro, model="baseline_mean", evaluation_mode="single_holdout", min_observations=6,

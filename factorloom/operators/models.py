@@ -25,6 +25,7 @@ from ..plans.shipping import ship_package
 from ..plans.staging import fixed_table, stage
 from . import folds as FD
 from . import metrics as M
+from . import trees as TR
 
 TARGET = "factor_long_short_ret_1m"
 
@@ -169,6 +170,10 @@ FACTOR_MODELS: dict[str, Callable[..., FD.Solve]] = {
     "baseline_linear": ridge_weights, "ridge": ridge_weights, "elasticnet": elastic_net_weights,
 }
 CONSTANT_MODELS = ("baseline_mean", "baseline_median")
+FACTOR_FORESTS = {
+    "random_forest": {"bootstrap": True, "random_cuts": False}, "extra_trees": {"bootstrap": False, "random_cuts": True},
+    "extratrees": {"bootstrap": False, "random_cuts": True},
+}
 
 
 @dataclass(frozen=True)
@@ -212,13 +217,15 @@ def train_factor_models(
     frame = returns.join(macro, "formation_date")
     name = model if isinstance(model, str) else getattr(model, "__name__", "custom")
     features = [c for c in macro.columns if c != "formation_date"]
-    if evaluation_mode == "walk_forward" and isinstance(model, str) and name in (*FACTOR_MODELS, *CONSTANT_MODELS):
+    if evaluation_mode == "walk_forward" and isinstance(model, str) and name in (*FACTOR_MODELS, *CONSTANT_MODELS, *FACTOR_FORESTS):
         held = FD.fold_rows(
-            stage(frame, "fold-rows"), features if name in FACTOR_MODELS else [], TARGET, min_observations=min_observations,
+            stage(frame, "fold-rows"), [] if name in CONSTANT_MODELS else features, TARGET, min_observations=min_observations,
             validation_periods=walk_forward_validation_periods, test_periods=walk_forward_test_periods,
         )
         if name == "baseline_median":
             fitted, train_rows = FD.median_forecast(held)
+        elif name in FACTOR_FORESTS:
+            fitted, train_rows = TR.forest_forecast(held, **FACTOR_FORESTS[name], **(model_params or {}))
         else:  # without features the solution is the mean
             solve = FACTOR_MODELS[name](**(model_params or {})) if name in FACTOR_MODELS else ridge_weights()
             fitted, train_rows = FD.linear_forecast(held, solve)
@@ -319,7 +326,7 @@ def numeric_features(df: DataFrame, target: str) -> list[str]:
 
 
 def available_models() -> list[str]:
-    return sorted({*FACTOR_MODELS, *CONSTANT_MODELS, *PANEL_MODELS, "baseline_random"})
+    return sorted({*FACTOR_MODELS, *CONSTANT_MODELS, *FACTOR_FORESTS, *PANEL_MODELS, "baseline_random"})
 
 
 PANEL_MODELS = ("baseline_linear", "ridge", "elasticnet", "random_forest", "boosting")

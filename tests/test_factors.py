@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from factorloom.operators import factors as G
 from factorloom.operators import models as L
+from factorloom.operators import folds as FD
+from factorloom.operators import trees as TR
 from factorloom.operators import portfolio as B
 from factorloom.plans.staging import stage
 from tests.conftest import rows_of
@@ -245,6 +247,74 @@ def test_running_sums_fit_every_fold_like_its_rows(make, name, fit):
         assert {r.factor_id: r.train_rows for r in out.metrics.collect()} == train_rows
 
 
+def plain_tree(x, y, w, ask, depth, least):
+    """Mean of the leaf of each asked row; the cut with the largest fall of squared error, first feature and value of equal ones."""
+    best = (0.0, None)
+    if depth:
+        for j in range(x.shape[1]):
+            values = np.unique(x[:, j])
+            for low, high in zip(values, values[1:]):
+                left = x[:, j] <= low
+                if min(left.sum(), (~left).sum()) < least:
+                    continue
+                error = lambda m: (w[m] * (y[m] - np.average(y[m], weights=w[m])) ** 2).sum()
+                gain = round(error(np.ones(len(y), bool)) - error(left) - error(~left), 10)
+                if gain > best[0]:
+                    best = (gain, (j, (low + high) / 2))
+    if best[1] is None:
+        return np.full(len(ask), np.average(y, weights=w))
+    j, cut = best[1]
+    left, out = x[:, j] <= cut, np.empty(len(ask))
+    ask_left = ask[:, j] <= cut
+    out[ask_left] = plain_tree(x[left], y[left], w[left], ask[ask_left], depth - 1, least)
+    out[~ask_left] = plain_tree(x[~left], y[~left], w[~left], ask[~ask_left], depth - 1, least)
+    return out
+
+
+@pytest.mark.parametrize("bootstrap", [False, True])
+def test_forests_of_all_folds_equal_plain_trees(make, bootstrap):
+    g = np.random.default_rng(8)
+    dates = pd.date_range("2001-01-31", periods=48, freq="ME").date
+    x = np.column_stack([np.where(g.random(48) < 0.2, np.nan, g.integers(0, 6, 48)), g.normal(size=48), np.full(48, 2.0)])
+    plain = lambda v: None if np.isnan(v) else float(v)
+    macro = make("formation_date date, macro__a double, macro__b double, macro__c double", *[(str(d), *map(plain, v)) for d, v in zip(dates, x)])
+    sizes = {"a": 48, "b": 40}
+    y = {f: np.where(np.nan_to_num(x[48 - n:, 0]) > 2, 0.1, -0.1) + g.normal(0, 0.05, n) for f, n in sizes.items()}
+    returns = make(f"formation_date date, factor_id string, {L.TARGET} double", *[(str(dates[k + 48 - n]), f, float(y[f][k])) for f, n in sizes.items() for k in range(n)])
+    held = FD.fold_rows(returns.join(macro, "formation_date"), list(macro.columns[1:]), L.TARGET, min_observations=18, validation_periods=6, test_periods=7)
+    fitted, _ = TR.forest_forecast(held, trees=3, max_depth=4, min_leaf=3, bootstrap=bootstrap)
+    got = {(r.factor_id, r.fold, r.formation_date): r.prediction for r in fitted.where("role = 'holdout'").collect()}
+    keys = [(f, k, t, d) for f in sizes for k in range(5) for t in range(3) for d in dates]
+    drawn = make("factor_id string, fold int, tree int, formation_date date", *[(f, k, t, str(d)) for f, k, t, d in keys])
+    times = {tuple(r[:4]): r.w for r in drawn.withColumn("w", TR.drawn_times(42, *TR.UNIT, TR.DATE)).collect()}
+    checked = 0
+    for f, n in sizes.items():
+        mine = list(dates[48 - n:])
+        for k, (train, _, test) in enumerate(naive_folds(mine, 18, 6, 7)):
+            rows, ask = np.isin(dates, train), np.isin(dates, test)
+            fill = np.nanmedian(x[rows], axis=0)
+            filled = np.where(np.isnan(x), fill, x)
+            trees = []
+            for t in range(3):
+                w = np.array([times[f, k, t, d] if bootstrap else 1 for d in dates[rows]], float)
+                trees.append(plain_tree(filled[rows][w > 0], y[f][np.isin(mine, train)][w > 0], w[w > 0], filled[ask], 4, 3))
+            for d, v in zip(dates[ask], np.mean(trees, axis=0)):
+                assert got[f, k, d] == pytest.approx(v, abs=1e-9), (f, k, d)
+                checked += 1
+    assert checked == len(got) > 30
+
+
+def test_tree_models_by_name(research):
+    _, returns, macro = research
+    for name in ("random_forest", "extra_trees"):
+        out = L.train_factor_models(returns, macro, model=name, min_observations=12, walk_forward_test_periods=6, walk_forward_validation_periods=6,
+                                    model_params={"trees": 5, "min_leaf": 2})
+        rows = out.predictions.collect()
+        assert rows and all(r.split == "holdout" and r.prediction is not None for r in rows)
+        assert len({r.prediction for r in rows if r.factor_id == "val_global_pb_fwd"}) > 1
+        assert out.metrics.where("train_rows > 0 AND holdout_mae IS NOT NULL").count() == out.metrics.count() > 0
+
+
 def test_holdout_mode_allocations_and_portfolio(research):
     df, returns, macro = research
     out = L.train_factor_models(returns, macro, model="baseline_mean", evaluation_mode="single_holdout", min_observations=6,

@@ -1,23 +1,26 @@
 """Toxicity of texts by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word enters as a learned vector of its hash and the final states of a bidirectional recurrent network
-over its characters.  A second bidirectional network runs over windows of words, attention pools its
-states, and a logistic unit scores the window.  All overlapping windows of a text are scored; a
-logistic fit of the largest window logit and of the mean window probability gives the score of the text,
-so that one chance hit in a long text weighs less than many.
+over its characters.  A second bidirectional network runs over windows of 8 consecutive words, attention pools its
+states, and a logistic unit scores the window.  Every window of a text is scored, one for each word that has 7 more
+behind it; a logistic fit of the largest window logit and of the mean window probability gives the score of the
+text, so that one chance hit in a long text weighs less than many.
 
 The network is fitted on the driver on a bounded sample of labelled rows: at most ``sample_rows`` documents
-of each class, the smallest by a hash of their id, and at most ``sample_windows`` windows of each.  Scoring
-covers every window of every text.  What a word contributes is computed once for each distinct word of a
-worker and kept in a table of bounded size.
-
-Null and empty texts have one window without words.  Without labelled rows of both classes every score is
-the share of toxic labels (0.5 without any label).  Repeated rows and null ids are scored like any other.
+of each class, the smallest by a hash of their id, and at most ``sample_passages`` evenly spaced passages of 32 words of each.  Every
+fifth of them is kept from the fit and calibrates the text score over all its windows.  What a word contributes is
+computed once for each distinct word of a worker and kept in a table of bounded size; words are told apart by a
+64-bit hash there.
+
+A word is a run of ASCII letters, digits and characters outside ASCII, A-Z as a-z; one of more than 48 bytes counts as
+consecutive words of 48, so that nothing is cut off.  Null and empty texts have one window without words, and texts of
+fewer than 8 words one shorter window.  Without labelled rows of both classes every score is the share of toxic
+labels (0.5 without any label).  Of an id with several labels the toxic one counts, of a repeated document id one
+text is learned from.  Repeated rows and null ids are scored like any other.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -26,31 +29,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.textunits import bounded_batches, id_type, text_rows, texts_of
+from factorloom.llm.textunits import bounded_batches, id_type, text_rows
+from factorloom.llm.wordhash import Block, word_blocks
+from factorloom.plans.shipping import ship_package
+from factorloom.plans.staging import stage
 
-WINDOW, STRIDE = 32, 16
+WINDOW = 8
+#: Windows of the first steps of a fit, and their share of all steps.
+FIRST_WINDOW, FIRST_SHARE = 32, 0.4
 WORD_ROWS, WORD_DIM = 1 << 16, 8
 CHAR_ROWS, CHAR_DIM, CHAR_HIDDEN = 256, 6, 8
-HIDDEN, ATTENTION = 12, 8
-LONGEST_WORD = 24
-TABLE_WORDS = 120_000
-CHUNK_WINDOWS = 2048
-
-_WORD = re.compile(r"\w+")
+HIDDEN, ATTENTION = 8, 4
+LONGEST_WORD = 48
+TABLE_WORDS = 300_000
+CHUNK_WORDS, CHUNK_WINDOWS = 1 << 16, 4096
 
 
-def words_of(token: str) -> list[str]:
-    """Words of a blank-delimited token; very long ones in consecutive parts, so that nothing is cut off."""
-    found = [token] if token.isalnum() else _WORD.findall(token)
-    return [w[i: i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
+def short_words(block: Block) -> Block:
+    """The block with very long words in consecutive parts."""
+    size = block.end - block.start
+    if not len(size) or size.max() <= LONGEST_WORD:
+        return block
+    parts = -(-size // LONGEST_WORD)
+    at = np.repeat(np.arange(len(size)), parts)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = block.start[at] + nth * LONGEST_WORD
+    end = np.minimum(start + LONGEST_WORD, block.end[at])
+    out = Block(block.first, block.rows, block.raw, block.row[at], start, end, block.hash[at].copy())
+    for k in np.flatnonzero(parts[at] > 1).tolist():
+        part = out.word(k)
+        out.hash[k] = zlib.crc32(part) << 32 | zlib.adler32(part)
+    return out
 
 
-def window_starts(words: int) -> list[int]:
-    """Starts of the overlapping windows that cover so many words; the last one ends with the text."""
-    if words <= WINDOW:
-        return [0]
-    starts = list(range(0, words - WINDOW + 1, STRIDE))
-    return starts if starts[-1] == words - WINDOW else [*starts, words - WINDOW]
+def decoded(block: Block, picked) -> list[str]:
+    return [w.decode("utf-8", "replace") for w in block.words(picked)]
 
 
 def char_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -226,6 +239,43 @@ class Network:
         _, _, pooled = self.pool(states, mask.T)
         return pooled @ p["out"] + p["out_b"]
 
+    def sliding_logits(self, given: np.ndarray) -> np.ndarray:
+        """Logits of all windows of a run of words, from their projections (word, direction, 3 hidden)."""
+        p = self.weights
+        if "slide" not in self._cache:
+            by_gate = p["wu"].reshape(2, HIDDEN, 3, HIDDEN).transpose(2, 0, 1, 3)
+            self._cache["slide"] = np.ascontiguousarray(by_gate[:2] * np.float32(0.5)), np.ascontiguousarray(by_gate[2]), np.column_stack([p["att"], p["out"]])
+        u_gates, u_new, heads = self._cache["slide"]
+        count = len(given) - WINDOW + 1
+        given = np.ascontiguousarray(given.reshape(-1, 2, 3, HIDDEN).transpose(2, 1, 0, 3))
+        given[:2] *= 0.5  # gates by tanh of the half
+        h, new = np.zeros((2, count, HIDDEN), np.float32), np.empty((2, count, HIDDEN), np.float32)
+        gates, states = np.empty((2, 2, count, HIDDEN), np.float32), np.empty((WINDOW, count, 2 * HIDDEN), np.float32)
+        keep, reset = gates
+        for t in range(WINDOW):
+            back = WINDOW - 1 - t
+            np.matmul(h, u_gates, out=gates)
+            gates[:, 0] += given[:2, 0, t: t + count]
+            gates[:, 1] += given[:2, 1, back: back + count]
+            np.tanh(gates, out=gates)
+            np.matmul(h, u_new, out=new)
+            reset += 1
+            reset *= 0.5
+            new *= reset
+            new[0] += given[2, 0, t: t + count]
+            new[1] += given[2, 1, back: back + count]
+            np.tanh(new, out=new)
+            new -= h
+            keep -= 1
+            keep *= -0.5
+            new *= keep
+            h += new
+            states[t, :, :HIDDEN], states[back, :, HIDDEN:] = h[0], h[1]
+        found = states.reshape(-1, 2 * HIDDEN) @ heads
+        pull = np.exp(np.tanh(found[:, :-1]) @ p["att_v"]).reshape(WINDOW, count)
+        value = found[:, -1].reshape(WINDOW, count)
+        return (pull * value).sum(0) / pull.sum(0) + p["out_b"]
+
     def score(self, features: np.ndarray) -> np.ndarray:
         """Scores of texts from their features (row, 2)."""
         if self.constant is not None:
@@ -257,45 +307,79 @@ class Rates:
         weights["word"][rows] -= 4 * self.rate * d_rows / np.sqrt(self.rows[rows])[:, None]
 
 
-def fit(samples: list[tuple[int, int, list[str]]], toxic_share: float, steps: int = 700, batch: int = 64, seed: int = 7) -> Network:
-    """Fit on rows (document, label, windows of joined words).
-
-    Half of each batch are windows of toxic documents.  In the second half of the steps a toxic document
-    is represented by its highest window, since only some of its windows need be toxic.  Every fifth
-    document is left out of the steps and serves the calibration, unless a class is too small for that.
+class Sampled:
+    """The sampled words of each document as numbers of distinct words, passage after passage."""
+
+    def __init__(self, samples: list[tuple]):
+        self.labels = [y for _, y, _ in samples]
+        number: dict[str, int] = {"": 0}
+        self.rows = []
+        for _, _, passages in samples:
+            words = [w for passage in passages for w in passage.split()]
+            self.rows.append(np.array([number.setdefault(w, len(number)) for w in words] or [0], np.int64))
+        self.words = list(number)
+
+    def highest(self, net: Network) -> list[np.ndarray]:
+        """The window of highest logit of each document."""
+        table = np.empty((len(self.words), 2, 3 * HIDDEN), np.float32)
+        by_length = np.argsort([len(w) for w in self.words], kind="stable")
+        for at in range(0, len(self.words), 2048):
+            some = by_length[at: at + 2048]
+            table[some] = net.projections([self.words[i] for i in some])
+        net._cache.clear()  # made from weights that move on
+        found = []
+        for row in self.rows:
+            if len(row) <= WINDOW:
+                found.append(row)
+                continue
+            at = int(net.sliding_logits(table[row]).argmax())
+            found.append(row[at: at + WINDOW])
+        net._cache.clear()
+        return found
+
+
+def fit(samples: list[tuple], toxic_share: float, steps: int = 500, batch: int = 64, seed: int = 7) -> Network:
+    """Fit on rows (document, label, passages of joined words).
+
+    Half of each batch are windows of toxic documents.  At first they are long windows at random, of which many hold
+    something toxic.  Later a toxic document is represented by its highest window, since only some of its
+    windows need be toxic, and half of the others are the highest windows of clean documents; the highest are
+    chosen anew again and again.
     """
     net, rng, rates = Network.fresh(seed), np.random.default_rng(seed), Rates()
-    checked = [s for i, s in enumerate(samples) if i % 5 == 4]
-    if min(sum(y == side for _, y, _ in checked) for side in (0, 1)) < 5:
-        checked = samples
-    else:
-        samples = [s for i, s in enumerate(samples) if i % 5 != 4]
-    sides = [[w for _, y, ws in samples if y == side for w in ws] for side in (0, 1)]
+    held = Sampled(samples)
+    sides = [[k for k, label in enumerate(held.labels) if label == y] for y in (0, 1)]
     if not all(sides):
         net.constant = toxic_share
         return net
+    tops, half = [], batch // 2
+
+    def passage(k: int, size: int) -> np.ndarray:
+        row = held.rows[k]
+        at = rng.integers(0, max(1, len(row) - size + 1))
+        return row[at: at + size]
+
+    first, again = int(steps * FIRST_SHARE), max(1, steps // 5)
     for number in range(steps):
         rates.rate = 0.012 * (1 - number / steps)  # falls to nothing, so that the last steps settle the weights
-        if number == steps // 2:
-            tops = []
-            for _, y, ws in samples:
-                if y == 1:
-                    tops.append(ws[int(np.argmax(logits_of(net, ws)))])
-            sides[1] = tops
-        picked = [sides[y][i].split() for y in (0, 1) for i in rng.integers(0, len(sides[y]), batch // 2)]
-        words = sorted({w for window in picked for w in window} | {""})
-        place = {w: i for i, w in enumerate(words)}
-        longest = max(1, max(map(len, picked)))
-        index, mask = np.full((longest, batch), place[""]), np.zeros((longest, batch), np.float32)
+        if number >= first and (number - first) % again == 0:
+            tops = held.highest(net)
+        clean, toxic = (rng.choice(side, half) for side in sides)
+        if tops:
+            picked = [tops[k] if i % 2 else passage(k, WINDOW) for i, k in enumerate(clean)] + [tops[k] for k in toxic]
+        else:
+            picked = [passage(k, FIRST_WINDOW) for k in (*clean, *toxic)]
+        used, places = np.unique(np.concatenate(picked), return_inverse=True)
+        words = [held.words[i] for i in used.tolist()]
+        longest = max(map(len, picked))
+        index, mask = np.zeros((longest, 2 * half), np.int64), np.zeros((longest, 2 * half), np.float32)
+        at = 0
         for k, window in enumerate(picked):
-            index[: len(window), k] = [place[w] for w in window]
-            mask[: len(window), k] = 1
-        labels = np.repeat([0.0, 1.0], batch // 2).astype(np.float32)
+            index[: len(window), k], mask[: len(window), k] = places[at: at + len(window)], 1
+            at += len(window)
+        labels = np.repeat([0.0, 1.0], half).astype(np.float32)
         net.step(words, index, mask, labels, (rng.random(len(words)) > 0.5).astype(np.float32), rates)
-    each = [logits_of(net, ws) for _, _, ws in checked]
-    features = text_features(np.array([v.max() for v in each]), np.array([_sigmoid(v).mean() for v in each]))
-    labels = np.array([y for _, y, _ in checked], float)
-    net.blend = logistic_fit(features, labels, np.where(labels == 1, toxic_share / labels.mean(), (1 - toxic_share) / (1 - labels.mean())))
+    net._cache.clear()
     return net
 
 
@@ -313,18 +397,6 @@ def logistic_fit(features: np.ndarray, labels: np.ndarray, weight: np.ndarray) -
     return float(a[0]), float(a[1]), float(w[2] - a @ middle)
 
 
-def logits_of(net: Network, windows: list[str]) -> np.ndarray:
-    windows = [w.split() for w in windows]
-    words = sorted({w for window in windows for w in window} | {""})
-    place = {w: i for i, w in enumerate(words)}
-    longest = max(1, max(map(len, windows)))
-    index, mask = np.full((len(windows), longest), place[""]), np.zeros((len(windows), longest), np.float32)
-    for k, window in enumerate(windows):
-        index[k, : len(window)] = [place[w] for w in window]
-        mask[k, : len(window)] = 1
-    return net.window_logits(net.projections(words), index, mask)
-
-
 class Scorer:
     """Scores texts with a bounded table of word projections."""
 
@@ -333,65 +405,76 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self._tokens: dict[str, bytes] = {}
-        self._places: dict[str, int] = {"": 0}
+        self._known, self._at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._table = self.net.projections([""])
 
-    def _token(self, token: str) -> bytes:
-        places, found = self._places, []
-        for word in words_of(token):
-            found.append(places.setdefault(word, len(places)))
-        packed = np.array(found, dtype=np.int32).tobytes()
-        self._tokens[token] = packed
-        return packed
-
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Features of each text over all its windows."""
-        if len(self._places) > TABLE_WORDS or len(self._tokens) > 2 * TABLE_WORDS:
+    def _reset_if_full(self) -> None:
+        """Between chunks only, so that the rows of a chunk stay where they are."""
+        if len(self._known) > TABLE_WORDS:
             self._reset()
-        known, rows = self._tokens, []
-        for text in texts:
-            tokens = text.lower().split()
-            rows.append(np.frombuffer(b"".join([known.get(t) or self._token(t) for t in tokens]), dtype=np.int32))
-        fresh = list(self._places)[len(self._table):]
-        if fresh:
-            added = np.empty((len(fresh), 2, 3 * HIDDEN), np.float32)
-            by_length = np.argsort([len(w) for w in fresh], kind="stable")  # little padding in a chunk
-            for at in range(0, len(fresh), 2048):
-                some = by_length[at: at + 2048]
-                added[some] = self.net.projections([fresh[i] for i in some])
+
+    def _places(self, block: Block, part: slice) -> np.ndarray:
+        """Row of the table of each word of a part of the block."""
+        hashes = block.hash[part]
+        at = np.searchsorted(self._known, hashes)
+        fresh = np.flatnonzero(np.append(self._known, np.uint64(0))[at] != hashes)
+        fresh = np.union1d(fresh, np.flatnonzero(at == len(self._known)))
+        if len(fresh):
+            values, first = np.unique(hashes[fresh], return_index=True)
+            words = decoded(block, fresh[first] + part.start)
+            added = np.empty((len(words), 2, 3 * HIDDEN), np.float32)
+            by_length = np.argsort([len(w) for w in words], kind="stable")  # little padding in a chunk
+            for k in range(0, len(words), 2048):
+                some = by_length[k: k + 2048]
+                added[some] = self.net.projections([words[i] for i in some])
+            numbers = len(self._table) + np.arange(len(words))
             self._table = np.concatenate([self._table, added])
-        best, total, count = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.ones(len(texts))
-        short = [k for k, r in enumerate(rows) if len(r) < WINDOW]
-        for at in range(0, len(short), CHUNK_WINDOWS):
-            part = short[at: at + CHUNK_WINDOWS]
-            index, mask = np.zeros((len(part), WINDOW), np.int32), np.zeros((len(part), WINDOW), np.float32)
-            for i, k in enumerate(part):
-                index[i, : len(rows[k])], mask[i, : len(rows[k])] = rows[k], 1
-            best[part] = self.net.window_logits(self._table, index, mask)
-            total[part] = _sigmoid(best[part])
-        held, owners, size = [], [], 0
-        for k, r in enumerate(rows):
-            if len(r) >= WINDOW:
-                starts = np.array(window_starts(len(r)))
-                count[k] = len(starts)
-                for at in range(0, len(starts), CHUNK_WINDOWS):
-                    some = starts[at: at + CHUNK_WINDOWS]
-                    held.append(r[some[:, None] + np.arange(WINDOW)])
-                    owners.append(np.full(len(some), k))
-                    size += len(some)
-                    if size >= CHUNK_WINDOWS:
-                        self._full(held, owners, best, total)
-                        held, owners, size = [], [], 0
-        if size:
-            self._full(held, owners, best, total)
+            known, places = np.concatenate([self._known, values]), np.concatenate([self._at, numbers])
+            order = np.argsort(known, kind="stable")  # two sorted runs
+            self._known, self._at = known[order], places[order]
+            at = np.searchsorted(self._known, hashes)
+        return self._at[at]
+
+    def features(self, column: pa.Array) -> np.ndarray:
+        """Features of each text over all its windows."""
+        best, total = np.full(len(column), -np.inf), np.zeros(len(column))
+        count = np.ones(len(column))
+        for block in map(short_words, word_blocks(column)):
+            sizes = np.bincount(block.row, minlength=block.rows)
+            rows = slice(block.first, block.first + block.rows)
+            count[rows] = np.maximum(1, sizes - WINDOW + 1)
+            self._short(block, sizes, best[rows], total[rows])
+            for at in range(0, len(block.row) - WINDOW + 1, CHUNK_WORDS):
+                self._reset_if_full()
+                part = slice(at, min(at + CHUNK_WORDS + WINDOW - 1, len(block.row)))
+                self._run(self._places(block, part), block.row[part] + block.first, best, total)
         return text_features(best, total / count)
 
-    def _full(self, held, owners, best, total) -> None:
-        index, owner = np.concatenate(held), np.concatenate(owners)
-        logits = self.net.window_logits(self._table, index, np.ones(index.shape, np.float32))
-        np.maximum.at(best, owner, logits)
-        np.add.at(total, owner, _sigmoid(logits))
+    def _run(self, places: np.ndarray, owners: np.ndarray, best: np.ndarray, total: np.ndarray) -> None:
+        """All windows of a run of words; those over the border of two texts do not count."""
+        for at in range(0, len(places) - WINDOW + 1, CHUNK_WINDOWS):
+            end = at + CHUNK_WINDOWS + WINDOW - 1
+            owner = owners[at:end]
+            inside = owner[: len(owner) - WINDOW + 1] == owner[WINDOW - 1:]
+            if inside.any():
+                logits, owner = self.net.sliding_logits(self._table[places[at:end]])[inside], owner[: len(inside)][inside]
+                np.maximum.at(best, owner, logits)
+                np.add.at(total, owner, _sigmoid(logits))
+
+    def _short(self, block: Block, sizes: np.ndarray, best: np.ndarray, total: np.ndarray) -> None:
+        """Texts of fewer words than a window."""
+        few = np.flatnonzero(sizes < WINDOW)
+        firsts = np.cumsum(sizes) - sizes
+        for at in range(0, len(few), CHUNK_WINDOWS):
+            self._reset_if_full()
+            part = few[at: at + CHUNK_WINDOWS]
+            index, mask = np.zeros((len(part), WINDOW), np.int64), np.zeros((len(part), WINDOW), np.float32)
+            for i, k in enumerate(part.tolist()):
+                if sizes[k]:
+                    index[i, : sizes[k]] = self._places(block, slice(int(firsts[k]), int(firsts[k] + sizes[k])))
+                    mask[i, : sizes[k]] = 1
+            best[part] = self.net.window_logits(self._table, index, mask)
+            total[part] = _sigmoid(best[part])
 
 
 def held_out(id_column: Column) -> Column:
@@ -400,74 +483,107 @@ def held_out(id_column: Column) -> Column:
 
 
 def training_sample(
-    docs: DataFrame, labels: DataFrame, sample_rows: int, sample_windows: int, id_col: str, text_col: str, label_col: str
-) -> tuple[list[tuple[int, int, list[str]]], float]:
-    """Bounded labelled windows and the share of toxic labels, held-out rows left out."""
+    docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str, label_col: str
+) -> tuple[DataFrame | None, float]:
+    """Rows (id, label, text) of the labelled documents to learn from, and the share of toxic labels; held-out rows are left out."""
     usable = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     usable = usable.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    usable = usable.groupBy("id").agg(F.max("label").alias("label"))
     total, toxic = usable.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not total:
-        return [], 0.5
+        return None, 0.5
     picked = None
     for side in (0, 1):
         part = usable.filter(F.col("label") == side).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
         picked = part if picked is None else picked.unionByName(part)
     texts = text_rows(docs, id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"})
+    joined = texts.join(stage(picked, "toxicity-picked"), "id")
+    one = joined.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    return stage(one, "toxicity-sample"), toxic / total
+
+
+def sampled_passages(sample: DataFrame, most: int) -> list[tuple]:
+    """Rows (id, label, passages of joined words), ordered: at most ``most`` evenly spaced passages of each text."""
 
     def cut(batches):
         for batch in batches:
-            windows = []
-            for text in texts_of(batch, "text"):
-                words = [w for token in text.lower().split() for w in words_of(token)]
-                starts = window_starts(len(words))
-                chosen = starts if len(starts) <= sample_windows else [starts[i * len(starts) // sample_windows] for i in range(sample_windows)]
-                windows.append([" ".join(words[s: s + WINDOW]) for s in chosen])
-            kind = pa.list_(pa.string())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(windows, kind)], ["id", "label", "windows"])
+            windows = [[""]] * batch.num_rows
+            for block in map(short_words, word_blocks(batch.column(2))):
+                firsts = np.searchsorted(block.row, np.arange(block.rows + 1))
+                for k in range(block.rows):
+                    words = decoded(block, slice(int(firsts[k]), int(firsts[k + 1])))
+                    parts = -(-len(words) // FIRST_WINDOW)
+                    chosen = range(parts) if parts <= most else [i * parts // most for i in range(most)]
+                    windows[block.first + k] = [" ".join(words[c * FIRST_WINDOW: (c + 1) * FIRST_WINDOW]) for c in chosen]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(windows, pa.list_(pa.string()))], ["id", "label", "windows"])
+
+    rows = sample.select("id", "label", "text").mapInArrow(cut, f"id {id_type(sample, 'id')}, label int, windows array<string>")
+    return sorted((r["id"], r["label"], r["windows"]) for r in rows.collect())  # at most two classes of sample_rows
+
+
+def calibrate(net: Network, sample: DataFrame, share: float, checked: list) -> None:
+    """Fits the blend of the text features on the checked documents, over all their windows."""
+    score_features = _shared_scorer(sample, net)
+    wanted = sample.filter(F.col("id").isin(checked)) if checked else sample
+
+    def run(batches):
+        for batch in batches:
+            found = score_features(batch.column(1), True)
+            yield pa.record_batch([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["label", "highest", "mean"])
 
-    joined = texts.join(picked.dropDuplicates(["id"]), "id").select("id", "label", "text")
-    rows = joined.mapInArrow(cut, f"id {id_type(docs, id_col)}, label int, windows array<string>").limit(4 * sample_rows).collect()
-    samples = sorted((r["id"], r["label"], r["windows"]) for r in rows)
-    return samples, toxic / total
+    rows = wanted.select("label", "text").mapInArrow(run, "label int, highest double, mean double").collect()
+    labels, features = np.array([r["label"] for r in rows], float), np.array([(r["highest"], r["mean"]) for r in rows])
+    order = np.lexsort((features[:, 1], features[:, 0]))
+    labels, features = labels[order], features[order]
+    net.blend = logistic_fit(features, labels, np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean())))
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, sample_windows: int = 48, steps: int = 700,
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, sample_passages: int = 48, steps: int = 500,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
 ) -> Network:
     """Network fitted on at most ``sample_rows`` labelled documents of each class."""
+    ship_package(docs.sparkSession)
     bounded_batches(docs.sparkSession)
-    samples, share = training_sample(docs, labels, sample_rows, sample_windows, id_col, text_col, label_col)
-    return fit(samples, share, steps)
+    sample, share = training_sample(docs, labels, sample_rows, id_col, text_col, label_col)
+    samples = sampled_passages(sample, sample_passages) if sample is not None else []
+    checked = samples[4::5]
+    if min(sum(y == side for _, y, _ in checked) for side in (0, 1)) < 5:
+        checked = []  # a class is too small to keep a part of it from the fit
+    kept = {id for id, _, _ in checked}
+    net = fit([s for s in samples if s[0] not in kept], share, steps)
+    if net.constant is None:
+        calibrate(net, sample, share, sorted(kept))
+    return net
 
 
 _scorers: dict[int, Scorer] = {}
 
 
 def _shared_scorer(docs: DataFrame, net: Network):
-    """Function from texts to scores for use in tasks; the weights are broadcast, their size is fixed."""
+    """Function from a column of texts to scores, or features, for use in tasks; the weights are broadcast, their size is fixed."""
     shared = docs.sparkSession.sparkContext.broadcast(Network(net.weights, net.blend, net.constant))
 
-    def scores(texts: list[str]) -> np.ndarray:
+    def scores(texts: pa.Array, features_only: bool = False) -> np.ndarray:
         key = id(shared.value)  # a broadcast value is one object in a worker
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
-        return scorer.net.score(scorer.features(texts))
+        found = _scorers[key].features(texts)
+        return found if features_only else shared.value.score(found)
 
     return scores
 
 
 def keep_below(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with all their columns."""
+    ship_package(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     scorer, at = _shared_scorer(docs, net), docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = [value.as_py() or "" for value in batch.column(at)]
-            kept = batch.filter(pa.array(scorer(texts) < threshold))
+            kept = batch.filter(pa.array(scorer(batch.column(at)) < threshold))
             if kept.num_rows:
                 yield kept
 
@@ -476,12 +592,13 @@ def keep_below(docs: DataFrame, net: Network, threshold: float = 0.3, text_col:
 
 def score(docs: DataFrame, net: Network, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, held_out, score, predicted): every whole text scored over all its windows."""
+    ship_package(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     scorer = _shared_scorer(docs, net)
 
     def run(batches):
         for batch in batches:
-            scores = scorer(list(texts_of(batch, text_col)))
+            scores = scorer(batch.column(2))
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())],
                 [id_col, "held_out", "score", "predicted"],

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -346,7 +347,7 @@ def test_toxicity_gradients():
         assert slope == pytest.approx(float(held[name].reshape(-1)[at]), rel=0.1, abs=2e-4)
 
 
-def test_toxicity_learns_and_scores_every_window(spark):
+def test_toxicity_learns(spark):
     rng = np.random.default_rng(8)
     plain = [f"word{k}" for k in range(300)]
     rows = []
@@ -372,10 +373,25 @@ def test_toxicity_learns_and_scores_every_window(spark):
     assert toxicity.score(docs.limit(2), unlabelled).first()["score"] == 0.5
 
 
-def test_windows_cover_a_text():
-    for n in (0, 1, 31, 32, 33, 48, 49, 1000):
-        starts = toxicity.window_starts(n)
-        assert starts[0] == 0 and starts[-1] + toxicity.WINDOW >= n and all(b - a <= toxicity.STRIDE for a, b in zip(starts, starts[1:]))
+def test_every_window_is_scored_as_alone(monkeypatch):
+    """Features against one call of the network for each window of each text."""
+    monkeypatch.setattr(toxicity, "CHUNK_WINDOWS", 16)
+    monkeypatch.setattr(toxicity, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(toxicity, "TABLE_WORDS", 5)
+    net, rng = toxicity.Network.fresh(5), np.random.default_rng(5)
+    texts = [None, "", "One", "seven words are one short window, here", "exactly eight words are one whole window, here."]
+    texts += [" ".join(rng.choice(["Ab", "cde", "été", "x" * 130, "9", "f-g"], n)) for n in (9, 40, 3, 200)]
+    got = toxicity.Scorer(net).features(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        words = [w[i: i + 48].decode("utf-8", "replace") for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()) for i in range(0, len(w), 48)]
+        logits = []
+        for s in range(max(1, len(words) - 7)):
+            window = words[s: s + 8]
+            index, mask = np.arange(len(window) or 1)[None], np.full((1, len(window) or 1), 1.0 if window else 0.0, np.float32)
+            logits.append(float(net.window_logits(net.projections(window or [""]), index, mask)[0]))
+        mean = np.mean([1 / (1 + np.exp(-v)) for v in logits])
+        want = toxicity.text_features(np.array([max(logits)]), np.array([mean]))[0]
+        np.testing.assert_allclose(row, want, rtol=1e-3, atol=1e-4)
 
 
 def test_vocabulary_bytes():

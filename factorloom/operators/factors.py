@@ -420,7 +420,7 @@ def select_universe(
 # --- parameter grid --------------------------------------------------------------------
 
 # The axes of the parameter study and their choices, in order; which of them can
-# run here, `study.runnable_axes` tells (lightgbm cannot).
+# run on a panel, `study.runnable_axes` tells (a macro design needs one of its columns).
 GRID_AXES: dict[str, tuple[str, ...]] = {
     "quantile": ("0.10", "0.15", "0.20", "0.30"),
     "model": ("lightgbm", "baseline_mean", "ridge", "elasticnet"),

@@ -22,7 +22,7 @@ from . import portfolio as B
 def runnable_axes(panel_columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
     """The grid's axes without the choices that cannot run: models that the library does not
     have, and macro designs of which the panel has no column."""
-    known = {*L.FACTOR_MODELS, *L.CONSTANT_MODELS}
+    known = {*L.FACTOR_MODELS, *L.CONSTANT_MODELS, *L.LEAFWISE_MODELS}
     return G.GRID_AXES | {
         "model": tuple(m for m in G.GRID_AXES["model"] if m in known),
         "macro_feature_design": tuple(

@@ -43,16 +43,17 @@ def studied(spark):
 def test_study_has_every_runnable_combination(spark, studied):
     panel, _, _, study = studied
     grid = G.parameter_grid(spark)
-    assert rows_of(study.select("variant", *G.GRID_AXES)) == rows_of(grid.where("model <> 'lightgbm'"))
-    assert study.count() == 4 * 3 * 3 * 2 * 3 * 2
+    assert rows_of(study.select("variant", *G.GRID_AXES)) == rows_of(grid)
+    assert study.count() == 4 * 4 * 3 * 2 * 3 * 2
     few = Y.runnable_axes(["macro__a"])
-    assert few["macro_feature_design"] == ("current_macro_family",) and "lightgbm" not in few["model"]
+    assert few["macro_feature_design"] == ("current_macro_family",) and few["model"] == G.GRID_AXES["model"]
     assert "parameter_grid_study" in STUDIES
 
 
 @pytest.mark.parametrize("model,floor,universe,design,surface", [
     ("ridge", "0.03", "selected_13_global_local", "us_macro_25x3", "weighted_factor_return"),
     ("elasticnet", "0.01", "all_implemented_current", "us_macro_expanded", "stock_score_qspread"),
+    ("lightgbm", "0.01", "all_implemented_current", "us_macro_25x3", "weighted_factor_return"),
     ("baseline_mean", "0.0", "selected_13_global_local", "current_macro_family", "stock_score_qspread"),
 ])
 def test_study_equals_a_single_run(studied, model, floor, universe, design, surface):

@@ -42,6 +42,17 @@ def avg_rank(value: str, partition: str) -> str:
     )
 
 
+def _resolved(text: str) -> str:
+    """Character references replaced by their characters, part by part behind each ampersand."""
+    name = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);', 1)"
+    known = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "''", "nbsp": "\u00a0"}
+    named = " ".join(f"WHEN {name} = '{n}' THEN '{c}' || p[{len(n) + 2}:]" for n, c in known.items())
+    code = f"CASE WHEN {name}[2:2] IN ('x', 'X') THEN TRY_CAST('0x' || {name}[3:] AS INTEGER) ELSE TRY_CAST({name}[2:] AS INTEGER) END"
+    numeric = f"WHEN {name}[1:1] = '#' AND ({code}) BETWEEN 1 AND 1114111 AND ({code}) NOT BETWEEN 55296 AND 57343 THEN chr({code}) || p[length({name}) + 2:]"
+    parts = f"string_split({text}, '&')"
+    return f"{parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: CASE {named} {numeric} ELSE '&' || p END), '')"
+
+
 def quantile(value: str, q: str, order_column: str = "rn", size: str = "n") -> str:
     """Interpolated quantile inside an aggregate over rows numbered from 1."""
     pos = f"round((max({size}) - 1) * {q}, 6)"
@@ -522,6 +533,9 @@ def statements() -> dict[str, str]:
             UNION ALL SELECT factor_id, 'selected_13_global_local' FROM alpha QUALIFY row_number() OVER (
               ORDER BY combined_score DESC, global_score DESC, local_score DESC, factor_id) <= 13) u USING (factor_id)
             WHERE ls IS NOT NULL GROUP BY 1, 2""",
+        "label_stage_chunks": """SELECT CAST((place - 1) // 12 AS INTEGER) AS chunk, min(formation_date) AS first_date, max(formation_date) AS last_date,
+              CAST(count(DISTINCT formation_date) AS INTEGER) AS dates, count(*) AS n_rows
+            FROM (SELECT formation_date, dense_rank() OVER (ORDER BY formation_date) AS place FROM panel) GROUP BY 1""",
         "split_chronological": "SELECT date AS formation_date, split FROM splits",
         "walk_forward_folds": "SELECT factor_id, formation_date, fold, role FROM folds",
         "holdout_split": """SELECT factor_id, formation_date, CASE WHEN i < n - v - h THEN 'train' WHEN i < n - h THEN 'validation' ELSE 'holdout' END AS role
@@ -659,7 +673,8 @@ def statements() -> dict[str, str]:
               SELECT l.*, CASE WHEN p.path IS NULL THEN 'broken link' WHEN fragment <> '' AND NOT regexp_matches(p.html, 'id=["'']' || fragment || '["'']') THEN 'missing fragment' END AS problem
               FROM (SELECT page_id, href, lower(site) AS site, regexp_replace(href, '#.*$', '') AS path, regexp_extract(href, '#(.*)$', 1) AS fragment
                 FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS site,
-                      regexp_replace(unnest(regexp_extract_all({_MARKUP}, '{_HREF}', 1)), '^["'']|["'']$', '', 'g') AS href FROM pages)
+                      {_resolved("href")} AS href FROM (SELECT page_id, url,
+                        regexp_replace(unnest(regexp_extract_all({_MARKUP}, '{_HREF}', 1)), '^["'']|["'']$', '', 'g') AS href FROM pages))
                 WHERE NOT regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|//)') AND regexp_replace(href, '#.*$', '') <> '') l
               LEFT JOIN (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, any_value(html) AS html
                 FROM pages GROUP BY 1, 2) p USING (site, path))

@@ -6,6 +6,7 @@ forecasts, legs) are staged once per application and directory.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -26,7 +27,8 @@ from ..operators import reports as R
 from ..operators import study as Y
 from ..operators import textscan as Z
 from ..plans.orderstats import ordinal_ranks
-from ..plans.staging import shared_stage, stage
+from ..plans.staging import shared_stage, stage, stage_root
+from ..sources import chunks as K
 from ..sources import contracts as C
 from ..sources import files as S
 from ..sources import market_tables as T
@@ -498,6 +500,27 @@ def split_chronological(spark, sf):
     return L.chronological_split(months.select(F.col("date").alias("formation_date")))
 
 
+@query
+def label_stage_chunks(spark, sf):
+    """The label stage as one job into a chunked table; one row for each finished chunk."""
+    location = f"{stage_root(spark)}/label-stage-{uuid.uuid4().hex}"
+    K.label_stage(_monthly(spark, sf), T.name_history(spark, sf), location)
+    return K.entered_chunks(spark, location).select("chunk", "first_date", "last_date", "dates", F.col("rows").alias("n_rows"))
+
+
+def forest_factor_forecast(spark, sf):
+    """A forest of 100 trees for every factor and fold, grown together."""
+    return L.train_factor_models(_returns(spark, sf), _macro(spark, sf), model="random_forest").predictions
+
+
+def leafwise_factor_forecast(spark, sf):
+    """Leaf-wise boosting for every factor and fold."""
+    return L.train_factor_models(_returns(spark, sf), _macro(spark, sf), model="lightgbm").predictions
+
+
+STUDIES |= {"forest_factor_forecast": forest_factor_forecast, "leafwise_factor_forecast": leafwise_factor_forecast}
+
+
 def _model_frame(spark, sf):
     return _returns(spark, sf).join(_macro(spark, sf), "formation_date")
 

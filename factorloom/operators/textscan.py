@@ -94,11 +94,37 @@ def page_structure(pages: DataFrame) -> DataFrame:
 _ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
 
+# Character references by name that are resolved in links, beside all numeric ones.
+NAMED_REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+
+
+def resolved_references(text: Column) -> Column:
+    """Character references replaced by their characters, in one pass: ``&amp;lt;`` gives ``&lt;``.
+
+    References that are not known, or name no character, stay as they are.
+    """
+    parts = F.split(text, "&", -1)
+    by_name = F.create_map(*[F.lit(x) for pair in NAMED_REFERENCES.items() for x in pair])
+
+    def resolve(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]+);", 1)
+        rest = F.substr(part, F.length(name) + 2)
+        base = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        code = F.when(name.startswith("#"), base).try_cast("int")
+        can = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(F.when(can, code)), 8, "0")), "UTF-32")
+        value = F.when(name.startswith("#"), letter).otherwise(F.try_element_at(by_name, name))
+        return F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), part))
+
+    later = F.transform(F.slice(parts, F.lit(2), F.size(parts)), resolve)
+    return F.when(~text.contains("&"), text).otherwise(F.concat(F.get(parts, F.lit(0)), F.array_join(later, "")))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, href) for every link of the page, in the page's order."""
+    """(page_id, url, href) for every link of the page, in the page's order; character references are resolved."""
     raw = F.regexp_extract_all(_markup(F.col("html")), F.lit(_ANCHOR), F.lit(1))
     links = pages.select("page_id", "url", F.posexplode(raw).alias("n", "raw"))
-    return links.select("page_id", "url", "n", F.regexp_replace("raw", r"""^["']|["']$""", "").alias("href")).where(
+    return links.select("page_id", "url", "n", resolved_references(F.regexp_replace("raw", r"""^["']|["']$""", "")).alias("href")).where(
         F.col("href") != ""
     )
 
@@ -150,8 +176,8 @@ def link_errors(pages: DataFrame) -> DataFrame:
     wanted = local.where(F.col("path").isNotNull()).select("site", "path").distinct()
     found = wanted.join(known.select("site", "path").distinct(), ["site", "path"], "left_semi")
     marks = known.select(
-        "site", "path", F.explode(F.regexp_extract_all("html", F.lit(r"""id=["']([^"']*)["']"""), F.lit(1))).alias("fragment")
-    ).distinct()
+        "site", "path", F.explode(F.regexp_extract_all("html", F.lit(r"""id=["']([^"']*)["']"""), F.lit(1))).alias("raw")
+    ).select("site", "path", resolved_references(F.col("raw")).alias("fragment")).distinct()
     checked = local.join(found.withColumn("exists", F.lit(True)), ["site", "path"], "left").join(
         marks.withColumn("marked", F.lit(True)), ["site", "path", "fragment"], "left"
     )

@@ -169,3 +169,15 @@ def test_link_errors(make):
                  (3, "http://elsewhere.org/gone", ""))
     assert rows_of(Z.link_errors(pages), "page_id", "href", "problem") == [
         (1, "../../up", "escapes site"), (1, "/gone", "broken link"), (1, "docs/b.html#none", "missing fragment")]
+
+
+def test_character_references_in_links(spark):
+    given = ["a&amp;b", "&amp;lt;", "x&#38;y&#x1F600;z", "&lt;&gt;&quot;&apos;", "&nope;&", "&#0;&#xD800;", "plain", "", "&#99999999;", "&amp", "a&&amp;"]
+    rows = spark.createDataFrame(list(enumerate(given)), "n int, t string")
+    got = [r["v"] for r in rows.select("n", Z.resolved_references(F.col("t")).alias("v")).orderBy("n").collect()]
+    assert got == ["a&b", "&lt;", "x&y\U0001F600z", "<>\"'", "&nope;&", "&#0;&#xD800;", "plain", "", "&#99999999;", "&amp", "a&&"]
+    pages = spark.createDataFrame([
+        (1, "http://s/x.html", '<html><a href="r&amp;d.html">a</a> <a href="r&#38;d.html#t&amp;u">b</a> <a href="r&amp;x.html">c</a></html>'),
+        (2, "http://s/r&d.html", '<html><p id="t&amp;u"></p></html>'),
+    ], "page_id long, url string, html string")
+    assert [(r["n"], r["problem"]) for r in Z.link_errors(pages).collect()] == [(2, "broken link")]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.plans.shipping import ship_package
+
 #: Rows of one Arrow batch: bounds what a Python worker holds of long texts.
 BATCH_ROWS = 1000
 
@@ -78,7 +80,8 @@ def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in this session; texts can be very long."""
+    """Keep Arrow batches small in this session, as texts can be very long, and give the workers the package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -208,10 +208,21 @@ def write_links(folder: str, company: DataFrame, estimate: DataFrame, diagnostic
     diagnostics.write.mode(mode).json(f"{folder}/link_diagnostics.json")
 
 
-def export_jobs(jobs: DataFrame, location: str, events: DataFrame | None = None, *, mode: str = "error") -> None:
-    """Jobs as CSV, or each event with the fields of its job as a line of JSON."""
+def export_jobs(
+    jobs: DataFrame, location: str, events: DataFrame | None = None, *, nested: bool = False, mode: str = "error"
+) -> None:
+    """Jobs as CSV; with events each event with the fields of its job, or ``nested`` each job with its events, as lines of JSON.
+
+    A nested job is one row, so its history must fit one; otherwise events stay in rows of their own.
+    """
     if events is None:
         jobs.write.mode(mode).option("header", True).csv(location)
         return
+    if nested:
+        # the number leads the structure, so that sorting the array sorts the history
+        own = [c for c in events.columns if c not in ("job_id", "event_id")]
+        histories = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("event_id", *own))).alias("events"))
+        jobs.join(histories, "job_id", "left").withColumn("exported_at", F.current_timestamp()).write.mode(mode).json(location)
+        return
     # One job's history may be long: it stays in rows, sorted, beside the job's own fields.
     jobs.join(events, "job_id", "left").sortWithinPartitions("job_id", "event_id").write.mode(mode).json(location)

@@ -129,6 +129,10 @@ def test_run_links_and_job_sinks(spark, make, tmp_path):
     S.export_jobs(jobs, str(tmp_path / "jobs"))
     S.export_jobs(jobs, str(tmp_path / "history"), events)
     assert spark.read.json(str(tmp_path / "history")).count() == 3
+    S.export_jobs(jobs, str(tmp_path / "nested"), make("job_id string, event_id long, kind string", ("j", 2, "b"), ("j", 1, "a")), nested=True)
+    nested = {r["job_id"]: r for r in spark.read.json(str(tmp_path / "nested")).collect()}
+    assert [(e["event_id"], e["kind"]) for e in nested["j"]["events"]] == [(1, "a"), (2, "b")] and nested["k"]["events"] is None
+    assert all(r["exported_at"] for r in nested.values())
 
 
 def test_stages_follow_the_shared_folder(spark):

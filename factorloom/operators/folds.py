@@ -236,6 +236,15 @@ def linear_forecast(held: FoldRows, solve: Solve) -> tuple[DataFrame, DataFrame]
     return fitted, trained_rows(held)
 
 
+def mean_forecast(held: FoldRows) -> tuple[DataFrame, DataFrame]:
+    """The training mean of the target as forecast of all validation and test rows, and (factor, train_rows)."""
+    blocks = held.rows.where("block < folds").groupBy(KEY, "block").agg(F.sum(held.target).alias("s"), F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy(KEY).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    means = blocks.select(KEY, F.col("block").alias("fold"), (F.sum("s").over(so_far) / F.sum("n").over(so_far)).alias("prediction"))
+    fitted = evaluated(held).join(means, [KEY, "fold"])
+    return fitted.select(DATE, KEY, held.target, "role", "fold", "prediction"), trained_rows(held)
+
+
 def median_forecast(held: FoldRows) -> tuple[DataFrame, DataFrame]:
     """The training median of the target as forecast of all validation and test rows, and (factor, train_rows)."""
     medians = fold_medians(held, [held.target]).withColumn("prediction", F.get("medians", F.lit(0)))

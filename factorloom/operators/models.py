@@ -225,13 +225,12 @@ def train_factor_models(
             stage(frame, "fold-rows"), [] if name in CONSTANT_MODELS else features, TARGET, min_observations=min_observations,
             validation_periods=walk_forward_validation_periods, test_periods=walk_forward_test_periods,
         )
-        if name == "baseline_median":
-            fitted, train_rows = FD.median_forecast(held)
+        if name in CONSTANT_MODELS:
+            fitted, train_rows = (FD.mean_forecast if name == "baseline_mean" else FD.median_forecast)(held)
         elif name in FACTOR_FORESTS:
             fitted, train_rows = TR.forest_forecast(held, **FACTOR_FORESTS[name], **(model_params or {}))
-        else:  # without features the solution is the mean
-            solve = FACTOR_MODELS[name](**(model_params or {})) if name in FACTOR_MODELS else ridge_weights()
-            fitted, train_rows = FD.linear_forecast(held, solve)
+        else:
+            fitted, train_rows = FD.linear_forecast(held, FACTOR_MODELS[name](**(model_params or {})))
         return _walk_forward_result(stage(fitted, "fitted"), name, train_rows)
     if evaluation_mode == "walk_forward":
         rows = walk_forward_folds(

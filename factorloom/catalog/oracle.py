@@ -373,6 +373,22 @@ def statement(select: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
+_ORDER_HASH = "substr(sha256(o_orderkey || ':' || {}), 1, 16)"
+_ORDER_MONTHS = """SELECT o_orderstatus AS state, strftime(o_orderdate, '%Y-%m') AS month, min(CAST(o_orderdate AS DATE)) AS opened,
+    max(CAST(o_orderdate AS DATE)) + 45 AS closed FROM orders GROUP BY 1, 2"""
+
+
+def _hash_leaves(depth: int) -> str:
+    return f"""SELECT {depth} AS level, node, CAST(sum(copies) AS BIGINT) AS rows, sha256(string_agg('v' || h || ':' || copies, '|'
+        ORDER BY 'v' || h || ':' || copies)) AS hash FROM (SELECT *, substr(sha256('v' || h), 1, {depth}) AS node FROM (
+        SELECT {_ORDER_HASH.format('o_orderstatus')} AS h, count(*) AS copies FROM orders GROUP BY 1)) GROUP BY 2"""
+
+
+def _hash_parents(children: str, level: int) -> str:
+    return f"""SELECT {level} AS level, substr(node, 1, {level}) AS node, CAST(sum(rows) AS BIGINT) AS rows,
+        sha256(string_agg(node || ':' || hash, '|' ORDER BY node || ':' || hash)) AS hash FROM {children} GROUP BY 2"""
+
+
 def _rounded(columns, digits: int = 6) -> str:
     return ", ".join(f"{r(c, digits)} AS {c}" for c in columns)
 
@@ -631,6 +647,30 @@ def statements() -> dict[str, str]:
             + _filled() + ") GROUP BY 1",
         "run_set_fingerprint": f"""SELECT substr(sha256(string_agg(h, '|' ORDER BY h)), 1, 16) AS run_set_hash16 FROM (
             SELECT substr(sha256(run_id || ':' || CAST(CAST(floor(rank_ic * 1e6 + 0.5001e0) AS BIGINT) AS VARCHAR)), 1, 16) AS h FROM runs)""",
+        "run_set_hash_tree": f"""WITH leaves AS ({_hash_leaves(2)}), middle AS ({_hash_parents("leaves", 1)}), top AS ({_hash_parents("middle", 0)})
+            SELECT * FROM leaves UNION ALL SELECT * FROM middle UNION ALL SELECT * FROM top""",
+        "run_set_differences": f"""SELECT substr(sha256('v' || repro_hash), 1, 2) AS node, repro_hash, our_copies, their_copies FROM (
+            SELECT coalesce(a.h, b.h) AS repro_hash, coalesce(a.n, 0) AS our_copies, coalesce(b.n, 0) AS their_copies
+            FROM (SELECT {_ORDER_HASH.format('o_orderstatus')} AS h, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN
+            (SELECT {_ORDER_HASH.format("CASE WHEN o_orderpriority = '1-URGENT' THEN 'P' ELSE o_orderstatus END")} AS h, count(*) AS n FROM orders GROUP BY 1) b
+            ON a.h = b.h) WHERE our_copies <> their_copies""",
+        "running_order_value": f"""SELECT o_orderkey, CAST(sum(cents) OVER w AS BIGINT) AS total_cents, max(cents) OVER w AS most_cents,
+            last_value(urgent IGNORE NULLS) OVER w AS latest_urgent FROM (SELECT *, CAST(round({r('o_totalprice', 2)} * 100) AS BIGINT) AS cents,
+            CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderkey END AS urgent FROM orders)
+            WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)""",
+        "order_value_drawdown": f"""SELECT o_orderstatus, {r('min(d)')} AS max_drawdown FROM (SELECT o_orderstatus,
+            e / max(e) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) - 1 AS d FROM (SELECT *,
+            product(1 + ((o_orderkey * 7919 + o_custkey * 104729) % 2001 - 1000) / 100000e0) OVER (PARTITION BY o_orderstatus
+            ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS e FROM orders)) GROUP BY 1""",
+        "shipment_asof_order_day": """SELECT l_orderkey, l_linenumber, l.state, l.day, order_day, orders, last_orderkey FROM (
+            SELECT l_orderkey, l_linenumber, l_linestatus AS state, CAST(l_shipdate AS DATE) AS day FROM lineitem) l ASOF LEFT JOIN (
+            SELECT o_orderstatus AS state, CAST(o_orderdate AS DATE) AS order_day, count(*) AS orders, max(o_orderkey) AS last_orderkey
+            FROM orders GROUP BY 1, 2) o ON l.state = o.state AND l.day >= o.order_day""",
+        "shipments_in_order_months": f"""SELECT m.state, month, count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity
+            FROM lineitem JOIN ({_ORDER_MONTHS}) m ON l_linestatus = m.state AND CAST(l_shipdate AS DATE) BETWEEN opened AND closed GROUP BY 1, 2""",
+        "shipment_spans_over_order_months": f"""SELECT m.state, month, count(*) AS lines, CAST(sum(l_quantity) AS BIGINT) AS quantity
+            FROM lineitem JOIN ({_ORDER_MONTHS}) m ON l_linestatus = m.state AND CAST(l_shipdate AS DATE) <= closed
+            AND opened <= CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) GROUP BY 1, 2""",
         "yearly_returns": f"SELECT split, year(formation_date) AS year, {growth('product(1 + portfolio_return) - 1')} AS year_return, count(*) AS months FROM qport GROUP BY 1, 2",
         "worst_months": f"""SELECT split, formation_date, {r('portfolio_return')} AS portfolio_return, position FROM (SELECT *, row_number() OVER (
             PARTITION BY split ORDER BY portfolio_return, formation_date) AS position FROM qport) WHERE position <= 4""",
@@ -680,4 +720,4 @@ def statements() -> dict[str, str]:
                 FROM pages GROUP BY 1, 2) p USING (site, path))
             WHERE problem IS NOT NULL GROUP BY 1, 2, 3""",
     }
-    return {name: text if text.startswith("WITH lines") else statement(text) for name, text in out.items()}
+    return {name: text if text.startswith(("WITH lines", "WITH leaves")) else statement(text) for name, text in out.items()}

@@ -17,8 +17,11 @@ from ..functions.scalars import fixed_growth, fixed_point, json_fields, json_pay
 from ..operators import factors as G
 from ..operators import features as X
 from ..operators import folds as FD
+from ..operators import hashtree as H
+from ..operators import intervalbins as N
 from ..operators import intervals as I
 from ..operators import jobs as J
+from ..operators import longseries as LS
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import panel as P
@@ -27,6 +30,7 @@ from ..operators import reports as R
 from ..operators import study as Y
 from ..operators import textscan as Z
 from ..plans.orderstats import ordinal_ranks
+from ..plans.rangescan import cut_into_ranges, scan
 from ..plans.staging import shared_stage, stage, stage_root
 from ..sources import chunks as K
 from ..sources import contracts as C
@@ -831,6 +835,98 @@ def run_set_fingerprint(spark, sf):
     )
 
 
+def _order_hashes(spark, sf, status):
+    text = F.concat_ws(":", F.col("o_orderkey").cast("string"), status)
+    return T.table(spark, sf, "orders").select(F.substring(F.sha2(text, 256), 1, 16).alias("repro_hash"))
+
+
+@query
+def run_set_hash_tree(spark, sf):
+    """Every order as a run; its state is what is hashed."""
+    return H.hash_tree(_order_hashes(spark, sf, F.col("o_orderstatus")), depth=2)
+
+
+@query
+def run_set_differences(spark, sf):
+    """The same orders with one priority's state changed: the values that only one set holds."""
+    changed = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("P")).otherwise(F.col("o_orderstatus"))
+    return H.differing_values(
+        _order_hashes(spark, sf, F.col("o_orderstatus")), _order_hashes(spark, sf, changed), depth=2
+    )
+
+
+# --- series of any length --------------------------------------------------------------
+
+@query
+def running_order_value(spark, sf):
+    """Running total, largest order and latest urgent order of each state, in order of time."""
+    cents = fixed_point("o_totalprice", 2) * 100
+    orders = T.table(spark, sf, "orders").select(
+        "o_orderstatus", "o_orderdate", "o_orderkey", F.rint(cents).cast("long").alias("cents"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey")).alias("urgent"),
+    )
+    by, order = ["o_orderstatus"], ["o_orderdate", "o_orderkey"]
+    running = {"total_cents": ("sum", "cents"), "most_cents": ("max", "cents"), "latest_urgent": ("last", "urgent")}
+    return scan(cut_into_ranges(orders, by, order), by, order, running).select("o_orderkey", *running)
+
+
+@query
+def order_value_drawdown(spark, sf):
+    """Drawdown of a return series with one row an order, few keys."""
+    step = (F.col("o_orderkey") * 7919 + F.col("o_custkey") * 104729) % 2001
+    orders = T.table(spark, sf, "orders").withColumn("change", (step - 1000).cast("double") / 100000.0)
+    deepest = LS.max_drawdown_ranged(orders, ["o_orderstatus"], value="change", order=["o_orderdate", "o_orderkey"])
+    return _fixed(deepest, ["o_orderstatus"], ["max_drawdown"])
+
+
+@query
+def shipment_asof_order_day(spark, sf):
+    """Each line with the latest earlier order day of its state: two keys hold all lines."""
+    days = T.table(spark, sf, "orders").groupBy(
+        F.col("o_orderstatus").alias("state"), F.to_date("o_orderdate").alias("available_date")
+    ).agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderkey").alias("last_orderkey"))
+    days = days.withColumn("order_day", F.col("available_date"))
+    lines = T.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_linestatus").alias("state"), F.to_date("l_shipdate").alias("day")
+    )
+    return LS.asof_backward_ranged(lines, [(days, ["order_day", "orders", "last_orderkey"])], key="state", left_date="day")
+
+
+def _order_months(spark, sf):
+    day = F.to_date("o_orderdate")
+    return T.table(spark, sf, "orders").groupBy(
+        F.col("o_orderstatus").alias("state"), F.date_format(day, "yyyy-MM").alias("month")
+    ).agg(F.min(day).alias("opened"), F.date_add(F.max(day), 45).alias("closed"))
+
+
+@query
+def shipments_in_order_months(spark, sf):
+    """Lines per span of their state that holds the ship day; two identifiers hold all lines."""
+    lines = T.table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("state"), F.to_date("l_shipdate").alias("day"), "l_quantity"
+    )
+    active = N.join_active_binned(lines, _order_months(spark, sf), "state", "day", "opened", "closed", bin_days=31)
+    return active.groupBy("state", "month").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").cast("long").alias("quantity")
+    )
+
+
+@query
+def shipment_spans_over_order_months(spark, sf):
+    """Lines in transit (from ship day, a day a unit) per span of their state that they overlap."""
+    lines = T.table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("line_state"), F.to_date("l_shipdate").alias("left_on"), "l_quantity",
+        F.date_add(F.to_date("l_shipdate"), F.col("l_quantity").cast("int")).alias("there_on"),
+    )
+    pairs = N.overlap_join_binned(
+        lines, _order_months(spark, sf), on="line_state", right_on="state", left_span=("left_on", "there_on"),
+        right_span=("opened", "closed"), bin_days=31,
+    )
+    return pairs.groupBy("state", "month").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").cast("long").alias("quantity")
+    )
+
+
 @query
 def yearly_returns(spark, sf):
     return R.yearly_returns(_qspread(spark, sf)).select(

@@ -457,6 +457,13 @@ def statements() -> dict[str, str]:
         "contract_dates": " UNION ALL ".join(
             [_profile("namedt", "nh"), _profile("nameenddt", "nh")]
         ),
+        "contract_table_dates": " UNION ALL ".join(
+            f"SELECT '{table}' AS table_name, count(*) AS row_count, '{name}' AS date_column, min({name}) AS min_date, max({name}) AS max_date, "
+            f"count({name}) AS non_null_count, CAST(0 AS BIGINT) AS parse_failures FROM {source}"
+            for table, source, names in (("crsp_monthly", "sm", ("date",)), ("crsp_names", "nh", ("namedt", "nameenddt")),
+                                         ("ccm_link", "cl", ("linkdt", "linkenddt")), ("ibes_link", "tl", ("sdate",)))
+            for name in names
+        ) + " UNION ALL SELECT 'ibes_link', count(*), 'edate', CAST(NULL AS DATE), CAST(NULL AS DATE), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM tl",
         "contract_duplicates": """SELECT CAST(sum(c) AS BIGINT) AS rows_checked, CAST(sum(c - 1) AS BIGINT) AS duplicate_count,
             CASE WHEN sum(c - 1) > 0 THEN 'warning' ELSE 'ok' END AS severity
             FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber)""",
@@ -707,6 +714,7 @@ def statements() -> dict[str, str]:
             JOIN jstate USING (job_id) WHERE state = 'DEAD_LETTER'""",
         "text_pattern_findings": _findings(Z.SECRET_PATTERNS, "documents", "doc_id", "text", False),
         "network_pattern_findings": _findings(Z.NETWORK_PATTERNS, "documents", "doc_id", "text", True),
+        "address_findings": _findings([("ipv4_address", r"\b\d{1,3}(?:\.\d{1,3}){3}\b")], "documents", "doc_id", "text", True),
         "page_structure": "SELECT page_id, has_html, has_title, has_body, has_html AND has_title AND has_body AS ok FROM (SELECT page_id, "
             + ", ".join(f"regexp_matches({_MARKUP}, '(?i)<{t}[\\s/>]') AS has_{t}" for t in ("html", "title", "body")) + " FROM pages)",
         "broken_links": f"""SELECT page_id, href, problem, count(*) AS links FROM (

@@ -180,6 +180,14 @@ def contract_dates(spark, sf):
     return C.date_profile(T.name_history(spark, sf), list(C.CONTRACTS["crsp_names"].dates))
 
 
+@query
+def contract_table_dates(spark, sf):
+    """Date spans of all tables with a contract that the links need, one scan each."""
+    names = ("ccm_link", "ibes_link")
+    tables = {n: t for n, t in _inputs(spark, sf).items() if n in names}
+    return C.table_date_spans(spark, {"crsp_monthly": _monthly(spark, sf), "crsp_names": T.name_history(spark, sf), **tables})
+
+
 @query
 def contract_duplicates(spark, sf):
     return C.duplicate_key_count(T.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -1041,6 +1049,14 @@ def network_pattern_findings(spark, sf):
     return Z.pattern_findings(T.table(spark, sf, "documents"), Z.NETWORK_PATTERNS, skip_comments=True)
 
 
+@query
+def address_findings(spark, sf):
+    """A caller's own pattern: lines with an IPv4 address, comments passed over."""
+    return Z.pattern_findings(
+        T.table(spark, sf, "documents"), [("ipv4_address", r"\b\d{1,3}(?:\.\d{1,3}){3}\b")], skip_comments=True
+    )
+
+
 @query
 def page_structure(spark, sf):
     return Z.page_structure(T.table(spark, sf, "pages")).drop("url", "html")

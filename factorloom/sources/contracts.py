@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,8 +193,49 @@ def table_summary(df: DataFrame, date_column: str | None = None) -> DataFrame:
     return df.agg(*sums).select(F.inline(F.array(*rows)))
 
 
+def contract_figures(df: DataFrame, contract: Contract) -> DataFrame:
+    """One row with all figures of a contract: rows, repeated keys and each date's span and failures.
+
+    The table is scanned once and shuffled once.  Rows of a key fold to their number and the span
+    and counts of their dates, all of which can be added up again over the keys; NULLs are equal
+    in a key.  Without a complete key ``duplicate_count`` is NULL and nothing is shuffled.  A date
+    column that is missing has no entry in ``dates``.
+    """
+    dates = [d for d in contract.dates if d in df.columns]
+    first = [F.count(F.lit(1)).alias("_rows")]
+    for i, name in enumerate(dates):
+        parsed = as_date(df, name)
+        first += [
+            F.min(parsed).alias(f"_min{i}"), F.max(parsed).alias(f"_max{i}"), F.count(name).alias(f"_filled{i}"),
+            F.count_if(F.col(name).isNotNull() & parsed.isNull()).alias(f"_bad{i}"),
+        ]
+    keyed = not missing_columns(df, contract.required)
+    folded = df.groupBy(*contract.key).agg(*first) if keyed else df.agg(*first)
+    zero = F.lit(0).cast("long")
+    again = [F.coalesce(F.sum("_rows"), zero).alias("row_count"), F.count(F.lit(1)).alias("_keys")]
+    for i in range(len(dates)):
+        again += [F.min(f"_min{i}").alias(f"_min{i}"), F.max(f"_max{i}").alias(f"_max{i}")]
+        again += [F.coalesce(F.sum(f"_{n}{i}"), zero).alias(f"_{n}{i}") for n in ("filled", "bad")]
+    spans = [
+        F.struct(
+            F.lit(name).alias("date_column"), F.col(f"_min{i}").alias("min_date"), F.col(f"_max{i}").alias("max_date"),
+            F.col(f"_filled{i}").alias("non_null_count"), F.col(f"_bad{i}").alias("parse_failures"),
+        )
+        for i, name in enumerate(dates)
+    ]
+    failures = zero
+    for i in range(len(dates)):
+        failures = failures + F.col(f"_bad{i}")
+    empty = F.from_json(F.lit("[]"), "array<struct<date_column string, min_date date, max_date date, non_null_count long, "
+                        "parse_failures long>>")
+    return folded.agg(*again).select(
+        "row_count", (F.col("row_count") - F.col("_keys") if keyed else F.lit(None).cast("long")).alias("duplicate_count"),
+        failures.alias("parse_failures"), (F.array(*spans) if spans else empty).alias("dates"),
+    )
+
+
 def contract_report(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per contract: present, columns, dates, duplicates, overall ok.
+    """One row per contract: present, columns, dates, duplicates, overall ok; one scan a table.
 
     Duplicates only warn.  The overall answer is that every row is ok.
     """
@@ -201,27 +243,26 @@ def contract_report(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
     for contract in CONTRACTS.values():
         df = tables.get(contract.name)
         missing = missing_columns(df, contract.required) if df is not None else []
-        stated = spark.range(1).select(
-            F.lit(contract.name).alias("table_name"),
-            F.lit(df is not None).alias("found"),
-            F.lit(",".join(missing)).alias("missing_columns"),
-        )
+        stated = [F.lit(contract.name).alias("table_name"), F.lit(df is not None).alias("found"),
+                  F.lit(",".join(missing)).alias("missing_columns")]
         if df is None:
-            rows.append(stated.selectExpr("*", "0L AS parse_failures", "CAST(NULL AS BIGINT) AS duplicate_count",
-                                          "false AS ok"))
+            rows.append(spark.range(1).select(*stated).selectExpr(
+                "*", "0L AS parse_failures", "CAST(NULL AS BIGINT) AS duplicate_count", "false AS ok"))
             continue
-        dates = [d for d in contract.dates if d in df.columns]
-        bad = date_profile(df, dates).agg(F.coalesce(F.sum("parse_failures"), F.lit(0)).alias("parse_failures"))
-        if missing:
-            copies = spark.range(1).selectExpr("CAST(NULL AS BIGINT) AS duplicate_count")
-        else:
-            copies = duplicate_key_count(df, contract.key).select("duplicate_count")
-        # three one-row tables side by side
-        row = stated.withColumn("one", F.lit(1)).join(bad.withColumn("one", F.lit(1)), "one")
-        row = row.join(copies.withColumn("one", F.lit(1)), "one").drop("one")
-        rows.append(row.withColumn("ok", (F.col("missing_columns") == "") & (F.col("parse_failures") == 0)
-                                   & F.lit(set(dates) == set(contract.dates))))
-    report = rows[0]
-    for row in rows[1:]:
-        report = report.unionByName(row)
-    return report
+        complete = not missing and all(d in df.columns for d in contract.dates)
+        rows.append(contract_figures(df, contract).select(
+            *stated, "parse_failures", "duplicate_count", (F.lit(complete) & (F.col("parse_failures") == 0)).alias("ok")
+        ))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def table_date_spans(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows (table, date column, span, filled, failures) of every table with a contract; one scan a table."""
+    known = [c for c in CONTRACTS.values() if c.name in tables]
+    rows = [
+        contract_figures(tables[c.name], c).select(F.lit(c.name).alias("table_name"), "row_count", F.inline("dates"))
+        for c in known
+    ]
+    return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame(
+        [], "table_name string, row_count long, date_column string, min_date date, max_date date, non_null_count long, parse_failures long"
+    )

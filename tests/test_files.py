@@ -57,6 +57,28 @@ def test_contract_report(spark, raw):
     assert not report["ibes_link"].found
 
 
+def test_contract_figures_take_one_scan_and_equal_the_single_checks(spark, make, capsys):
+    contract = C.CONTRACTS["crsp_names"]
+    types = {"permno": "long", "shrcd": "int", "exchcd": "int"}
+    schema = ", ".join(f"{n} {types.get(n, 'string')}" for n in contract.required)
+    values = {"permno": 1, "namedt": "2000-01-01"}
+    def row(**changed):
+        return tuple((values | changed).get(n) for n in contract.required)
+    df = make(schema, row(), row(), row(namedt="bad", nameenddt="2001-01-31"), row(permno=None), row(permno=None), row(permno=2))
+    got = C.contract_figures(df, contract).first()
+    single = {r.date_column: r for r in C.date_profile(df, ["namedt", "nameenddt"]).collect()}
+    assert [tuple(d) for d in got.dates] == [tuple(single[d.date_column])[:5] for d in got.dates] and len(got.dates) == 2
+    assert got.row_count == 6 and got.parse_failures == 1
+    assert got.duplicate_count == C.duplicate_key_count(df, contract.key).first().duplicate_count == 2
+    empty = C.contract_figures(df.where("false"), contract).first()
+    assert (empty.row_count, empty.duplicate_count, empty.parse_failures) == (0, 0, 0)
+    narrow = C.contract_figures(df.select("permno"), contract).first()
+    assert narrow.duplicate_count is None and narrow.row_count == 6 and narrow.dates == []
+    C.contract_figures(df, contract).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Scan") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_duplicates_and_unique_keys(make):
     df = make("a int, b int", (1, 1), (1, 1), (1, None), (1, None), (1, None), (2, 1))
     row = C.duplicate_key_count(df, ["a", "b"]).first()

@@ -7,8 +7,10 @@ and among equal costs the first choice in the fixed order of the moves wins.  Ea
 rendered parts of a conversation in order are its text.
 
 Long conversations are cut into blocks of turns.  A block's least costs from every state to every state are a
-small matrix; the matrices of a conversation are combined in order to give each block's first and last state,
-and the choices are made block by block.  So no task holds a conversation as a whole.
+small matrix.  The matrices are combined in two levels: blocks lie in ranges of (conversation, block) of about equal
+size, one matrix a conversation and range is carried over the ranges, and within a range each block gets its first
+and last state; then the choices are made block by block.  So no task holds a conversation, or all its blocks, as a
+whole: one conversation's records of the upper level are no more than there are ranges.
 
 Turns are ordered by number (null first), then by a hash of role and text.  A repeated row (same conversation,
 number, role and text) counts once.  Null texts are empty; unknown and null roles must take another role.  A row
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.textunits import bounded_batches, id_type
+from factorloom.plans.rangescan import RANGE, cut_into_ranges
 from factorloom.plans.staging import stage
 
 BLOCK_TURNS = 512
@@ -35,6 +38,8 @@ NEXT = {START: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
 LAST = 2
 MERGE, RELABEL, NAME, INSERT = 2, 4, 3, 5
 FAR = 1 << 30
+#: Cost of what cannot be reached, over many blocks; the sum of two such still fits.
+UNREACHED = 1 << 60
 
 
 def _moves() -> list[list[tuple[int, int, int, tuple[int, ...], str]]]:
@@ -124,21 +129,147 @@ def rendered_part(state: int, role: int, inserted: tuple[int, ...], action: str,
     return part
 
 
-def _blocks(batches):
-    """Rows of each block of a partition that is ordered by block, as (key, rows)."""
+def _groups(batches, width: int = 2):
+    """Rows of each group of a partition that is ordered by its first columns, as (key, rows)."""
     key, rows = None, []
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
         for row in zip(*columns, strict=True):
-            if row[:2] != key:
+            if row[:width] != key:
                 if rows:
                     yield key, rows
-                key, rows = row[:2], []
+                key, rows = row[:width], []
             rows.append(row)
     if rows:
         yield key, rows
 
 
+def _gathered(records, size: int = 2000):
+    """Small records as batches of at least so many rows."""
+    held, count = [], 0
+    for record in records:
+        held.append(record)
+        count += record.num_rows
+        if count >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, count = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _block_matrix(values: list[int]) -> np.ndarray:
+    matrix = np.array(values).reshape(4, 4)
+    return np.where(matrix >= FAR, UNREACHED, matrix)
+
+
+def _then(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Least costs over two steps; ``first`` is a matrix or one row of it."""
+    return np.minimum((first[..., :, None] + second).min(-2), UNREACHED)
+
+
+def _before(vectors: list[np.ndarray], matrices: list[np.ndarray], last: int) -> list[int]:
+    """The state before each step on the cheapest way to ``last``; of equal ones the first state."""
+    found = []
+    for vector, matrix in zip(reversed(vectors), reversed(matrices), strict=True):
+        last = int(np.argmin(vector + matrix[:, last]))
+        found.append(last)
+    return found[::-1]
+
+
+def _steps(vector: np.ndarray, matrices: list[np.ndarray]) -> list[np.ndarray]:
+    """Least cost of every state before each step, and after the last one."""
+    vectors = [vector]
+    for matrix in matrices:
+        vectors.append(_then(vectors[-1], matrix))
+    return vectors
+
+
+def range_costs(batches):
+    """One matrix a conversation and range, from the matrices of its blocks in order."""
+    for (conv, number), held in _groups(batches):
+        whole = _block_matrix(held[0][3])
+        for row in held[1:]:
+            whole = _then(whole, _block_matrix(row[3]))
+        yield pa.record_batch([pa.array([conv]), pa.array([number], pa.int32()), pa.array([whole.ravel().tolist()])], ["conv", RANGE, "costs"])
+
+
+def range_starts(batches):
+    """The costs with which a conversation enters each of its ranges."""
+    for (conv,), held in _groups(batches, 1):
+        vector = np.full(4, UNREACHED)
+        vector[START] = 0
+        entered = _steps(vector, [np.array(r[2]).reshape(4, 4) for r in held])[:-1]
+        yield pa.record_batch(
+            [pa.array([conv] * len(held)), pa.array([r[1] for r in held], pa.int32()), pa.array([v.tolist() for v in entered])],
+            ["conv", RANGE, "entered"],
+        )
+
+
+def range_ways(batches):
+    """For every state after a range the state before it, and the costs after the range."""
+    for (conv, number), held in _groups(batches):
+        matrices = [_block_matrix(r[3]) for r in held]
+        vectors = _steps(np.array(held[0][4]), matrices)
+        ways = [_before(vectors[:-1], matrices, state)[0] for state in range(4)]
+        yield pa.record_batch(
+            [pa.array([conv]), pa.array([number], pa.int32()), pa.array([ways]), pa.array([vectors[-1].tolist()])],
+            ["conv", RANGE, "ways", "reached"],
+        )
+
+
+def range_ends(batches):
+    """The state after each range of a conversation, and whether it is the last one."""
+    for (conv,), held in _groups(batches, 1):
+        state = int(np.argmin([held[-1][3][s] + closing(s)[0] for s in range(4)]))
+        states = []
+        for row in reversed(held):
+            states.append(state)
+            state = row[2][state]
+        final = [False] * (len(held) - 1) + [True]
+        yield pa.record_batch(
+            [pa.array([conv] * len(held)), pa.array([r[1] for r in held], pa.int32()), pa.array(states[::-1], pa.int32()), pa.array(final)],
+            ["conv", RANGE, "state", "final"],
+        )
+
+
+def block_spans(batches):
+    """The states before and after each block, and whether the conversation ends with it."""
+    for (conv, _), held in _groups(batches):
+        matrices = [_block_matrix(r[3]) for r in held]
+        first = _before(_steps(np.array(held[0][4]), matrices)[:-1], matrices, held[0][5])
+        last = [*first[1:], held[0][5]]
+        final = [False] * (len(held) - 1) + [held[0][6]]
+        yield pa.record_batch(
+            [pa.array([conv] * len(held)), pa.array([r[2] for r in held]), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(final)],
+            ["conv", "block", "first", "last", "ends"],
+        )
+
+
+def _combined(matrices: DataFrame, count: int) -> DataFrame:
+    """Rows (conv, block, first, last, ends) from the matrices (conv, block, costs) of the blocks."""
+    cut = cut_into_ranges(matrices, ["conv"], ["block"])
+
+    def by_range(table: DataFrame, *more: str) -> DataFrame:
+        ordered = table.repartition(count, "conv", RANGE).sortWithinPartitions("conv", RANGE, "block")
+        return ordered.select("conv", RANGE, "block", "costs", *more)
+
+    def by_conversation(table: DataFrame) -> DataFrame:
+        return table.repartition(count, "conv").sortWithinPartitions("conv", RANGE)
+
+    def run(table: DataFrame, step, columns: str) -> DataFrame:
+        return stage(table.mapInArrow(lambda b: _gathered(step(b)), columns), "chat-ranges")
+
+    key = ["conv", RANGE]
+    head = f"conv string, {RANGE} int"
+    costs = run(by_range(cut), range_costs, f"{head}, costs array<long>")
+    starts = run(by_conversation(costs), range_starts, f"{head}, entered array<long>")
+    entered = cut.join(starts, key)
+    ways = run(by_range(entered, "entered"), range_ways, f"{head}, ways array<long>, reached array<long>")
+    ends = run(by_conversation(ways), range_ends, f"{head}, state int, final boolean")
+    known = entered.join(ends, key)
+    return run(by_range(known, "entered", "state", "final"), block_spans, "conv string, block string, first int, last int, ends boolean")
+
+
 def repaired(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -172,57 +303,12 @@ def repaired(
     ordered = keyed.repartition(count, "conv", "block").sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_first(), "tie")
 
     def costs(batches):
-        for (conv, block), held in _blocks(batches):
+        for (conv, block), held in _groups(batches):
             matrix = block_costs([r[2] for r in held])
             yield pa.record_batch([pa.array([conv]), pa.array([block]), pa.array([matrix.ravel().tolist()], pa.list_(pa.int64()))], ["conv", "block", "costs"])
 
-    def gathered(rows_out):
-        """Small records in batches."""
-        held = []
-        for record in rows_out:
-            held.append(record)
-            if len(held) == 2000:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    matrices = ordered.select("conv", "block", "given").mapInArrow(lambda b: gathered(costs(b)), "conv string, block string, costs array<long>")
-    matrices = stage(matrices, "chat-costs").repartition(count, "conv").sortWithinPartitions("conv", "block")
-
-    def ends(batches):
-        for conv, held in _conversations(batches):
-            forward, vectors = np.full(4, FAR), []
-            forward[START] = 0
-            for _, matrix in held:
-                vectors.append(forward)
-                forward = (forward[:, None] + matrix).min(0)
-            state = int(np.argmin([forward[s] + closing(s)[0] for s in range(4)]))
-            found = []
-            for k in range(len(held) - 1, -1, -1):
-                before = int(np.argmin(vectors[k] + held[k][1][:, state]))
-                found.append((held[k][0], before, state, k == len(held) - 1))
-                state = before
-            found.reverse()
-            yield pa.record_batch(
-                [pa.array([conv] * len(found)), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.int32()),
-                 pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found])],
-                ["conv", "block", "first", "last", "ends"],
-            )
-
-    def _conversations(batches):
-        conv, held = None, []
-        for batch in batches:
-            for name, block, matrix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if name != conv:
-                    if held:
-                        yield conv, held
-                    conv, held = name, []
-                held.append((block, np.array(matrix).reshape(4, 4)))
-        if held:
-            yield conv, held
-
-    spans = stage(matrices.mapInArrow(lambda b: gathered(ends(b)), "conv string, block string, first int, last int, ends boolean"), "chat-spans")
+    matrices = ordered.select("conv", "block", "given").mapInArrow(lambda b: _gathered(costs(b)), "conv string, block string, costs array<long>")
+    spans = _combined(matrices, count)
     joined = keyed.join(spans, ["conv", "block"]).repartition(count, "conv", "block")
     joined = joined.sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_first(), "tie")
     kind = {c: id_type(turns, c) for c in (conv_col, turn_col, role_col)}
@@ -237,7 +323,7 @@ def repaired(
                 types = [batch.column(i).type for i in (2, 3, 4)]
                 yield batch
 
-        for _, held in _blocks(watched()):
+        for _, held in _groups(watched()):
             first, last, final = held[0][7:10]
             state = first
             for at, (row, (role, inserted, action)) in enumerate(zip(held, block_choices([r[6] for r in held], first, last), strict=True)):

@@ -282,6 +282,36 @@ def test_chat_repair_is_legal_and_cheapest(spark, monkeypatch):
         assert cost == best_cost(roles)
 
 
+def test_chat_blocks_of_one_long_conversation_meet_in_ranges(spark):
+    """Spans of 400 blocks over several ranges equal a plain pass over all blocks of the conversation."""
+    rng = np.random.default_rng(5)
+    rows, expected = [], {}
+    for conv, blocks in (("hot", 400), ("small", 3), ("one", 1)):
+        given = [rng.integers(0, 4, rng.integers(1, 9)).tolist() for _ in range(blocks)]
+        costs = [chatformat.block_costs(g) for g in given]
+        rows += [(conv, f"{n:09d}", c.ravel().tolist()) for n, c in enumerate(costs)]
+        vectors = [np.array([chatformat.FAR] * 3 + [0])]
+        for c in costs:
+            vectors.append((vectors[-1][:, None] + c).min(0))
+        state = int(np.argmin([vectors[-1][s] + chatformat.closing(s)[0] for s in range(4)]))
+        for n in range(blocks - 1, -1, -1):
+            before = int(np.argmin(vectors[n] + costs[n][:, state]))
+            expected[conv, f"{n:09d}"] = (before, state, n == blocks - 1)
+            state = before
+    table = spark.createDataFrame(rows, "conv string, block string, costs array<long>").repartition(6)
+    got = {(r["conv"], r["block"]): (r["first"], r["last"], r["ends"]) for r in chatformat._combined(table, 4).collect()}
+    assert got == expected
+
+
+def test_chat_repair_with_clashing_columns_and_repeated_rows(spark):
+    turns = spark.createDataFrame(
+        [(1, 1, "user", "a", 5, "x", "y", 0), (1, 1, "user", "a", 6, "x", "y", 0), (1, 2, "assistant", "b", 7, "x", "y", 0)],
+        "conv_id long, turn long, role string, text string, block long, costs string, conv string, _range int",
+    )
+    rows = sorted((r["turn"], r["action"], r["part"]) for r in chatformat.repaired(turns).collect())
+    assert rows == [(1, "keep", "<|im_start|>user\na"), (2, "keep", "<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n")]
+
+
 def test_chat_repair_of_odd_rows(spark):
     schema = "conv_id long, turn long, role string, text string"
     turns = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (1, None, None, None), (1, 2, "USER ", "b"), (1, 2, "USER ", "b")], schema)

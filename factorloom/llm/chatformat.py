@@ -308,7 +308,8 @@ def repaired(
             yield pa.record_batch([pa.array([conv]), pa.array([block]), pa.array([matrix.ravel().tolist()], pa.list_(pa.int64()))], ["conv", "block", "costs"])
 
     matrices = ordered.select("conv", "block", "given").mapInArrow(lambda b: _gathered(costs(b)), "conv string, block string, costs array<long>")
-    spans = _combined(matrices, count)
+    # staged, as cutting into ranges reads its input twice: for the bounds and for the rows
+    spans = _combined(stage(matrices, "chat-costs"), count)
     joined = keyed.join(spans, ["conv", "block"]).repartition(count, "conv", "block")
     joined = joined.sortWithinPartitions("conv", "block", F.col("turn").asc_nulls_first(), "tie")
     kind = {c: id_type(turns, c) for c in (conv_col, turn_col, role_col)}

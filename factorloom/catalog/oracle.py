@@ -13,7 +13,7 @@ from ..functions.scalars import OPEN_END
 from ..operators import jobs as J
 from ..operators import textscan as Z
 from ..operators.factors import COMPUTABLE, FACTORS
-from ..sources.market_tables import EVENT_STATES, PRIORITIES
+from ..sources.market_tables import CHANGES, EVENT_STATES, PRIORITIES, WIDE_SERIES
 
 OPEN = f"DATE '{OPEN_END}'"
 
@@ -373,6 +373,19 @@ def statement(select: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
+def _wide_design(series, suffixes) -> str:
+    """Last filled value of each series and change in the month of each panel date."""
+    values = ", ".join(
+        f"{WIDE_SERIES[n]} AS {n}{x}" if not x else f"{WIDE_SERIES[n]} - lag({WIDE_SERIES[n]}, {CHANGES[x]}) OVER (ORDER BY date) AS {n}{x}"
+        for n in series for x in suffixes
+    )
+    names = [f"{n}{x}" for n in series for x in suffixes]
+    last = ", ".join(f"arg_max({n}, date) FILTER (WHERE {n} IS NOT NULL) AS macro__{n}" for n in names)
+    return f"""SELECT d.formation_date, {_rounded([f"macro__{n}" for n in names], 3)} FROM (SELECT DISTINCT formation_date FROM panel) d
+        LEFT JOIN (SELECT last_day(date) AS month_end, {last} FROM (SELECT date, {values} FROM md) GROUP BY 1) m
+        ON last_day(d.formation_date) = m.month_end"""
+
+
 _ORDER_HASH = "substr(sha256(o_orderkey || ':' || {}), 1, 16)"
 _ORDER_MONTHS = """SELECT o_orderstatus AS state, strftime(o_orderdate, '%Y-%m') AS month, min(CAST(o_orderdate AS DATE)) AS opened,
     max(CAST(o_orderdate AS DATE)) + 45 AS closed FROM orders GROUP BY 1, 2"""
@@ -602,6 +615,8 @@ def statements() -> dict[str, str]:
               UNION ALL SELECT 'ccm_link', count(*) - count(DISTINCT (gvkey, linkdt)) FROM cl
               UNION ALL SELECT 'ibes_link', count(*) - count(DISTINCT permno) FROM tl) d ON t.name = d.name""",
         "macro_design_matrix": f"SELECT formation_date, {_rounded([f'macro__{c}' for c in _MACRO], 3)} FROM pm",
+        "macro_design_25x3": _wide_design([n for n in WIDE_SERIES if n != "consumer_sentiment"], ["", "_c20", "_c60"]),
+        "macro_design_expanded": _wide_design(WIDE_SERIES, ["", *CHANGES]),
         "estimate_link_diagnostics": f"""SELECT t.total AS total_count, m.matched AS matched_count, t.total - m.matched AS unmatched_count,
             {r('(t.total - m.matched) / t.total')} AS unmatched_rate, CAST(0 AS BIGINT) AS overlap_count, CAST(0 AS BIGINT) AS duplicate_active_link_count,
             m.rows AS resolved_row_count, t.dropped AS score_filtered_out_count

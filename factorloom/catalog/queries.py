@@ -374,6 +374,23 @@ def macro_month_end(spark, sf):
     return _fixed(snapshots, ["formation_date"], [f"macro__{c}" for c in T.PRIORITIES], 3)
 
 
+def _wide_design(spark, sf, design):
+    dates = _panel(spark, sf).select("permno", "formation_date")
+    matrix = G.macro_design(X.add_macro(dates, T.macro_daily_wide(spark, sf)), design)
+    return _fixed(matrix, ["formation_date"], [c for c in matrix.columns if c != "formation_date"], 3)
+
+
+@query
+def macro_design_25x3(spark, sf):
+    """The design of levels and two changes, over the series that the tables give."""
+    return _wide_design(spark, sf, "us_macro_25x3")
+
+
+@query
+def macro_design_expanded(spark, sf):
+    return _wide_design(spark, sf, "us_macro_expanded")
+
+
 @query
 def macro_design_matrix(spark, sf):
     return _fixed(G.macro_design(_feature_panel(spark, sf)), ["formation_date"], [f"macro__{c}" for c in T.PRIORITIES], 3)

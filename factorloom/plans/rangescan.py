@@ -39,7 +39,7 @@ def cut_into_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], *, r
     """``df`` with the number of the range that each row lies in; numbers ascend with key and order.
 
     The bounds come from Spark's sample, so the table is staged: every later step sees the same
-    ranges.  By default there are as many as shuffle partitions.
+    ranges.  The sample reads the input once more, so stage an input that is dear to compute.  By default there are as many as shuffle partitions.
     """
     if RANGE in df.columns:
         raise ValueError(f"the column name {RANGE} is taken")

@@ -177,6 +177,25 @@ def macro_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Macro series of the wide table and the narrow one each of them takes its values from.
+WIDE_SERIES = {
+    "sp500": "urgent", "nasdaq": "high", "treasury_10y": "medium", "vix": "unspecified", "consumer_sentiment": "low",
+}
+# Rows that each change looks back.
+CHANGES = {"_c20": 20, "_c60": 60, "_m1": 21, "_m3": 63, "_yoy": 252}
+
+
+def macro_daily_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily series with their changes over some rows; one row a day goes into the window."""
+    daily = macro_daily(spark, sf_dir)
+    by_day = Window.partitionBy().orderBy("date")
+    columns = [F.col("date")]
+    for name, source in WIDE_SERIES.items():
+        columns.append(F.col(source).alias(name))
+        columns += [(F.col(source) - F.lag(source, n).over(by_day)).alias(f"{name}{suffix}") for suffix, n in CHANGES.items()]
+    return daily.select(*columns)
+
+
 def predictions(monthly: DataFrame) -> DataFrame:
     """Next month's return and its reversal forecast, by security and month."""
     following = F.lead("ret").over(Window.partitionBy("permno").orderBy("date"))

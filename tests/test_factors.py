@@ -144,6 +144,14 @@ def test_alpha_scores_equal_pandas(research):
         assert r.combined_score == pytest.approx(combined[name])
 
 
+def test_equal_sums_of_ranks_tie(make):
+    # of 10 rows, 6/10 + 2/10 and 7/10 + 1/10 differ in doubles
+    second = [5, 3, 4, 6, 7, 2, 1, 8, 9, 10]
+    rows = make("name string, a double, b double", *[(f"f{n}", float(n), float(m)) for n, m in enumerate(second, start=1)])
+    ranks = {r["name"]: r["rank"] for r in rows.withColumn("rank", G.percentile_rank("a", "b")).collect()}
+    assert ranks["f6"] == ranks["f7"] == 0.8 and ranks["f2"] == 0.5
+
+
 def test_universe_selection(research):
     _, returns, macro = research
     chosen = G.select_universe(returns, macro, universe="selected_13_global_local").orderBy("selection_rank").collect()

@@ -12,9 +12,12 @@ from factorloom.operators import models as L
 from factorloom.operators import portfolio as B
 from factorloom.operators import study as Y
 from factorloom.plans.staging import stage
+from factorloom.sources import market_tables as T
 from tests.conftest import rows_of
 from tests.test_factors import synthetic
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_boosting_query_fits_all_trees(spark, monkeypatch):
     asked = {}
@@ -78,3 +81,16 @@ def test_study_equals_a_single_run(studied, model, floor, universe, design, surf
     assert len(got) == 1 and got[0].periods == want.periods > 0
     for name in ("mean_monthly_return", "volatility_monthly", "cumulative_return", "max_drawdown"):
         assert got[0][name] == pytest.approx(want[name], abs=1e-12), name
+
+
+def test_tables_of_the_lines_share_one_scan(spark):
+    found = [make(spark, SF) for make in (T.security_month, T.estimate_month, T.target_month)]
+    assert not [f for df in found for f in df.inputFiles() if "lineitem" in f]
+    # sums and counts of all lines are in it
+    assert T.supplier_month(spark, SF).agg(F.sum("n")).first()[0] == T.table(spark, SF, "lineitem").count()
+
+
+def test_scores_are_computed_on_long_rows(spark):
+    panel = spark.createDataFrame(synthetic(3, 12))
+    plan = G.signal_scores(panel)._jdf.queryExecution().optimizedPlan().toString()
+    assert "-5.0" in plan[:plan.index("Generate")] and "-5.0" not in plan[plan.index("Generate"):]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions import scalars as S
 from factorloom.plans.orderstats import (
-    coarse_cell, distinct_value_ranks, fine_cell, grouped_quantiles, ordinal_ranks, pick_ranked,
+    coarse_cell, distinct_value_ranks, fine_cell, grouped_quantiles, ordinal_ranks, pick_ranked, wide_cell,
 )
 
 
@@ -118,3 +118,12 @@ def test_correlation_guards(spark):
 def test_nan_and_infinity_become_missing(spark):
     df = spark.createDataFrame([(float("nan"), 1), (float("inf"), 2), (1.5, 3)], "x double, n int")
     assert [r.x for r in S.nulled_nonfinite(df).orderBy("n").collect()] == [None, None, 1.5]
+
+
+def test_first_cells_are_few_and_nested(spark):
+    rows = spark.createDataFrame(pd.DataFrame({"v": np.random.default_rng(5).normal(size=20_000)}))
+    cells = rows.select("v", wide_cell(F.col("v")).alias("wide"), coarse_cell(F.col("v")).alias("coarse")).toPandas().sort_values("v")
+    assert cells["wide"].is_monotonic_increasing
+    assert cells.groupby("coarse")["wide"].nunique().max() == 1
+    # a task's rows of a group become far fewer counts before they are shuffled
+    assert cells["wide"].nunique() < 300 < 2000 < cells["coarse"].nunique()

@@ -31,8 +31,8 @@ from factorloom.llm.located import FILE, PLACE, ROW, given_back, held, with_plac
 from factorloom.llm.textunits import bounded_batches, utf8_buffer
 from factorloom.plans.staging import stage
 
-#: Bytes of text hashed at once, and packed hashes held before a task sends them on.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text hashed at once (some 60 bytes of memory for each), and packed hashes held before a task sends them on.
+CHUNK_BYTES = 1 << 20
 HELD_HASHES = 2_000_000
 TABLE_BITS = 18
 LEADING_ROUNDS = 2
@@ -180,7 +180,7 @@ def _nodes_and_hits(placed: DataFrame, text_col: str, words: int) -> DataFrame:
                 key = int.from_bytes(digest[:8], "little", signed=True)
                 rows.append((key % buckets, 0, file, number, len(hashes), len(low), digest, key, None, None))
                 if digest not in held and len(low):
-                    held[digest] = low
+                    held[digest] = low.copy()  # a view would keep the other half in memory
                     size += len(low)
             yield _sent_rows(rows)
             if size >= HELD_HASHES:

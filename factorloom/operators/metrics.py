@@ -154,11 +154,12 @@ def feature_coverage(df: DataFrame, features: Sequence[str], by: Sequence[str] =
 
 
 def evaluate_predictions(
-    df: DataFrame, by: Sequence[str] = ("split",), *, features: Sequence[str] = ()
+    df: DataFrame, by: Sequence[str] = ("split",), *, features: Sequence[str] = (), coverage: DataFrame | None = None
 ) -> DataFrame:
     """All metrics, one row per group.
 
-    The rows are read several times; pass a staged table if they are costly to compute."""
+    The rows are read several times; pass a staged table if they are costly to compute.
+    ``coverage`` (groups, feature_coverage) stands in for ``features`` that are not among the rows."""
     keys = list(by)
     ic = stage(period_ic(df, by), "ic")
     spread = stage(period_long_short(df, by), "spread")
@@ -170,10 +171,12 @@ def evaluate_predictions(
         top_turnover_by_period(df, by).groupBy(*keys).agg(F.avg("turnover").alias("turnover_proxy")),
         ic_stability(ic, by),
     ]
-    if features:
-        parts.append(feature_coverage(df, features, by))
+    if coverage is None and features:
+        coverage = feature_coverage(df, features, by)
+    if coverage is not None:
+        parts.append(coverage)
     joined = reduce(lambda a, b: a.join(b, keys, "left"), parts)
-    return joined if features else joined.withColumn("feature_coverage", F.lit(None).cast("double"))
+    return joined if coverage is not None else joined.withColumn("feature_coverage", F.lit(None).cast("double"))
 
 
 def select_by_validation(

@@ -5,11 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import factors as G
+from factorloom.operators import models as L
 from factorloom.operators import portfolio as B
 from factorloom.operators import scoresweep as SW
 from factorloom.operators import study as Y
 from factorloom.plans.staging import stage
 from tests.test_factors import synthetic
+from tests.test_metrics_models import panel_frame
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +68,36 @@ def test_study_makes_no_row_for_each_security_date_and_split(monkeypatch, spark)
     }
     study = Y.grid_study(panel, returns, signals, axes=axes)
     assert study.count() == 2 and "qspread_rows" not in labels
+
+
+@pytest.mark.parametrize("model", ["ridge", "elasticnet"])
+def test_panel_models_write_no_features(spark, monkeypatch, model):
+    df = stage(panel_frame(spark), "frame")
+    written = {}
+
+    def noted(df, label, *args, **options):
+        written[label] = df.columns
+        return stage(df, label, *args, **options)
+
+    monkeypatch.setattr(L, "stage", noted)
+    out = L.evaluate_panel_model(df, model=model)
+    assert "panel_rows" not in written and written["panel_scored"] == ["split", "id", "period", "actual", "prediction"]
+    coverage = {r.split: r.feature_coverage for r in out.metrics.collect()}
+    want = df.join(out.splits, "formation_date").groupBy("split").agg(
+        ((F.count("a") + F.count("b") + F.count("none") + F.count("same")) / F.count(F.lit(1)) / 4).alias("c")
+    )
+    assert coverage == pytest.approx({r.split: r.c for r in want.collect()})
+
+
+def test_medians_are_taken_of_columns_with_gaps_only(spark, monkeypatch):
+    asked = []
+    medians = L._train_medians
+    monkeypatch.setattr(L, "_train_medians", lambda train, features: asked.extend(features) or medians(train, features))
+    L.evaluate_panel_model(stage(panel_frame(spark), "frame"), model="ridge")
+    assert asked == ["b"]
+
+
+def test_values_that_are_not_finite_are_refused(spark):
+    df = stage(panel_frame(spark).withColumn("a", F.when(F.col("permno") == 3, float("inf")).otherwise(F.col("a"))), "frame")
+    with pytest.raises(ValueError, match="not finite: a"):
+        L.evaluate_panel_model(df, model="ridge")

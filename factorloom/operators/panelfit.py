@@ -117,9 +117,10 @@ def fit_linear(
     mean, target_mean = whole[0, 1:-1] / n, whole[0, -1] / n
     gram = whole[1:-1, 1:-1] - n * np.outer(mean, mean)
     right = whole[1:-1, -1] - n * mean * target_mean
-    # a column of one value is told by its ends, as its rounded spread need not be zero
-    moving = (facts.least < facts.most) & (np.diag(gram) > 0)
-    scale = np.where(moving, np.sqrt(np.maximum(np.diag(gram), 0.0) / n), 1.0)
+    spread = np.sqrt(np.maximum(np.diag(gram), 0.0) / n)
+    # a column whose values differ by rounding alone is constant: scaled up, its noise would be fitted
+    moving = (facts.least < facts.most) & (spread > 10 * np.finfo(float).eps * np.maximum(1.0, np.abs(mean + center)))
+    scale = np.where(moving, spread, 1.0)
     gram[~moving, :], gram[:, ~moving], right[~moving] = 0.0, 0.0, 0.0
     weights = solve(gram / np.outer(scale, scale), right / scale, n)
     return LinearFit(weights, fill, mean + center, scale, float(target_mean))

@@ -101,3 +101,11 @@ def test_values_that_are_not_finite_are_refused(spark):
     df = stage(panel_frame(spark).withColumn("a", F.when(F.col("permno") == 3, float("inf")).otherwise(F.col("a"))), "frame")
     with pytest.raises(ValueError, match="not finite: a"):
         L.evaluate_panel_model(df, model="ridge")
+
+
+def test_rounding_noise_of_a_constant_column_is_not_fitted(spark):
+    noisy = F.when(F.col("permno") % 2 == 0, F.lit(np.nextafter(10.0, 11.0))).otherwise(F.lit(10.0))
+    target = F.col("ret_1m_fwd") + (F.col("permno") % 2)
+    df = stage(panel_frame(spark).withColumns({"same": noisy, "ret_1m_fwd": target}), "frame")
+    importance = {r.feature: r.importance for r in L.evaluate_panel_model(df, model="ridge").importance.collect()}
+    assert importance["same"] == pytest.approx(0, abs=1e-9) and importance["a"] > 0
